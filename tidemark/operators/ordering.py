@@ -25,11 +25,11 @@ _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 def lay_out(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Range partition by (within, order) and record the partition as a column.
 
-    ``order`` must be unique inside ``within``. The checkpoint pins the layout:
-    a recomputed range sample could otherwise move rows between partitions.
+    ``order`` must be unique inside ``within``. The table written here pins the
+    layout: a recomputed range sample could move rows between partitions.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in (*within, *order)])
-    return checkpoint(ranged).withColumn(PART, F.spark_partition_id())
+    return checkpoint(ranged.withColumn(PART, F.spark_partition_id()))
 
 
 def running(

@@ -1,8 +1,11 @@
-"""Session defaults and the reliable checkpoint every iterative job uses."""
+"""Session defaults and the written tables that cut the lineage of multi-step jobs."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,6 @@ def get_session(name: str = "tidemark", **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -26,23 +28,36 @@ def get_session(name: str = "tidemark", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach; set here only in local mode."""
+    """The folder all executors can reach; chosen here only in local mode."""
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    if context.getCheckpointDir() is None:
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The rows and their partition layout then survive the loss of an executor,
-    which matters wherever a partition number becomes part of a result.
+    That cuts the lineage, survives the loss of an executor, and gives the
+    planner the true size: a plan over a checkpointed RDD keeps multiplied-up
+    estimates, which grow without bound when a loop joins its own output.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application wrote; results that read them are gone too."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
