@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,21 +44,30 @@ def lag_sums(
 ) -> DataFrame:
     """``(*keys, lag, _sum)``: sum of ``_x[t] * _x[t + lag]`` for lag 0..lags.
 
-    Each bucket sees ``lags`` rows past its end, sends ``lags + 1`` numbers,
-    and Spark adds them up; no series is ever in one task.
+    Each bucket sees ``lags`` rows past its end, becomes one array, and sends
+    ``lags + 1`` numbers; Spark adds them up, so no series is in one task.
+    Tasks take many buckets per batch, which keeps short series cheap.
     """
     size = bucket_rows(lags, size)
-    keys = list(keys)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("_x").alias("x"))))
+    spread = with_halo(df.select(*keys, idx, "_x"), size, after=lags, idx=idx)
+    arrays = spread.groupBy(*keys, BUCKET).agg(
+        F.transform(ordered, lambda s: s["x"]).alias("_xs"), F.count_if("_own").alias("_owned")
+    )
+    names = list(keys)
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        x, own = pdf["_x"].to_numpy(float), int(pdf["_own"].sum())
-        sums = [float(np.dot(x[: min(own, len(x) - k)], x[k : k + own])) if k < len(x) else 0.0 for k in range(lags + 1)]
-        return key_frame(keys, pdf, {"lag": np.arange(lags + 1), "_sum": sums})
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = []
+            for x, own in zip(pdf["_xs"], pdf["_owned"]):
+                x = np.asarray(x, float)
+                top = min(lags, len(x) - 1)
+                sums.append([float(np.dot(x[: min(own, len(x) - k)], x[k : k + own])) for k in range(top + 1)])
+            yield pdf[names].assign(_sums=sums)
 
-    spread = with_halo(df.select(*keys, idx, "_x"), size, after=lags, idx=idx)
-    schema = grouped_schema(df, keys, ("lag", "int"), ("_sum", "double"))
-    return spread.groupBy(*keys, BUCKET).applyInPandas(partial, schema).groupBy(*keys, "lag").agg(F.sum("_sum").alias("_sum"))
+    schema = grouped_schema(df, keys, ("_sums", "array<double>"))
+    sums = arrays.mapInPandas(partial, schema).select(*keys, F.posexplode("_sums").alias("lag", "_sum"))
+    return sums.groupBy(*keys, "lag").agg(F.sum("_sum").alias("_sum"))
 
 
 def acf(
@@ -69,10 +78,9 @@ def acf(
     Lags beyond the series are left out; a constant series gives NULL.
     """
     data, keys = keyed(centred(df, column, series), series)
-    n = data.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    sums = lag_sums(data, lags, keys, idx, size).join(n, keys).filter(F.col("lag") < F.col("_n"))
-    zero = sums.filter("lag = 0").select(*keys, F.col("_sum").alias("_s0"))
-    return sums.join(zero, keys).select(*series, "lag", F.try_divide("_sum", "_s0").alias("acf"))
+    # lags + 1 rows per series at most, so a window per series is small
+    zero = F.max(F.when(F.col("lag") == 0, F.col("_sum"))).over(Window.partitionBy(*keys))
+    return lag_sums(data, lags, keys, idx, size).select(*series, "lag", F.try_divide("_sum", zero).alias("acf"))
 
 
 def pacf(
@@ -150,12 +158,15 @@ def regression_residuals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def seasonality_check(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+def seasonality_check(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Durbin-Watson of every column's regression residual: ``(feature, durbin_watson, seasonal)``.
 
-    Rows with a missing value are left out before rows are numbered.
+    Rows with a missing value are left out before rows are numbered by
+    ``order``. Without ``order`` the table has ``idx`` and no missing value.
     """
-    complete = ordinal(df.select(*order, *columns).na.drop(subset=list(columns)), list(order))
+    complete = df
+    if order:
+        complete = ordinal(df.select(*order, *columns).na.drop(subset=list(columns)), list(order))
     fitted = regression_residuals(complete, columns)
     found = durbin_watson(fitted, [f"resid_{c}" for c in columns])
     return found.withColumn("feature", F.substring("feature", len("resid_") + 1, 10_000))

@@ -16,6 +16,9 @@ MIXED_FORMATS = [
 ]
 
 
+FEW_CLASSES = 1_000
+
+
 def clean_names(df: DataFrame, sep: str = " ") -> DataFrame:
     """Keep the last ``sep``-separated token of each name and trim text values."""
     names = [c.split(sep)[-1] for c in df.columns]
@@ -48,8 +51,8 @@ def parse_time(df: DataFrame, column: str, fmt: str = "mixed", fallback: bool =
         parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
         if fallback:
             parsed = F.coalesce(parsed, mixed_timestamp(text))
-    bad = F.raise_error(F.concat(F.lit(f"cannot read a time in {column}: "), text))
-    return df.withColumn(column, F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(bad))
+    bad = F.raise_error(F.concat(F.lit(f"cannot read a time in {column}: "), text)).cast("timestamp_ntz")
+    return df.withColumn(column, F.coalesce(parsed, F.when(text.isNotNull(), bad)))
 
 
 def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,13 +82,18 @@ def select_numeric(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """The code table ``(column, code)``: distinct values in order, from 0.
 
-    Classes are few by nature. When they are not, the ordinal index numbers
-    them without sorting all of them in one task.
+    Up to ``FEW_CLASSES`` classes are sorted on the driver; beyond that the
+    ordinal index numbers them without one task holding all of them.
     """
     from tidemark.operators.ordering import ordinal
 
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return ordinal(distinct, [column], name="code")
+    found = distinct.limit(FEW_CLASSES + 1).collect()
+    if len(found) > FEW_CLASSES:
+        return ordinal(distinct, [column], name="code")
+    rows = [(v, i) for i, v in enumerate(sorted(r[0] for r in found))]
+    kind = T.StructType([df.schema[column], T.StructField("code", T.LongType())])
+    return df.sparkSession.createDataFrame(rows, kind)
 
 
 def encode_labels(df: DataFrame, column: str, out: str | None = None, codes: DataFrame | None = None) -> DataFrame:

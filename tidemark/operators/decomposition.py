@@ -17,25 +17,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import climatology
-from tidemark.operators.autocorrelation import centred, grouped_schema, key_frame, lag_sums
-from tidemark.operators.ordering import BUCKET, bucket_rows, keyed, ordinal, with_halo
+from tidemark.operators.autocorrelation import grouped_schema, key_frame, lag_sums
+from tidemark.operators.ordering import BUCKET, attach, bucket_rows, keyed, ordinal, with_halo
+from tidemark.session import checkpoint
 
 SSA_WINDOW = 120
 EEOF_WINDOW = 400
 
 
-def _checked(df: DataFrame, column: str, window: int, series: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _ready(df: DataFrame, column: str, window: int, series: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Check the series and add ``_n``, ``_mean`` and the centred ``_x``."""
     if isinstance(window, bool) or not isinstance(window, int):
         raise TypeError("the window length must be an integer")
     if window < 1:
         raise ValueError("the window length must be positive")
-    facts = df.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("have"))
-    worst = facts.agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("have")).alias("missing")).first()
+    facts = df.groupBy(*series).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(column).alias("_mean"), F.count(column).alias("_have")
+    )
+    facts = checkpoint(facts)
+    worst = facts.agg(F.min("_n").alias("n"), F.max(F.col("_n") - F.col("_have")).alias("missing")).first()
     if worst["n"] is None or worst["n"] < window:
         raise ValueError("a series must be at least as long as the window")
     if worst["missing"]:
         raise ValueError(f"{column} has missing values; fill or drop them first")
-    return keyed(df, series)
+    out = attach(df, facts.drop("_have"), series)
+    return keyed(out.withColumn("_x", F.col(column).cast("double") - F.col("_mean")), series)
 
 
 def delay_windows(
@@ -61,20 +67,22 @@ def _eigen(
     """
     m = window
     moved = df if subtract_mean else df.withColumn("_x", F.col(column).cast("double")).withColumn("_mean", F.lit(0.0))
-    facts = moved.groupBy(*keys).agg(F.max("_n").alias("_len"), F.max("_mean").alias("_shift"), F.sum("_x").alias("_total"))
+    # 3 M rows per series, whatever its length; the first M also carry its length and shift.
     ends = moved.filter((F.col(idx) < m) | (F.col(idx) >= F.col("_n") - m))
-    head = ends.filter(F.col(idx) < m).select(*keys, F.lit("head").alias("_kind"), F.col(idx).alias("_at"), F.col("_x").alias("_v"))
-    tail = ends.filter(F.col(idx) >= F.col("_n") - m).select(
-        *keys, F.lit("tail").alias("_kind"), (F.col(idx) - F.col("_n") + m).alias("_at"), F.col("_x").alias("_v")
+    near_head = F.when(F.col(idx) < m, F.struct(F.lit("head").alias("_kind"), F.col(idx).alias("_at")))
+    near_tail = F.when(
+        F.col(idx) >= F.col("_n") - m, F.struct(F.lit("tail").alias("_kind"), (F.col(idx) - F.col("_n") + m).alias("_at"))
+    )
+    ends = ends.withColumn("_e", F.explode(F.array_compact(F.array(near_head, near_tail)))).select(
+        *keys, "_e._kind", "_e._at", F.col("_x").alias("_v"), F.col("_n").alias("_len"), F.col("_mean").alias("_shift")
     )
     lags = lag_sums(moved, m - 1, keys, idx, size).select(
         *keys, F.lit("lag").alias("_kind"), F.col("lag").cast("long").alias("_at"), F.col("_sum").alias("_v")
     )
-    # 3 M rows per series, whatever its length.
-    parts = head.unionByName(tail).unionByName(lags).join(facts, keys)
+    parts = ends.unionByName(lags, allowMissingColumns=True)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, shift, total = int(pdf["_len"].iloc[0]), float(pdf["_shift"].iloc[0]), float(pdf["_total"].iloc[0])
+        n, shift = int(pdf["_len"].max()), float(pdf["_shift"].max())
         first, last, sums = (
             pdf[pdf["_kind"] == k].sort_values("_at")["_v"].to_numpy(float) for k in ("head", "tail", "lag")
         )
@@ -88,7 +96,7 @@ def _eigen(
         means = np.zeros(m)
         if subtract_mean:
             column_sum = np.empty(m)
-            column_sum[0] = total - last[1:].sum()
+            column_sum[0] = -last[1:].sum()  # the centred series sums to 0
             for j in range(m - 1):
                 column_sum[j + 1] = column_sum[j] - first[j] + last[j + 1]
             means = column_sum / count
@@ -132,11 +140,6 @@ def _apply(df: DataFrame, column: str, spectra: DataFrame, keys: list[str], wind
     return rows.groupBy(*group).cogroup(spectra.groupBy(*group)).applyInPandas(run, schema)
 
 
-def _ready(df: DataFrame, column: str, window: int, series: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    data, keys = _checked(df, column, window, series)
-    return centred(data, column, keys if series else ()), keys
-
-
 def ssa_spectrum(
     df: DataFrame, column: str, window: int = SSA_WINDOW, series: Sequence[str] = (), idx: str = "idx", size: int | None = None
 ) -> DataFrame:

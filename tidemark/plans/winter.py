@@ -36,9 +36,11 @@ def winter_events(
     return label_events(scaled, time, ar_limit=ar_limit, latitude_limit=latitude_limit, days=days)
 
 
-def event_scores(events: DataFrame, truth: str = "form", true_value="S", time: str = "string") -> DataFrame:
-    """Scores of ``split`` rows against a flag column."""
-    return agreement(events, truth, ["regime"], time, "split", true_value)
+def event_scores(
+    events: DataFrame, regime: str = "split", truth: str = "form", true_value="S", time: str = "string"
+) -> DataFrame:
+    """Scores of the rows of one regime against a flag column."""
+    return agreement(events, truth, ["regime"], time, regime, true_value)
 
 
 def regime_analysis(
@@ -65,9 +67,8 @@ def regime_analysis(
     both = join_on(daily, warming, time, "left", ("_d", "_msw"))
     winter = season(encode_labels(both, truth), time, months).na.drop(subset=["area", "ar", "latcent", wind])
     raw = ["area", "ar", "latcent", wind]
-    scaled = scale(checkpoint(ordinal(winter, [time])), raw)
-    scaled = checkpoint(scaled)
-    checks = seasonality_check(scaled, [f"scaled_{c}" for c in raw], [time])
+    scaled = checkpoint(scale(checkpoint(ordinal(winter, [time])), raw))
+    checks = seasonality_check(scaled, [f"scaled_{c}" for c in raw])
     filtered = ssa_deseasonalise(scaled, f"scaled_{wind}", ssa_window, components)
     filtered = checkpoint(eeof_deseasonalise(filtered, f"scaled_{wind}", eeof_window, components))
     chosen = ["scaled_ar", "scaled_latcent", f"eeof_scaled_{wind}"]
