@@ -133,7 +133,10 @@ def _apply(df: DataFrame, column: str, spectra: DataFrame, keys: list[str], wind
         if own.empty:  # copies past the end of the series
             return pd.DataFrame(columns=schema.names)
         start = int(left[idx].iloc[0])
-        return key_frame(keys, left, compute(left["_v"].to_numpy(float), start, int(own.iloc[0]), int(own.iloc[-1]) + 1, right))
+        columns = compute(left["_v"].to_numpy(float), start, int(own.iloc[0]), int(own.iloc[-1]) + 1, right)
+        if not len(columns[idx]):  # no window starts here
+            return pd.DataFrame(columns=schema.names)
+        return key_frame(keys, left, columns)
 
     schema = grouped_schema(df, keys, (idx, "long"), *more)
     group = [*keys, BUCKET]

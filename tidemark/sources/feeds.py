@@ -35,7 +35,9 @@ def _lines(spark: SparkSession, path: str | Sequence[str], encoding: str) -> Dat
     if codec in SPARK_CHARSETS:
         # The text source is UTF-8 only; a CSV read with a single column decodes these.
         reader = spark.read.schema("value STRING").option("encoding", SPARK_CHARSETS[codec])
-        return reader.option("sep", "\u0001").option("quote", "").option("lineSep", "\n").csv(paths)
+        reader = reader.option("sep", "\u0001").option("quote", "")
+        # Line ends of the wide charsets are not single bytes, so each such file is streamed as a whole.
+        return reader.option("multiLine", codec.startswith(("utf-16", "utf-32"))).csv(paths)
 
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
