@@ -476,7 +476,7 @@ def threshold_events_per_series(spark, folder):
     return out.select("user_id", day("day").alias("day"), "idx", "regime")
 
 
-@query(f"""WITH RECURSIVE {DAILY}, z AS (SELECT *, 0 AS zero FROM daily WHERE month(string) IN (12, 1, 2, 3)), {_events_sql("z", "zero", "ar >= 1.8", "latcent <= 66", "string", 3, 30)},
+@query(f"""WITH RECURSIVE {DAILY}, z AS (SELECT *, 0 AS zero FROM daily WHERE month(string) IN (12, 1, 2, 3)), {_events_sql("z", "zero", "ar >= 2.4", "latcent <= 66", "string", 3, 30)},
 l AS (SELECT form, coalesce(w.kind, 'undisturbed') AS y FROM i LEFT JOIN w ON i.idx BETWEEN w.s AND w.e),
 c AS (SELECT count(*) FILTER (y = 'displaced' AND form = 'S') AS tp, count(*) FILTER (y = 'displaced' AND form <> 'S') AS fp,
  count(*) FILTER (y <> 'displaced' AND form = 'S') AS fn, count(*) FILTER (y <> 'displaced' AND form <> 'S') AS tn FROM l)
@@ -484,7 +484,7 @@ SELECT 'regime' AS prediction, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn +
  round(tp / (tp + fn), 6) + 0.0 AS recall, round((2 * tp) / (2 * tp + fp + fn), 6) + 0.0 AS f1 FROM c""")
 def winter_event_scores(spark, folder):
     """The flagship: join, season, scale, label events, score them against a flag."""
-    labelled = winter.winter_events(daily(spark, folder), msw(spark, folder), ar_limit=1.8, latitude_limit=66, days=3)
+    labelled = winter.winter_events(daily(spark, folder), msw(spark, folder), days=3)
     out = winter.event_scores(labelled, "displaced")
     return out.select("prediction", "tp", "fp", "fn", "tn", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
