@@ -58,9 +58,10 @@ def test_labels_match_a_sequential_scan(two_series, mark):
     assert got.regime.tolist() == sum((brute(p, 4, mark) for _, p in pdf.groupby("s")), [])
 
 
-def test_long_segments_by_pointer_doubling(two_series, monkeypatch):
+@pytest.mark.parametrize("fold", [1, 6])
+def test_long_series_by_segments_and_pointer_doubling(two_series, monkeypatch, fold):
     pdf, df = two_series
-    monkeypatch.setattr(events, "FOLD_EVENTS", 1)
+    monkeypatch.setattr(events, "FOLD_EVENTS", fold)
     got = events.label_events(df, days=2, series=["s"]).toPandas().sort_values(["s", "idx"])
     assert got.regime.tolist() == sum((brute(p, 2, "all") for _, p in pdf.groupby("s")), [])
 

@@ -34,13 +34,18 @@ def _ready(df: DataFrame, column: str, window: int, series: Sequence[str]) -> tu
     facts = df.groupBy(*series).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(column).alias("_mean"), F.count(column).alias("_have")
     )
-    facts = checkpoint(facts)
-    worst = facts.agg(F.min("_n").alias("n"), F.max(F.col("_n") - F.col("_have")).alias("missing")).first()
+    if series:
+        facts = checkpoint(facts)
+        worst = facts.agg(F.min("_n").alias("n"), F.max(F.col("_n") - F.col("_have")).alias("missing")).first()
+        out = attach(df, facts.drop("_have"), series)
+    else:
+        row = facts.first()
+        worst = {"n": row["_n"], "missing": row["_n"] - row["_have"]}
+        out = df.withColumns({"_n": F.lit(row["_n"]).cast("long"), "_mean": F.lit(row["_mean"]).cast("double")})
     if worst["n"] is None or worst["n"] < window:
         raise ValueError("a series must be at least as long as the window")
     if worst["missing"]:
         raise ValueError(f"{column} has missing values; fill or drop them first")
-    out = attach(df, facts.drop("_have"), series)
     return keyed(out.withColumn("_x", F.col(column).cast("double") - F.col("_mean")), series)
 
 

@@ -17,7 +17,7 @@ from tidemark.operators.ordering import (
 )
 from tidemark.session import checkpoint
 
-FOLD_EVENTS = 2_000
+FOLD_EVENTS = 10_000
 
 
 def _mark_runs(
@@ -86,14 +86,18 @@ def flag_runs(
 def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) -> DataFrame:
     """Greedily accept events that start ``spacing`` whole days after the last accepted one ended.
 
-    ``events`` has ``start``, ``end``, ``kind``, ``start_time`` and
-    ``last_time``. An event that starts late enough after everything before it
-    is accepted whatever happened earlier, so it opens an independent segment.
-    Short segments are folded in place; segments with more than
-    ``FOLD_EVENTS`` events are resolved by pointer doubling, which needs no
-    group in one task.
+    ``events`` has ``run``, ``start``, ``end``, ``kind``, ``start_time`` and
+    ``last_time``. Series with at most ``FOLD_EVENTS`` events are folded in
+    place. In longer ones an event that starts late enough after everything
+    before it is accepted whatever happened earlier, so it opens an independent
+    segment to fold. Segments that are still too long are resolved by pointer
+    doubling. No step holds an unbounded group in one task.
     """
     order = ["start_time", "kind", "end", "start"]
+    events = checkpoint(events)
+    largest = events.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= FOLD_EVENTS:
+        return _folded(events, keys, order, spacing).select(*keys, *order, "run", "last_time")
     laid = lay_out(events, order, keys)
     # Greatest last_time up to and including each event; the one before it decides.
     seen = running(laid, order, {"_rank": (F.lit(1), "sum"), "_latest": (F.col("last_time"), "max")}, keys)
@@ -106,22 +110,9 @@ def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) ->
     segmented = checkpoint(segmented.drop(PART, "_opens", "_before", "_latest"))
 
     sizes = segmented.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_size"))
-    event = F.struct(*order, "run", "last_time")
     rows = segmented.join(sizes, [*keys, "_segment"])
-    short = (
-        rows.filter(F.col("_size") <= FOLD_EVENTS)
-        .groupBy(*keys, "_segment")
-        .agg(F.array_sort(F.collect_list(event)).alias("_events"))
-    )
-
-    def step(accepted, e):
-        far = _apart(F.element_at(accepted, -1)["last_time"], e["start_time"], spacing)
-        return F.when(far, F.concat(accepted, F.array(e))).otherwise(accepted)
-
-    # The first event of a segment is always accepted, so the fold never sees an empty array.
-    events_of = F.col("_events")
-    folded = F.aggregate(F.slice(events_of, 2, FOLD_EVENTS), F.slice(events_of, 1, 1), step)
-    accepted = short.select(*keys, F.inline(folded))
+    short = rows.filter(F.col("_size") <= FOLD_EVENTS)
+    accepted = _folded(short, [*keys, "_segment"], order, spacing).select(*keys, *order, "run", "last_time")
     many = rows.filter(F.col("_size") > FOLD_EVENTS)
     if many.limit(1).count():
         accepted = accepted.unionByName(
@@ -130,6 +121,20 @@ def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) ->
     return accepted
 
 
+def _folded(events: DataFrame, keys: list[str], order: list[str], spacing: int) -> DataFrame:
+    """Accepted events of groups of at most ``FOLD_EVENTS``, scanned as one sorted array."""
+    found = F.array_sort(F.collect_list(F.struct(*order, "run", "last_time")))
+    grouped = events.groupBy(*keys).agg(found.alias("_events"))
+
+    def step(accepted, e):
+        far = _apart(F.element_at(accepted, -1)["last_time"], e["start_time"], spacing)
+        return F.when(far, F.concat(accepted, F.array(e))).otherwise(accepted)
+
+    # The first event is always accepted, so the fold never sees an empty array.
+    every = F.col("_events")
+    return grouped.select(*keys, F.inline(F.aggregate(F.slice(every, 2, FOLD_EVENTS), F.slice(every, 1, 1), step)))
+
+
 def _apart(earlier: Column, later: Column, days: int) -> Column:
     return later - earlier >= F.make_dt_interval(days=F.lit(days))
 

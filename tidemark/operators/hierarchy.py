@@ -70,12 +70,13 @@ def linkage(
     data, keys = keyed(df.select(*by, F.col(row_id).cast("long").alias(row_id), vector.alias("_x")), by)
     points = data.groupBy(*keys, "_x").agg(F.min(row_id).alias("leaf"), F.count(F.lit(1)).alias("w"))
     points = checkpoint(points.select(*keys, "leaf", "w", "_x"))
-    facts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).agg(
-        F.max("n").alias("n"), F.max("w").alias("w")
-    ).first()
+    missing = F.exists("_x", lambda v: v.isNull() | F.isnan(v))
+    facts = points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.bool_or(missing).alias("missing")
+    ).agg(F.max("n").alias("n"), F.max("w").alias("w"), F.bool_or("missing").alias("missing")).first()
     if facts["n"] is None:
         raise ValueError("no rows to cluster")
-    if points.filter(F.exists("_x", lambda v: v.isNull() | F.isnan(v))).limit(1).count():
+    if facts["missing"]:
         raise ValueError("features have missing values; fill or drop them first")
     rows = data.select(*keys, row_id, F.col(row_id).alias("leaf"))
     if facts["w"] > 1:
@@ -388,7 +389,8 @@ def _spread(tree: Tree, own: DataFrame, width: int) -> DataFrame:
             value[right] = np.where(mine >= 0, mine, value[left])
         return key_frame(keys, top, {"leaf": list(value), "values": [v.tolist() for v in value.values()]})
 
-    own = checkpoint(own)
+    if tree.rounds:
+        own = checkpoint(own)
     schema = grouped_schema(tree.points, keys, ("leaf", "long"), ("values", "array<long>"))
     upper = own.filter(F.col("level") >= tree.rounds).groupBy(*keys).cogroup(root.groupBy(*keys))
     known = upper.applyInPandas(down, schema)
