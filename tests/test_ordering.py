@@ -83,3 +83,12 @@ def test_attach_with_many_series(spark, monkeypatch):
     df = spark.createDataFrame(pd.DataFrame({"s": [1, 1, 2], "v": [1.0, 3.0, 5.0]}))
     got = ordering.attach(df, df.groupBy("s").agg(F.avg("v").alias("m")), ["s"]).toPandas()
     assert sorted(got.m) == [2.0, 2.0, 5.0]
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_join_skewed_keeps_all_rows(spark, monkeypatch, weight):
+    monkeypatch.setattr(ordering, "HOT_ROWS", 50)
+    df = spark.range(300).select(F.when(F.col("id") < 100, 0).otherwise(F.col("id") % 7 + 1).alias("k"), "id")
+    table = df.groupBy("k").agg(F.count(F.lit(1)).alias("w")).withColumn("v", F.col("k") * 10)
+    got = ordering.join_skewed(df, table, ["k"], weight).toPandas()
+    assert len(got) == 300 and (got.v == got.k * 10).all() and got.columns.tolist() == ["k", "id", "w", "v"]

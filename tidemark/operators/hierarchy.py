@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import as_vector
 from tidemark.operators.autocorrelation import grouped_schema, key_frame
 from tidemark.operators.blocks import BLOCK_ROWS, distances, meet, pack, unpack
-from tidemark.operators.ordering import attach, keyed, ordinal
+from tidemark.operators.ordering import attach, join_skewed, keyed, ordinal
 from tidemark.session import checkpoint
 
 LINKAGES = ("complete", "average", "single", "ward")
@@ -42,7 +42,8 @@ class Tree:
     ``points``: ``(*keys, leaf, w, _x)``, one row per distinct vector.
     ``merges``: one row per merge; ``left`` and ``right`` name the clusters,
     ``*_born`` the level that made them (-1 for a leaf). ``rows`` maps every
-    input row to its leaf. Merges below level ``rounds`` come from rounds.
+    input row to its leaf; ``copies`` says whether a leaf has several rows.
+    Merges below level ``rounds`` come from rounds.
     """
 
     points: DataFrame
@@ -52,6 +53,7 @@ class Tree:
     by: list[str]
     row_id: str
     rounds: int
+    copies: bool
 
 
 def linkage(
@@ -80,12 +82,12 @@ def linkage(
         raise ValueError("features have missing values; fill or drop them first")
     rows = data.select(*keys, row_id, F.col(row_id).alias("leaf"))
     if facts["w"] > 1:
-        rows = data.join(points.select(*keys, "_x", "leaf"), [*keys, "_x"]).select(*keys, row_id, "leaf")
+        rows = join_skewed(data, points, [*keys, "_x"], "w").select(*keys, row_id, "leaf")
     if facts["n"] <= finish:
         merges, rounds = _finish_points(points, keys, method), 0
     else:
         merges, rounds = _rounds(points, keys, list(by), method, finish, block)
-    return Tree(points, checkpoint(merges), rows, keys, list(by), row_id, rounds)
+    return Tree(points, checkpoint(merges), rows, keys, list(by), row_id, rounds, facts["w"] > 1)
 
 
 def _ward_factor(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,10 +211,12 @@ def _absorb(members: DataFrame, clusters: DataFrame, new: DataFrame, keys: list[
         F.coalesce("_height", "height").alias("height"),
     ))
     if method != "ward":
-        moved = members.join(gone, [*keys, "cid"], "left").select(
-            *keys, "leaf", F.coalesce("_to", "cid").alias("cid"), "w", "_x"
-        )
-        return checkpoint(moved.join(now.select(*keys, "cid", "size"), [*keys, "cid"])), now
+        # Old name to new name and new size: one join, in which a cluster may hold most rows.
+        place = clusters.select(*keys, "cid", F.col("size").alias("_had")).join(gone, [*keys, "cid"], "left")
+        place = place.withColumn("_now", F.coalesce("_to", "cid")).drop("_to")
+        sizes = now.select(*keys, F.col("cid").alias("_now"), F.col("size").alias("_size"))
+        moved = join_skewed(members.drop("size"), place.join(sizes, [*keys, "_now"]), [*keys, "cid"], "_had")
+        return checkpoint(moved.select(*keys, "leaf", F.col("_now").alias("cid"), "w", F.col("_size").alias("size"), "_x")), now
     # Ward needs one centre of mass per cluster only.
     side = lambda c: members.select(*keys, F.col("cid").alias(c), F.col("size").alias(f"_n_{c}"), F.col("_x").alias(f"_x_{c}"))
     both = new.select(*keys, "left", "right").join(side("left"), [*keys, "left"]).join(side("right"), [*keys, "right"])
@@ -403,7 +407,10 @@ def _spread(tree: Tree, own: DataFrame, width: int) -> DataFrame:
 
 
 def _to_rows(tree: Tree, leaves: DataFrame) -> DataFrame:
-    return tree.rows.join(leaves, [*tree.keys, "leaf"])
+    if not tree.copies:
+        return tree.rows.join(leaves, [*tree.keys, "leaf"])
+    weighted = leaves.join(tree.points.select(*tree.keys, "leaf", "w"), [*tree.keys, "leaf"])
+    return join_skewed(tree.rows, weighted, [*tree.keys, "leaf"], "w").drop("w")
 
 
 def cut(tree: Tree, ks: Sequence[int]) -> DataFrame:

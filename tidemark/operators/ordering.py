@@ -19,6 +19,7 @@ BUCKET = "_bucket"
 BUCKET_ROWS = 65_536
 BROADCAST_ROWS = 100_000
 SMALL_GROUP = 1_000_000
+HOT_ROWS = 1_000_000
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -105,9 +106,8 @@ def attach(df: DataFrame, facts: DataFrame, series: Sequence[str]) -> DataFrame:
     """Add one row of facts per series to every row of that series.
 
     Without a series key the single row becomes literals. Otherwise the facts
-    are broadcast when a count shows them to be few; larger fact tables take a
-    shuffle join, where adaptive execution splits a series that holds a large
-    share of the rows.
+    are broadcast when a count shows them to be few; larger fact tables take
+    :func:`join_skewed`.
     """
     if not series:
         row = facts.first()
@@ -115,8 +115,33 @@ def attach(df: DataFrame, facts: DataFrame, series: Sequence[str]) -> DataFrame:
         return df.withColumns({n: F.lit(row[n]).cast(t) for n, t in fields.items()})
     facts = checkpoint(facts)
     if facts.count() <= BROADCAST_ROWS:
-        facts = F.broadcast(facts)
-    return df.join(facts, list(series), "inner")
+        return df.join(F.broadcast(facts), list(series), "inner")
+    return join_skewed(df, facts, series)
+
+
+def join_skewed(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Inner join with a table of unique keys when a few keys may hold most of ``df``.
+
+    Keys with more than ``HOT_ROWS`` rows are few, so their part of the table
+    is broadcast (behind a count) and their rows stay where they are; all other
+    rows are shuffled. ``weight`` names a column of ``table`` with the number
+    of rows per key, if it is known.
+    """
+    keys = list(on)
+    extra = [c for c in table.columns if c not in keys]
+    if weight:
+        hot = table.filter(F.col(weight) > HOT_ROWS)
+    else:
+        many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > HOT_ROWS)
+        hot = table.join(many.select(*keys), keys, "left_semi")
+    hot = checkpoint(hot)
+    found = hot.count()
+    if not 0 < found <= BROADCAST_ROWS:
+        return df.join(table, keys)
+    out = [*df.columns, *extra]
+    tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    cold = tagged.filter("_hot IS NULL").select(*df.columns).join(table, keys).select(*out)
+    return tagged.filter("_hot").select(*out).unionByName(cold)
 
 
 def bucket_rows(reach: int, size: int | None = None) -> int:
@@ -233,7 +258,7 @@ def quantiles(
     laid = lay_out(counts, ["v"], keys)
     ranked = running(laid, ["v"], {"upto": (F.col("w"), "sum")}, keys)
     totals = laid.groupBy(*keys).agg(F.sum("w").alias("n"))
-    ranked = ranked.join(totals, keys) if by else ranked.join(F.broadcast(totals), keys)
+    ranked = attach(ranked, totals, keys)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     spot = F.posexplode(wanted).alias("i", "p")
     picked = ranked.select(*keys, "v", "w", "upto", "n", spot).withColumn("r", F.col("p") * (F.col("n") - 1))
