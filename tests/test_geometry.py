@@ -51,7 +51,7 @@ def test_split_rows_add_their_daughters(spark):
     d1, none, zero = (4e5, 1.0, 0.0, 10.0, 80.0), (None,) * 5, (0.0,) * 5
     rows = [(1, 1, *base, *d1, *d1), (2, 1, *base, *d1, *zero), (3, 0, *base, *d1, *d1), (4, 1, *base, *none, *none)]
     df = spark.createDataFrame(rows, f"id int, form int, {SCHEMA}, {extra}")
-    got = geo.vortex_shapes(df, ["id"]).groupBy("id").count().toPandas().set_index("id")["count"].to_dict()
+    got = geo.split_shapes(df, ["id"]).groupBy("id").count().toPandas().set_index("id")["count"].to_dict()
     assert got == {1: 3, 2: 2, 3: 1, 4: 1}
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.autocorrelation import grouped_schema, key_frame
-from tidemark.operators.ordering import attach, ordinal
+from tidemark.operators.ordering import attach, ordinal, side_by_side
 from tidemark.session import checkpoint
 
 BLOCK_ROWS = 2_048
@@ -68,7 +68,8 @@ def meet(
     work: Callable[[pd.Series, pd.Series, bool], dict],
 ) -> DataFrame:
     """Run ``work(left, right, same)`` on every unordered pair of blocks of a group."""
-    last = packed.groupBy(*by).agg(F.max("block").alias("_last"))
+    last = checkpoint(packed.groupBy(*by).agg(F.max("block").alias("_last")))
+    pairs = last.agg(F.sum(F.expr("(_last + 1) * (_last + 2) div 2"))).first()[0]
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_other")
     copies = attach(packed, last, by).select(*packed.columns, other)
     copies = copies.withColumns({"_lo": F.least("block", "_other"), "_hi": F.greatest("block", "_other")})
@@ -78,4 +79,5 @@ def meet(
         left, right = pdf.iloc[0], pdf.iloc[-1]
         return key_frame(keys, pdf, work(left, right, len(pdf) == 1))
 
-    return copies.groupBy(*keys, "_lo", "_hi").applyInPandas(run, schema)
+    group = [*keys, "_lo", "_hi"]
+    return side_by_side(copies, group, int(pairs or 1)).groupBy(*group).applyInPandas(run, schema)

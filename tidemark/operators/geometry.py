@@ -100,7 +100,7 @@ def ellipse_rejects(df: DataFrame, columns: Sequence[str] = SHAPE) -> DataFrame:
     return df.withColumn("fault", shape_fault(columns)).filter("fault IS NOT NULL")
 
 
-def vortex_shapes(df: DataFrame, keep: Sequence[str], split_column: str = "form", split=1) -> DataFrame:
+def split_shapes(df: DataFrame, keep: Sequence[str], split_column: str = "form", split=1) -> DataFrame:
     """One row per shape: ``(*keep, slot, area, ar, theta, loncent, latcent)``.
 
     Slot 0 is the whole vortex. Rows of the split class add slots 1 and 2,
@@ -142,5 +142,5 @@ def shape_timeline(
         raise KeyError(f"missing columns: {missing}")
     ordered = time_groups(ordinal(df, [time, *tie]), max_groups)
     keep = ["idx", time, "part", "position"]
-    shapes = vortex_shapes(ordered, keep, split_column, split)
+    shapes = split_shapes(ordered, keep, split_column, split)
     return ellipses(shapes, [*keep, "slot"], num_points)

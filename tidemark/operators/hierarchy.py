@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import as_vector
 from tidemark.operators.autocorrelation import grouped_schema, key_frame
 from tidemark.operators.blocks import BLOCK_ROWS, distances, meet, pack, unpack
-from tidemark.operators.ordering import attach, join_skewed, keyed, ordinal
+from tidemark.operators.ordering import attach, join_skewed, keyed, ordinal, side_by_side
 from tidemark.session import checkpoint
 
 LINKAGES = ("complete", "average", "single", "ward")
@@ -75,7 +75,7 @@ def linkage(
     missing = F.exists("_x", lambda v: v.isNull() | F.isnan(v))
     facts = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.bool_or(missing).alias("missing")
-    ).agg(F.max("n").alias("n"), F.max("w").alias("w"), F.bool_or("missing").alias("missing")).first()
+    ).agg(F.max("n").alias("n"), F.max("w").alias("w"), F.bool_or("missing").alias("missing"), F.count(F.lit(1)).alias("groups")).first()
     if facts["n"] is None:
         raise ValueError("no rows to cluster")
     if facts["missing"]:
@@ -84,7 +84,7 @@ def linkage(
     if facts["w"] > 1:
         rows = join_skewed(data, points, [*keys, "_x"], "w").select(*keys, row_id, "leaf")
     if facts["n"] <= finish:
-        merges, rounds = _finish_points(points, keys, method), 0
+        merges, rounds = _finish_points(side_by_side(points, keys, facts["groups"]), keys, method), 0
     else:
         merges, rounds = _rounds(points, keys, list(by), method, finish, block)
     return Tree(points, checkpoint(merges), rows, keys, list(by), row_id, rounds, facts["w"] > 1)

@@ -144,6 +144,17 @@ def join_skewed(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str
     return tagged.filter("_hot").select(*out).unionByName(cold)
 
 
+def side_by_side(df: DataFrame, keys: Sequence[str], groups: int) -> DataFrame:
+    """Partition by group ahead of costly work on each group.
+
+    Adaptive execution sizes tasks by bytes and would put many small but slow
+    groups into one; a stated number of partitions is left alone.
+    """
+    spark = df.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(4 * groups, most)), *keys)
+
+
 def bucket_rows(reach: int, size: int | None = None) -> int:
     """Bucket length for windows that look ``reach`` rows away."""
     size = size or max(BUCKET_ROWS, 8 * reach)

@@ -886,8 +886,8 @@ _SLOTS = """s AS (SELECT string, 0 AS slot, area, ar, theta, loncent, latcent FR
 
 
 @query(f"""WITH {DAILY}, {SHAPES}, {_SLOTS} SELECT strftime(string, '%Y-%m-%d') AS day, slot, round(area, 4) + 0.0 AS area, round(theta, 6) + 0.0 AS theta, round(latcent, 6) + 0.0 AS latcent FROM s""")
-def vortex_shapes(spark, folder):
-    out = geometry.vortex_shapes(shapes(daily(spark, folder)), ["string"])
+def split_shapes(spark, folder):
+    out = geometry.split_shapes(shapes(daily(spark, folder)), ["string"])
     return out.select(day().alias("day"), "slot", (F.round("area", 4) + 0.0).alias("area"), r6("theta").alias("theta"), r6("latcent").alias("latcent"))
 
 
