@@ -210,9 +210,9 @@ def row_slice(spark, folder):
     return ordering.slice_rows(indexed(spark, folder), 100, -399).select("idx", "area")
 
 
-@query(f"""WITH {DAILY} SELECT strftime(string, '%Y-%m-%d') AS day, ar FROM daily WHERE NOT (ar > 2.1 OR area > 1500000)""")
+@query(f"""WITH {DAILY} SELECT strftime(string, '%Y-%m-%d') AS day, ar FROM daily WHERE NOT (ar > 2.1 OR area > 1.5)""")
 def extreme_exclusion(spark, folder):
-    return filters.exclude(daily(spark, folder), (F.col("ar") > 2.1) | (F.col("area") > 1500000)).select(day().alias("day"), "ar")
+    return filters.exclude(daily(spark, folder), (F.col("ar") > 2.1) | (F.col("area") > 1.5)).select(day().alias("day"), "ar")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
@@ -361,11 +361,11 @@ def class_histogram(spark, folder):
 f AS (SELECT label, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, avg(v) AS m FROM d GROUP BY label),
 g AS (SELECT i AS point, lo + (hi - lo) * i / 199 AS x FROM p, range(200) t(i))
 SELECT d.label, point::INT AS point, round(any_value(x), 6) + 0.0 AS x,
- round(sum(exp(-0.5 * pow((x - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1000000, 6) + 0.0 AS density, round(any_value(m), 6) + 0.0 AS class_mean
+ round(sum(exp(-0.5 * pow((x - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) + 0.0 AS density, round(any_value(m), 6) + 0.0 AS class_mean
 FROM d JOIN f USING (label) CROSS JOIN g GROUP BY d.label, point""")
 def class_density(spark, folder):
     out = aggregate.class_density(daily(spark, folder), "area", "form")
-    return out.select("label", "point", r6("x").alias("x"), r6(F.col("density") * 1000000).alias("density"), r6("class_mean").alias("class_mean"))
+    return out.select("label", "point", r6("x").alias("x"), r6("density").alias("density"), r6("class_mean").alias("class_mean"))
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT form AS label, (ar - min(ar) OVER ()) / (max(ar) OVER () - min(ar) OVER ()) AS ar,

@@ -18,7 +18,7 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_shipdate").alias("string"))
         .agg(
-            F.round(F.sum(price), 2).alias("area"),
+            (F.round(F.sum(price), 2) / 1000000).alias("area"),
             (F.max(price) * F.count(F.lit(1)) / F.round(F.sum(price), 2)).alias("ar"),
             (F.sum("l_quantity") / F.count(F.lit(1)) + 40).alias("latcent"),
             F.round(F.sum("l_discount"), 2).alias("edge"),
@@ -69,7 +69,7 @@ def shapes(df: DataFrame) -> DataFrame:
     """Valid ellipse parameters from daily values, with two daughters on split days."""
     out = df.select(
         "string",
-        (F.col("area") + 1000000).alias("area"),
+        ((F.col("area") + 1) * 1000000).alias("area"),
         "ar",
         (F.col("edge") * 3).alias("theta"),
         (F.col("n") * 7 % 360 - 180).cast("double").alias("loncent"),
@@ -98,7 +98,7 @@ def day(c: str = "string") -> Column:
 
 
 DAILY = """daily AS (
-  SELECT l_shipdate AS string, round(sum(l_extendedprice), 2) AS area,
+  SELECT l_shipdate AS string, round(sum(l_extendedprice), 2) / 1000000 AS area,
          max(l_extendedprice) * count(*) / round(sum(l_extendedprice), 2) AS ar,
          sum(l_quantity) / count(*) + 40 AS latcent, round(sum(l_discount), 2) AS edge,
          count(*) AS n,
@@ -118,6 +118,6 @@ USER_DAYS = """user_days AS (
   SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, round(sum(value), 2) AS value, count(*) AS n
   FROM events GROUP BY ALL)"""
 SHAPES = """base AS (
-  SELECT string, area + 1000000 AS area, ar, edge * 3 AS theta, (n * 7 % 360 - 180)::DOUBLE AS loncent, latcent,
+  SELECT string, (area + 1) * 1000000 AS area, ar, edge * 3 AS theta, (n * 7 % 360 - 180)::DOUBLE AS loncent, latcent,
          CASE WHEN form = 'S' THEN 1 ELSE 0 END AS form FROM daily),
 shapes AS (SELECT *, area * 0.6 AS area1, CASE WHEN latcent > 65 THEN area * 0.4 END AS area2 FROM base)"""
