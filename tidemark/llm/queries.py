@@ -8,12 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language_id, packing, simhash
+from tidemark.llm import bpe, language_id, packing, sanitise, simhash, substring_dedup
 from tidemark.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.deduplicate(docs, whole=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(sanitise.KINDS)]
+    base = F.sha2(sanitise.shown(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, sanitise.shown(F.col("spans")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -35,6 +47,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_pii": op2_pii,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_bpe": op9_bpe,
