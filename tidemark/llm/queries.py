@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, forest, language_id, packing, sanitise, simhash, substring_dedup, topk
+from tidemark.llm import bpe, forest, language_id, packing, sanitise, simhash, substring_dedup, templates, topk, warc
 from tidemark.llm.common import table
+from tidemark.session import checkpoint
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +31,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +49,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.scratch_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    records = checkpoint(warc.read(checkpoint(warc.index(spark, folder))))
+    return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -58,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
     "op3_exact_topk": op3_exact_topk,
+    "op4_html": op4_html,
     "op5_ann_forest": op5_ann_forest,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
 }

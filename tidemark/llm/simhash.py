@@ -61,15 +61,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``fp``, the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            codes = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "fp"])
+            codes = np.array([fingerprint(t, shingle) for t in batch.column("_text").to_pylist()], dtype=np.uint64)
+            columns = [*[batch.column(c) for c in keep], pa.array(codes.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 def _masks(bits: int, most: int) -> list[tuple[int, int]]:
@@ -238,15 +239,37 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest doc_id reachable over links."""
-    found = checkpoint(fingerprints(docs, shingle))
+def _labels(found: DataFrame, distance: int, node_rows: int) -> DataFrame:
+    """``fp`` and ``component_id`` for every fingerprint."""
     codes = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("_first")))
     roots = components(links(codes, distance, node_rows))
     named = checkpoint(codes.join(roots, "fp", "left").select("fp", "_first", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("_first").alias("component_id"))
-    labels = checkpoint(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return found.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return checkpoint(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id``, the smallest doc_id reachable over links."""
+    found = checkpoint(fingerprints(docs, shingle))
+    return found.join(_labels(found, distance, node_rows), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
+    """One row of ``docs`` per component: the smallest doc_id, and then the smallest digest of the text."""
+    columns = docs.columns
+    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = checkpoint(fingerprints(keyed.select("doc_id", "text", "_key"), shingle, ("doc_id", "_key")))
+    labels = _labels(found, distance, node_rows).select("fp", "root")
+    # Nulls last: a row without an id stays only where its whole component has none.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    first = found.groupBy("fp").agg(F.min(place).alias("_place"))
+    stay = first.join(labels, "fp").groupBy("root").agg(F.min("_place").alias("_place"))
+    stay = stay.select(F.col("_place.id").alias("_id"), F.col("_place.key").alias("_of"))
+    out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left_semi")
+    repeated = found.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_key"])
+    return out.select(*columns)
 
 
 def as_hex(fp: Column) -> Column:
