@@ -236,3 +236,16 @@ def test_model_contract(blobs):
         selection.check_model(type("NoK", (), {"fit": None})())
     with pytest.raises(ValueError):
         selection.check_model(KMeans(k=2).fit(df.select(selection.array_to_vector(selection.vector_of(ABC)).alias("features"))))
+
+
+@pytest.mark.parametrize("method", ["complete", "average", "single", "ward"])
+def test_ties_do_not_depend_on_finish(spark, method):
+    x = np.random.default_rng(3).integers(0, 4, size=(40, 2)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=range(40)))
+    found = []
+    for finish, block in ((3000, 2048), (5, 6)):
+        tree = hierarchy.linkage(df, ["a", "b"], "id", method, finish=finish, block=block)
+        labels = hierarchy.cut(tree, range(1, 9)).toPandas().sort_values(["k", "id"])
+        steps = hierarchy.merge_table(tree).toPandas().sort_values("step")
+        found.append((labels.label.tolist(), steps[["left", "right", "size"]].to_numpy().tolist(), steps.height.round(6).tolist()))
+    assert found[0] == found[1]

@@ -4,10 +4,14 @@ All four linkages are reducible: merging every pair of clusters that are each
 other's nearest neighbour gives the same tree as merging the closest pair
 first (Bruynooghe 1977, Murtagh 1983). A round finds all nearest neighbours by
 blocks, merges all mutual pairs and cuts lineage; once at most ``FINISH``
-clusters are left the top of the tree is built in one bounded task per group.
-Equal rows form one weighted leaf, so copies cost nothing.
-
-A cluster is named by its smallest leaf, a leaf by its smallest row id.
+clusters are left the same rounds go on in one bounded task per group. Equal
+rows form one weighted leaf, so copies cost nothing.
+
+A cluster is named by its smallest leaf, a leaf by its smallest row id. Ties
+have one order in both places, so labels do not depend on ``FINISH``:
+neighbours rank by (distance, smaller name, larger name), where distances count
+as equal when they agree in single precision, and merges rank by (height,
+round, name of the right side).
 """
 
 from __future__ import annotations
@@ -105,55 +109,53 @@ def _combine(method: str, da, db, dab: float, na: float, nb: float, n: np.ndarra
     return np.sqrt(((na + n) * da**2 + (nb + n) * db**2 - n * dab**2) / (na + nb + n))
 
 
-def merge_all(d: np.ndarray, names: np.ndarray, size: np.ndarray, born: np.ndarray, method: str, level: int) -> dict:
-    """All merges of clusters with distance matrix ``d``, by nearest-neighbour chains.
+def merge_all(
+    d: np.ndarray, names: np.ndarray, size: np.ndarray, born: np.ndarray, method: str, level: int, height: np.ndarray | None = None
+) -> dict:
+    """All merges of clusters with distance matrix ``d``, round by round.
 
     ``names`` ascend, and a merged cluster stays in the lower slot, so a slot
-    always carries the name of its smallest leaf. Merges come out in height
-    order; ``level`` is the number the first one gets.
+    always carries the name of its smallest leaf and the first minimum of a row
+    is the neighbour that ranks first. ``level`` is the number of the first
+    round. After a round only rows that lost their neighbour look for a new one.
     """
     n = len(names)
-    size, made = size.astype(float), np.full(n, -1)
-    floor = np.zeros(n)
+    size, born = size.astype(float), born.astype(np.int64)
+    floor = np.zeros(n) if height is None else height.astype(float)
     np.fill_diagonal(d, np.inf)
-    alive = np.ones(n, bool)
-    found, chain, first = [], [], 0
-    for step in range(n - 1):
-        if not chain:
-            while not alive[first]:
-                first += 1
-            chain = [first]
-        while True:
-            a = chain[-1]
-            b = int(np.argmin(d[a]))
-            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        i, j = min(a, b), max(a, b)
-        height = max(float(d[i, j]), floor[i], floor[j])
-        found.append((height, i, j, made[i], made[j], size[i] + size[j]))
-        with np.errstate(invalid="ignore"):
-            row = _combine(method, d[i], d[j], float(d[i, j]), size[i], size[j], size)
-        alive[j] = False
-        row[~alive] = np.inf
-        row[i] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        made[i], floor[i] = step, height
-    order = sorted(range(n - 1), key=lambda s: found[s][0])
-    place = np.empty(max(n - 1, 1), int)
-    place[order] = np.arange(n - 1)
-
-    def origin(slot: int, step: int) -> int:
-        return int(born[slot]) if step < 0 else level + int(place[step])
-
-    out = [
-        (level + at, names[i], names[j], origin(i, mi), origin(j, mj), h, int(s))
-        for at, (h, i, j, mi, mj, s) in enumerate(found[s] for s in order)
-    ]
+    rank = d.astype(np.float32)
+    alive, near = np.ones(n, bool), rank.argmin(axis=1)
+    out = []
+    for at in range(level, level + n):
+        slots = np.flatnonzero(alive)
+        if len(slots) < 2:
+            break
+        left = slots[(near[near[slots]] == slots) & (slots < near[slots])]
+        right = near[left]
+        for i, j in zip(left.tolist(), right.tolist()):
+            top = max(float(d[i, j]), floor[i], floor[j])
+            out.append((at, names[i], names[j], int(born[i]), int(born[j]), top, int(size[i] + size[j])))
+            with np.errstate(invalid="ignore"):
+                row = _combine(method, d[i], d[j], float(d[i, j]), size[i], size[j], size)
+            alive[j] = False
+            row[~alive] = np.inf
+            row[i] = np.inf
+            d[i], d[:, i] = row, row
+            d[j], d[:, j] = np.inf, np.inf
+            rank[i] = rank[:, i] = row
+            rank[j] = rank[:, j] = np.inf
+            size[i] += size[j]
+            born[i], floor[i] = at, top
+        slots = np.flatnonzero(alive)
+        lost = np.isin(near[slots], np.r_[left, right]) | np.isin(slots, left)
+        kept = slots[~lost]
+        for i in left.tolist():
+            closer = rank[kept, i] < rank[kept, near[kept]]
+            closer |= (rank[kept, i] == rank[kept, near[kept]]) & (i < near[kept])
+            near[kept[closer]] = i
+        again = slots[lost]
+        for part in range(0, len(again), 512):
+            near[again[part : part + 512]] = rank[again[part : part + 512]].argmin(axis=1)
     return {c: [r[at] for r in out] for at, (c, _) in enumerate(_MERGE)}
 
 
@@ -274,21 +276,21 @@ def _nearest(members: DataFrame, keys: list[str], by: list[str], method: str, bl
         na, fa, nb, fb, d = _cells(left, right, method)
         equal = np.equal.outer(na, nb)
         whole = np.logical_and.outer(fa, fb)
-        full = np.where(whole & ~equal, d, np.inf)
+        full = np.where(whole & ~equal, d, np.inf).astype(np.float32)
         out = {"cid": [], "other": [], "d": [], "part": []}
 
-        def best(matrix, mine, others):
-            low = matrix.min(axis=1)
+        def best(matrix, exact, mine, others):
             # names ascend, so the first minimum is the one with the smallest name
-            pick, ok = matrix.argmin(axis=1), np.isfinite(low)
+            pick = matrix.argmin(axis=1)
+            low, ok = exact[np.arange(len(exact)), pick], np.isfinite(matrix.min(axis=1))
             out["cid"] += mine[ok].tolist()
             out["other"] += others[pick[ok]].tolist()
             out["d"] += low[ok].tolist()
             out["part"] += [False] * int(ok.sum())
 
-        best(full, na, nb)
+        best(full, d, na, nb)
         if not same:
-            best(full.T, nb, na)
+            best(full.T, d.T, nb, na)
         # Inside one block each pair shows up twice; report it once.
         cut = ~whole & ~equal & (np.less.outer(na, nb) if same else True)
         i, j = np.nonzero(cut)
@@ -308,7 +310,7 @@ def _nearest(members: DataFrame, keys: list[str], by: list[str], method: str, bl
         F.struct(F.col("_b").alias("cid"), F.col("_a").alias("other")),
     ))
     every = found.filter("NOT part").select(*keys, "cid", "other", "d").unionByName(parts.select(*keys, ends, "d"))
-    rank = F.struct("d", F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+    rank = F.struct(F.col("d").cast("float").alias("rank"), F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"), "d")
     near = every.groupBy(*keys, "cid").agg(F.min(rank).alias("m"))
     other = F.when(F.col("cid") == F.col("m.a"), F.col("m.b")).otherwise(F.col("m.a"))
     return checkpoint(near.select(*keys, "cid", other.alias("other"), F.col("m.d").alias("d")))
@@ -364,7 +366,7 @@ def _finish_clusters(
         r = np.searchsorted(names, single["cid"].to_numpy(dtype=np.int64))
         c = np.searchsorted(names, single["other"].to_numpy(dtype=np.int64))
         d[r, c] = d[c, r] = single["d"].to_numpy(float)
-        merged = merge_all(d, names, state["size"].to_numpy(), state["born"].to_numpy(), method, level)
+        merged = merge_all(d, names, state["size"].to_numpy(), state["born"].to_numpy(), method, level, state["height"].to_numpy())
         return key_frame(keys, state, merged)
 
     group = blocks.unionByName(parts).groupBy(*keys).cogroup(clusters.groupBy(*keys))
@@ -423,12 +425,17 @@ def cut(tree: Tree, ks: Sequence[int]) -> DataFrame:
     if not ks or ks[0] < 1:
         raise ValueError("cluster counts start at 1")
     keys = tree.keys
-    # Undoing the k - 1 highest merges leaves k clusters. Only max(ks) - 1 rows per group pass the filter.
-    order = Window.partitionBy(*keys).orderBy(F.desc("height"), F.desc("level"))
-    top = tree.merges.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") < ks[-1])
+    # Undoing the k - 1 highest merges leaves k clusters. Only max(ks) - 1 rows per group pass.
+    last = [F.desc("height"), F.desc("level"), F.desc("right")]
+    if tree.by:
+        order = Window.partitionBy(*keys).orderBy(*last)
+        top = tree.merges.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") < ks[-1]).drop("_rn")
+    else:
+        top = tree.merges.orderBy(*last).limit(ks[-1] - 1)
 
     def codes(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank, names = pdf["_rn"].to_numpy(), pdf["right"].to_numpy()
+        pdf = pdf.sort_values(["height", "level", "right"], ascending=False)
+        rank, names = np.arange(1, len(pdf) + 1), pdf["right"].to_numpy()
         own = np.full((len(pdf), len(ks)), -1)
         for at, k in enumerate(ks):
             roots = np.flatnonzero(rank < k)
@@ -499,7 +506,3 @@ def tree_levels(table: DataFrame, levels: int = 4, by: Sequence[str] = ()) -> Da
         front = checkpoint(numbered.join(wanted, [*keys, "_made"]).select(*table.columns).withColumn("depth", F.lit(depth)))
         out = out.unionByName(front)
     return out.select(*by, "depth", "step", "left", "right", "height", "size")
-
-
-def labels_wide(labels: DataFrame, row_id: str, k: int) -> DataFrame:
-    return labels.filter(F.col("k") == k).select(row_id, "label")
