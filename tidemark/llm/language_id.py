@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
+from tidemark.session import checkpoint
 
 UNDETERMINED = "und"
 #: Labelled rows per language that the fit reads (in expectation).
@@ -32,6 +33,8 @@ ROWS_PER_LANGUAGE = 2_000
 MAX_WORDS = 50_000
 MAX_GRAMS = 30_000
 LONGEST_GRAM = 5
+#: Languages that the model knows; the most frequent stay.
+MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 #: Scored unseen words that a worker remembers before it starts anew.
 MEMORY = 200_000
@@ -48,10 +51,15 @@ class Model:
     scores: np.ndarray
 
 
-def _sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
-    share = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("_share"))
+def _sample(labelled: DataFrame, rows_per_language: int, max_languages: int) -> DataFrame:
+    """A share of each language's rows; the shares are literals, so no text is shuffled."""
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = F.lit(0.0)
+    if sizes:
+        pairs = [F.lit(v) for row in sizes for v in (row["lang"], min(1.0, rows_per_language / row["n"]))]
+        share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("lang")), F.lit(0.0))
     spot = F.pmod(F.xxhash64(F.col("_key")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(share, "lang").filter(spot < F.col("_share")).select("lang", "text")
+    return labelled.filter(spot < share).select("lang", "text")
 
 
 def _grams(word: Column, n: int) -> Column:
@@ -67,12 +75,13 @@ def fit(
     max_words: int = MAX_WORDS,
     max_grams: int = MAX_GRAMS,
     longest: int = LONGEST_GRAM,
+    max_languages: int = MAX_LANGUAGES,
 ) -> Model:
     """Fit on ``docs`` (key, text, lang). What reaches the driver is bounded by the parameters."""
     labelled = docs.select(F.col("key").alias("_key"), "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = _sample(labelled, rows_per_language)
+    sample = _sample(labelled, rows_per_language, max_languages)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    counts = sample.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpoint(sample.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     pieces = F.array(
         F.struct(F.lit(0).alias("k"), F.array(F.col("word")).alias("g")),
         *[F.struct(F.lit(n).alias("k"), _grams(F.col("word"), n).alias("g")) for n in range(1, longest + 1)],
@@ -85,6 +94,7 @@ def fit(
         .groupBy("k", "term")
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
     )
+    terms = checkpoint(terms)
     kept: list[list] = []
     languages: set[str] = set()
     for k in range(longest + 1):
