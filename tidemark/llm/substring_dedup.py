@@ -9,15 +9,15 @@ anchor: a block of one equals a rolling window of block length in the other.
    rolling windows, each content once, to buckets by fingerprint. A bucket
    says which contents are a block elsewhere. These are short fingerprints, so
    some hits are false, a share that does not grow with the data.
-3. Extend: the windows around a hit, taken whole, go to buckets under 96 bits
+3. Extend: the windows around a hit, taken whole, go to buckets under 80 bits
    of their hash, again once per batch and content, with their first place. The
    bucket finds the first place overall. Windows that follow each other make up
    the maximal repeats; every word that a later window covers is removed.
 
 A passage that a third of all documents share costs one entry per batch, not
-per document, and no pairs are made. Batches find their answers by a join on the
-batch id; buckets are as many as the data need. Three scans recompute hashes
-from the compressed batches rather than move them.
+per document, and no pairs are made. Batches meet their answers by a join on the
+batch id, and both joins read one shuffle of the compressed texts; hashes are
+computed anew rather than moved. Buckets are as many as the data need.
 
 Cases: null and empty texts have no words and stay as they are. Documents
 shorter than a window lose nothing. Rows that repeat a doc_id and start at the
@@ -269,7 +269,7 @@ def _answered(answers: list[dict] | None, name: str, span: int) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-_ENTRY = np.dtype([("high", "<u8"), ("low", "<u4")])
+_ENTRY = np.dtype([("high", "<u8"), ("low", "<u2")])
 
 
 def _window_requests(table: DataFrame, window: int, buckets: int, span: int, finals: int) -> DataFrame:
@@ -286,7 +286,7 @@ def _window_requests(table: DataFrame, window: int, buckets: int, span: int, fin
                 (high,) = _family(1).windows(batch.buffer, batch.at, (window,))
                 (low,) = _family(2).windows(batch.buffer, batch.at, (window,))
                 entry = np.empty(len(at), _ENTRY)
-                entry["high"], entry["low"] = high[at], low[at] & np.uint64(0xFFFFFFFF)
+                entry["high"], entry["low"] = high[at], low[at] & np.uint64(0xFFFF)
                 # Words are in order of (doc_id, start), so a stable sort puts the first place first.
                 order = np.lexsort((np.arange(len(at)), entry["low"], entry["high"]))
                 ranked = entry[order]
@@ -394,10 +394,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, whole: bool = True) -> Da
     asked = _anchor_requests(table, window, buckets, span)
     answers = asked.groupBy("bucket").applyInArrow(_anchor_answers, "batch long, bucket long, once binary, often binary")
     by_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "once", "often")).alias("answers"))
-    probed = table.select("batch", "texts", "ids", "sizes").join(by_batch, "batch")
+    # Both joins are left joins over all columns, so that Spark reuses one exchange of the texts.
+    probed = table.join(by_batch, "batch", "left")
     finals = max(2 * width(docs.sparkSession), total // (4 * BUCKET_WORDS))
     asked = _window_requests(probed, window, buckets, span, finals)
-    late = checkpoint(asked.groupBy("bucket").applyInArrow(_window_answers, "batch long, late binary"))
+    late = asked.groupBy("bucket").applyInArrow(_window_answers, "batch long, late binary")
     late = late.groupBy("batch").agg(F.collect_list("late").alias("late"))
     out = _rewrite(table.join(late, "batch", "left"), window, row_type.simpleString(), whole)
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
