@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidemark.llm.common import slices
 
@@ -315,7 +316,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(encoder.encode(t), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("ids", "array<int>"))
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

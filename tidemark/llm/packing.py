@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.bpe import worker
 from tidemark.llm.common import slices
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids:
     for name in ("start", "length", "ids_crc32", "doc_tokens", "_part", "_nth"):
         schema = schema.add(name, "long")
     if ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import slices, width
 from tidemark.session import checkpoint
@@ -125,8 +126,9 @@ def batches(docs: DataFrame) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     row_type = docs.select("row").schema[0].dataType
-    schema = "batch long, texts binary, ids array<long>, sizes array<long>, words long, rows array<" + row_type.simpleString() + ">"
-    target = docs.sparkSession.createDataFrame([], schema).schema
+    target = (
+        T.StructType().add("batch", "long").add("texts", "binary").add("ids", T.ArrayType(T.LongType())).add("sizes", T.ArrayType(T.LongType())).add("words", "long")
+    ).add("rows", T.ArrayType(row_type))
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -347,8 +349,8 @@ def _covered(batch: _Batch, late: np.ndarray) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
-def _rewrite(table: DataFrame, window: int, row_type: str, whole: bool) -> DataFrame:
-    schema = table.sparkSession.createDataFrame([], f"row {row_type}, n_words long, n_removed long, kept_sha256 string, text string").schema
+def _rewrite(table: DataFrame, window: int, row_type: T.DataType, whole: bool) -> DataFrame:
+    schema = T.StructType().add("row", row_type).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("text", "string")
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -400,6 +402,6 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, whole: bool = True) -> Da
     asked = _window_requests(probed, window, buckets, span, finals)
     late = asked.groupBy("bucket").applyInArrow(_window_answers, "batch long, late binary")
     late = late.groupBy("batch").agg(F.collect_list("late").alias("late"))
-    out = _rewrite(table.join(late, "batch", "left"), window, row_type.simpleString(), whole)
+    out = _rewrite(table.join(late, "batch", "left"), window, row_type, whole)
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns, "n_words", "n_removed", "kept_sha256")
