@@ -80,18 +80,23 @@ def grow(units: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int =
     return Forest(normals, offsets, depth)
 
 
-def choose(forest: Forest, unit: np.ndarray, fractions: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue until they hold ``share`` of all rows."""
+def choose(forest: Forest, unit: np.ndarray, counts: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order of the shared queue until they hold ``share`` of all rows.
+
+    ``counts`` are rows by tree and leaf. Trees count as independent; a tree
+    that was read whole has everything.
+    """
+    total = counts[0].sum()
     margin = forest.normals @ unit - forest.offsets
     queue = [(0.0, t, 0) for t in range(len(margin))]
     inner, held, out = forest.leaves - 1, np.zeros(len(margin)), []
-    while queue and 1 - np.prod(1 - np.minimum(held, 1.0)) < share - 1e-12:
+    while queue and held.max() < total and (share >= 1 or 1 - np.prod(1 - held / total) < share):
         bound, t, node = heapq.heappop(queue)
         if node >= inner:
             leaf = node - inner
-            if fractions[t, leaf] > 0:
+            if counts[t, leaf] > 0:
                 out.append((t, leaf))
-                held[t] += fractions[t, leaf]
+                held[t] += counts[t, leaf]
             continue
         m = margin[t, node]
         near = 2 * node + 1 + (m > 0)
@@ -160,13 +165,11 @@ def nearest(
     placed = rows.select("vec_id", "vector").mapInArrow(descend, "key long, far double, vec_id long, vector binary")
     index = checkpoint(vectors.in_blocks(placed))
     sizes = index.groupBy("key").agg(F.sum(F.length("ids") / 8).alias("n")).collect()
-    fractions = np.zeros(trees * forest.leaves)
+    counts = np.zeros(trees * forest.leaves)
     for row in sizes:
-        fractions[row["key"]] = row["n"]
-    fractions = fractions.reshape(trees, -1)
-    total = fractions[0].sum()
-    fractions /= total
-    wanted = min(1.0, max(share, AT_LEAST / total))
+        counts[row["key"]] = row["n"]
+    counts = counts.reshape(trees, -1)
+    wanted = min(1.0, max(share, AT_LEAST / counts[0].sum()))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = shared.value
@@ -174,7 +177,7 @@ def nearest(
             points = vectors.matrix(batch.column(1), size)
             keys, ids, out = [], [], []
             for q, point in zip(batch.column(0).to_pylist(), points):
-                for t, leaf in choose(planes, point / np.linalg.norm(point), fractions, wanted):
+                for t, leaf in choose(planes, point / np.linalg.norm(point), counts, wanted):
                     keys.append(t * planes.leaves + leaf)
                     ids.append(q)
                     out.append(point.tobytes())
