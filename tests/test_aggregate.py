@@ -50,11 +50,42 @@ def test_correlation(mixed, spark):
         assert aggregate.correlation(df.limit(0)) is None
 
 
-def test_correlation_over_several_scans(mixed, monkeypatch):
+def test_correlation_of_large_values(mixed):
     pdf, df = mixed
-    monkeypatch.setattr(aggregate, "PAIRS_PER_SCAN", 2)
-    got = aggregate.correlation(df).toPandas().set_index("feature")
-    assert np.allclose(got.to_numpy(float), pdf[list("abc")].corr())
+    moved = df.select(*[(F.col(c) + 1e9).alias(c) for c in "abc"]).repartition(5)
+    got = aggregate.correlation(moved).toPandas().set_index("feature")
+    assert np.allclose(got.to_numpy(float), (pdf[list("abc")] + 1e9).corr(), atol=1e-6)
+
+
+@pytest.mark.parametrize("func", ["skew", "kurt", "sem", "prod", "size", "mode"])
+def test_frame_method_names(spark, func):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 60), "v": rng.integers(1, 5, 60).astype(float), "w": rng.normal(size=60)})
+    pdf.loc[rng.random(60) < 0.2, "w"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("w", F.when(~F.isnan("w"), F.col("w"))).repartition(3)
+    got = aggregate.aggregate(df, func, ["g"], ["v", "w"]).toPandas().set_index("g").sort_index().astype(float)
+    for g, group in pdf.groupby("g"):
+        for c in "vw":
+            want = {"mode": lambda x: x.mode().iloc[0], "size": len}.get(func, lambda x: getattr(x, func)())(group[c])
+            assert np.isclose(got.loc[g, c], want)
+
+
+def test_groups_without_values_stay(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 9.0), ("b", 1, None), (None, 3, 2.0), (None, 4, None)], "g string, t int, v double")
+    want = {"median": {"a": 7.0, "b": None, None: 2.0}, "mode": {"a": 5.0, "b": None, None: 2.0}, "first": {"a": 5.0, "b": None, None: 2.0},
+            "last": {"a": 9.0, "b": None, None: 2.0}, "skew": {"a": None, "b": None, None: None}}
+    for func, values in want.items():
+        got = aggregate.aggregate(df, func, ["g"], ["v"], ["t"] if func in ("first", "last") else ())
+        assert {r.g: r.v for r in got.collect()} == values
+    with pytest.raises(ValueError):
+        aggregate.aggregate(df, "first", ["g"], ["v"])
+
+
+def test_density_shuffles_no_values(mixed):
+    _, df = mixed
+    plan = aggregate.class_density(df, "a", "label", 20)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("v0" in line.split("Exchange", 1)[1].split("]")[0] for line in exchanges)
 
 
 def test_class_tables(mixed):

@@ -47,6 +47,22 @@ def test_folder_with_a_header_per_file_and_a_schema(spark, tmp_path):
         feeds.read_feed(spark, str(tmp_path), schema="d string")
 
 
+def test_files_may_order_their_columns_differently(spark, tmp_path):
+    write(tmp_path, "x\nD,x,y\nD,1,2\nD,x,y\n", "a.csv")
+    write(tmp_path, "D,y,x\nD,20,10\n", "b.csv")
+    got = feeds.read_feed(spark, str(tmp_path))
+    assert got.columns == ["D", "x", "y"]
+    assert sorted((r.x, r.y) for r in got.collect()) == [("1", "2"), ("10", "20"), ("x", "y")]
+    write(tmp_path, "D,x,z\nD,1,2\n", "c.csv")
+    with pytest.raises(ValueError, match="c.csv"):
+        feeds.read_feed(spark, str(tmp_path))
+
+
+def test_header_names_follow_the_csv_rules(spark, tmp_path):
+    got = feeds.read_feed(spark, write(tmp_path, 'D,"x,1",y,y,\nD,1,2,3,4\n'))
+    assert got.columns == ["D", "x,1", "y", "y.1", "Unnamed: 4"] and tuple(got.first()) == ("D", 1, 2, 3, 4)
+
+
 @pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "utf-16"])
 def test_encodings(spark, tmp_path, encoding):
     got = feeds.read_feed(spark, write(tmp_path, "D,n\nD,é\n", encoding=encoding), encoding)
@@ -145,3 +161,14 @@ def test_join_suffixes_and_missing_keys(spark):
     assert sorted((r.v_d, r.v_msw or "") for r in got.collect()) == [("x", "p"), ("y", ""), ("z", "q")]
     with pytest.raises(ValueError):
         joins.join_on(a, b, suffixes=(None, None))
+
+
+def test_iso_times_with_fraction_or_zone(spark):
+    texts = ["2020-01-02T03:04:05.123", "2020-01-02T03:04:05Z", "2020-01-02T03:04:05+02:00", "2020-01-02 03:04:05.5", "May 10, 2021", "31/12/2022"]
+    got = cleaning.parse_time(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert [r.t for r in got.collect()] == [
+        datetime(2020, 1, 2, 3, 4, 5, 123_000), datetime(2020, 1, 2, 3, 4, 5), datetime(2020, 1, 2, 1, 4, 5),
+        datetime(2020, 1, 2, 3, 4, 5, 500_000), datetime(2021, 5, 10), datetime(2022, 12, 31),
+    ]
+    with pytest.raises(PySparkException):
+        cleaning.parse_time(spark.createDataFrame([("03:04:05",)], "t string"), "t").collect()

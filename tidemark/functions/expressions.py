@@ -15,14 +15,6 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
-def squared_distance(columns: Sequence[str], centre: Sequence[Column]) -> Column:
-    terms = [(F.col(c) - m) * (F.col(c) - m) for c, m in zip(columns, centre)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
-
-
 def hash_uniform(*parts: Column) -> Column:
     """Uniform number in [0, 1) from the parts' text, the same under any partitioning."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))

@@ -4,18 +4,35 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.expressions import pearson
 from tidemark.operators.cleaning import numeric_columns
 from tidemark.operators.ordering import BROADCAST_ROWS, quantiles
 from tidemark.operators.scaling import Scaler, scale
+from tidemark.session import checkpoint
+
+_KERNEL_ROWS = 10_000
 
 AggFunc = str | Callable[[Column], Column]
 
+def _skew(c: Column) -> Column:
+    """Sample skewness; NULL below three values."""
+    n = F.count(c).cast("double")
+    return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def _kurt(c: Column) -> Column:
+    """Sample excess kurtosis; NULL below four values."""
+    n = F.count(c).cast("double")
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
+
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
     "sum": F.sum,
@@ -25,10 +42,14 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "nunique": F.count_distinct,
     "std": F.stddev_samp,
     "var": F.var_samp,
-    "skew": lambda c: F.skewness(c),
+    "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c).cast("double")),
+    "skew": _skew,
+    "kurt": _kurt,
+    "kurtosis": _kurt,
+    "prod": F.product,
     "product": F.product,
+    "size": lambda c: F.count(F.lit(1)),
 }
-PAIRS_PER_SCAN = 120
 
 
 def _resolve(func: AggFunc | None) -> Callable[[Column], Column]:
@@ -40,20 +61,57 @@ def _resolve(func: AggFunc | None) -> Callable[[Column], Column]:
 
 
 def aggregate(
-    df: DataFrame, func: AggFunc | None, by: Sequence[str] = (), columns: Sequence[str] | None = None
+    df: DataFrame,
+    func: AggFunc | None,
+    by: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """One aggregate over every column, whole table or per group.
 
     ``func`` is a name or a ``Column -> Column`` function. The median is exact
-    and distributed, see :func:`tidemark.operators.ordering.quantiles`.
+    and distributed, see :func:`tidemark.operators.ordering.quantiles`. The mode
+    is the most frequent value, the smallest of several. ``first`` and ``last``
+    are the first and last value present and need an ``order``. A group without
+    values stays, with NULL.
     """
-    cols = list(columns) if columns is not None else numeric_columns(df, by)
+    cols = list(columns) if columns is not None else [c for c in numeric_columns(df, by) if c not in order]
+    if func in ("first", "last"):
+        if not order:
+            raise ValueError(f"{func!r} needs an order")
+        pick = F.min_by if func == "first" else F.max_by
+        return df.groupBy(*by).agg(*[pick(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols])
+    if func == "mode":
+        return _modes(df, cols, list(by))
     if func != "median":
         fold = _resolve(func)
         return df.groupBy(*by).agg(*[fold(F.col(c)).alias(c) for c in cols])
     found = quantiles(df, cols, [0.5], by)
     spread = [F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(c) for c in cols]
-    return found.groupBy(*by).agg(*spread)
+    return _every_group(df, found.groupBy(*by).agg(*spread), list(by), cols)
+
+
+def _every_group(df: DataFrame, found: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Give groups that ``found`` lacks a row of NULLs."""
+    if not by:
+        return found
+    named = found.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *cols)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return df.select(*by).distinct().join(named, same, "left").select(*by, *cols)
+
+
+def _modes(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Counts of values first, so no task holds the values of a group."""
+    out = None
+    for c in cols:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
+        best = counts.groupBy(*by).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(c).alias("v"))).alias("_m"))
+        best = best.select(*by, F.lit(c).alias("_c"), F.col("_m.v").cast("double").alias("_v"))
+        out = best if out is None else out.unionByName(best)
+    wide = out.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == c, F.col("_v"))).cast(df.schema[c].dataType).alias(c) for c in cols])
+    return _every_group(df, wide, by, cols)
 
 
 def class_profile(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -88,21 +146,43 @@ def crosstab(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
         df.groupBy(F.col(row).cast("string").alias(row), F.col(column).cast("string").alias(column))
         .agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("_rows"))
     )
-    total = df.count()
+    # A row per pair of classes; all that follows reads this table.
+    counts = checkpoint(counts)
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
     known = counts.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
     margin = lambda c: F.explode(F.array(F.col(c), F.lit("All")))
     cells = known.withColumn(row, margin(row)).withColumn(column, margin(column))
-    cells = cells.groupBy(row, column).agg(F.sum("n").alias("n"))
     # Only classes met together with a known partner form a row or a column.
-    rows, cols = cells.select(row).distinct(), cells.select(column).distinct()
-    grid = rows.withColumn("_k", F.lit(0)).join(
-        cols.withColumn("_k", F.lit(0)).groupBy("_k").agg(F.collect_set(column).alias("_cs")), "_k"
-    )
-    grid = grid.select(row, F.explode("_cs").alias(column))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return grid.join(cells, [row, column], "left").select(
-        row, column, n.alias("n"), (n / F.lit(total) * 100).alias("percent")
-    )
+    wide = cells.groupBy(row).pivot(column).agg(F.sum("n"))
+    classes = [c for c in wide.columns if c != row]
+    if not classes:
+        return cells.select(row, column, "n", F.lit(0.0).alias("percent"))
+    pairs = F.array(*[F.struct(F.lit(c).alias(column), F.coalesce(wide[_quoted(c)], F.lit(0)).alias("n")) for c in classes])
+    long = wide.select(F.col(row), F.inline(pairs))
+    return long.select(row, column, "n", (F.col("n") / F.lit(total) * 100).alias("percent"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, j, n, x, y, xx, yy, xy)``: sums over the rows where columns i and j both have a value."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in frames:
+            x = pdf.to_numpy(float)
+            there = ~np.isnan(x)
+            x, mask = np.where(there, x, 0.0), there.astype(float)
+            part = np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, (x * x).T @ mask, mask.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(cols))
+            yield pd.DataFrame({"i": i, "j": j} | {k: total[at][i, j] for at, k in enumerate(("n", "x", "y", "xx", "yy", "xy"))})
+
+    parts = df.mapInPandas(run, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | None:
@@ -111,16 +191,16 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         warnings.warn("the table is empty; no correlation", stacklevel=2)
         return None
     cols = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    values: dict[tuple[int, int], float] = {}
-    rows = 0
-    num = {c: F.col(c).cast("double") for c in cols}
-    for at in range(0, len(pairs), PAIRS_PER_SCAN):
-        part = pairs[at : at + PAIRS_PER_SCAN]
-        exprs = [pearson(num[cols[i]], num[cols[j]]).alias(f"r{n}") for n, (i, j) in enumerate(part)]
-        found = df.agg(F.count(F.lit(1)).alias("rows"), *exprs).first()
-        rows = found["rows"]
-        values.update({p: found[f"r{n}"] for n, p in enumerate(part)})
+    num = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]
+    means = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(F.when(~F.isnan(c), c)).alias(f"m{i}") for i, c in enumerate(F.col(n).cast("double") for n in cols)]).first()
+    rows = means["rows"]
+    # Products of deviations from the means, so that large values cost no digits.
+    centred = df.select(*num).select(*[(F.col(f"c{i}") - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i in range(len(cols))])
+    values: dict[tuple[int, int], float | None] = {}
+    for r in _moments(centred, cols).collect() if rows and cols else ():
+        xx, yy = r["xx"] - r["x"] ** 2 / max(r["n"], 1), r["yy"] - r["y"] ** 2 / max(r["n"], 1)
+        flat = xx <= 1e-14 * max(r["xx"], 1e-300) or yy <= 1e-14 * max(r["yy"], 1e-300)
+        values[r["i"], r["j"]] = None if r["n"] < 2 or flat else max(-1.0, min(1.0, (r["xy"] - r["x"] * r["y"] / r["n"]) / math.sqrt(xx * yy)))
     if not rows:
         warnings.warn("the table is empty; no correlation", stacklevel=2)
         return None
@@ -184,29 +264,67 @@ def class_density(df: DataFrame, feature: str, label: str, points: int = 200, sh
     """Gaussian kernel density per class: ``(label, point, x, density, class_mean)``.
 
     Scott bandwidth per class. The grid spans the pooled range (``shared``) or
-    each class's own. Equal values are merged first, so the work per distinct
-    value is ``points`` additions folded before the shuffle.
+    each class's own. A task adds the kernels of its rows into one vector per
+    class, and only these vectors are shuffled.
     """
     if points < 2:
         raise ValueError("a density needs at least two points")
-    data = df.select(F.col(label).alias("label"), F.col(feature).cast("double").alias("v")).na.drop()
-    facts = data.groupBy("label").agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp("v").alias("_s"), F.avg("v").alias("class_mean"),
-        F.min("v").alias("_lo"), F.max("v").alias("_hi"),
-    ).withColumn("_h", F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))).filter("_n > 1 AND _s > 0")
+    return _densities(df, [feature], label, points, shared).drop("feature")
+
+
+def _densities(df: DataFrame, features: Sequence[str], label: str, points: int, shared: bool) -> DataFrame:
+    """``(feature, label, point, x, density, class_mean)`` of all features in one scan for facts and one for sums."""
+    names = [f"v{i}" for i in range(len(features))]
+    data = df.select(F.col(label).alias("label"), *[F.col(c).cast("double").alias(v) for c, v in zip(features, names)])
+    data = data.filter(F.col("label").isNotNull()).select("label", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in names])
+    wide = data.groupBy("label").agg(*[
+        F.struct(F.count(v).alias("n"), F.stddev_samp(v).alias("s"), F.avg(v).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(v)
+        for v in names
+    ])
+    wide = checkpoint(wide)
     if shared:
-        pooled = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        facts = facts.withColumns({"_lo": F.lit(pooled["lo"]), "_hi": F.lit(pooled["hi"])})
-    counted = data.groupBy("label", "v").agg(F.count(F.lit(1)).alias("_w"))
-    few = facts.count() <= BROADCAST_ROWS
-    spread = counted.join(F.broadcast(facts) if few else facts, "label")
-    spread = spread.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / F.lit(points - 1)
-    z = (x - F.col("v")) / F.col("_h")
-    kernel = F.sum(F.col("_w") * F.exp(z * z * -0.5) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)))
-    return spread.groupBy("label", "point").agg(
-        F.any_value(x).alias("x"), kernel.alias("density"), F.any_value("class_mean").alias("class_mean")
-    )
+        pooled = wide.agg(*[f(F.col(f"{v}.{k}")).alias(f"{v}{k}") for v in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        wide = wide.select("label", *[
+            F.col(v).withField("lo", F.lit(pooled[f"{v}lo"])).withField("hi", F.lit(pooled[f"{v}hi"])).alias(v) for v in names
+        ])
+    facts = wide.select("label", F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(v).alias("a")) for i, v in enumerate(names)])))
+    facts = facts.select("label", "f", "a.*").withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).filter("n > 1 AND s > 0")
+    per_label = facts.groupBy("label").agg(F.collect_list(F.struct("f", "lo", "hi", "h")).alias("facts"))
+    few = wide.count() <= BROADCAST_ROWS
+    spread = data.join(F.broadcast(per_label) if few else per_label, "label")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+
+        def out() -> pd.DataFrame:
+            keys = list(sums)
+            return pd.DataFrame({"label": [k[0] for k in keys], "f": [k[1] for k in keys], "sums": [sums[k] for k in keys]})
+
+        for pdf in frames:
+            for name, group in pdf.groupby("label"):
+                for fact in group["facts"].iloc[0]:
+                    f, lo, hi, h = fact["f"], fact["lo"], fact["hi"], fact["h"]
+                    x = lo + (hi - lo) * np.arange(points) / (points - 1)
+                    v = group[f"v{f}"].to_numpy(float)
+                    v = v[~np.isnan(v)]
+                    total = sums.setdefault((name, f), np.zeros(points))
+                    for at in range(0, len(v), _KERNEL_ROWS):
+                        total += np.exp(-0.5 * ((x[:, None] - v[at : at + _KERNEL_ROWS]) / h) ** 2).sum(axis=1)
+            if len(sums) > _KERNEL_ROWS:
+                yield out()
+                sums = {}
+        if sums:
+            yield out()
+
+    schema = T.StructType().add("label", data.schema["label"].dataType).add("f", "integer").add("sums", T.ArrayType(T.DoubleType()))
+    parts = spread.mapInPandas(run, schema).select("label", "f", F.posexplode("sums").alias("point", "part"))
+    kernel = parts.groupBy("label", "f", "point").agg(F.sum("part").alias("part"))
+    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(points - 1)
+    name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("f") + 1)
+    return kernel.join(facts, ["label", "f"]).select(
+        name.alias("feature"), "label", "point", x.alias("x"),
+        (F.col("part") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"), F.col("mean").alias("class_mean"),
+    )
 
 
 def class_distributions(
@@ -227,11 +345,7 @@ def class_distributions(
         raise TypeError("every column but the label must be numeric")
     chosen = select_features(df.select(*numeric), n_features, features)
     scaled = scale(df, chosen, scaler, prefix="") if scaler is not None else df
-    out = None
-    for f in chosen:
-        one = class_density(scaled, f, label, points, shared=False).withColumn("feature", F.lit(f))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _densities(scaled, chosen, label, points, shared=False)
 
 
 def class_radar(

@@ -17,7 +17,6 @@ from tidemark.operators.ordering import BUCKET, attach, bucket_rows, keyed, ordi
 # Durbin-Watson band without first-order autocorrelation, and
 # the reference lines drawn around an autocorrelation function.
 DW_LOW, DW_HIGH = 1.5, 2.5
-ACF_BOUND = 0.05
 
 
 def grouped_schema(df: DataFrame, keys: Sequence[str], *more: tuple[str, str]) -> T.StructType:

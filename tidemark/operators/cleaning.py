@@ -16,6 +16,7 @@ MIXED_FORMATS = [
 ]
 
 
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}"
 FEW_CLASSES = 1_000
 
 
@@ -32,8 +33,13 @@ def clean_names(df: DataFrame, sep: str = " ") -> DataFrame:
 
 
 def mixed_timestamp(text: Column, formats: Sequence[str] = MIXED_FORMATS) -> Column:
-    """First layout that parses; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """First layout that parses; NULL when none does.
+
+    ISO date-times come first, with or without a fraction of a second. One with
+    a zone is the instant it names, shown in the session's time zone.
+    """
+    iso = F.when(text.rlike(_ISO), text.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def parse_time(df: DataFrame, column: str, fmt: str = "mixed", fallback: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.operators.ordering import (
     lay_out,
     ordinal,
     running,
+    unique_order,
 )
 from tidemark.session import checkpoint
 
@@ -34,7 +35,8 @@ def _mark_runs(
     laid = laid.withColumns({f"_on_{n}": F.coalesce(c, F.lit(False)) for n, c in flags.items()})
     totals = {"idx": (F.lit(1), "sum")}
     totals |= {f"_sofar_{n}": (F.col(f"_on_{n}").cast("long"), "sum") for n in flags}
-    out = running(laid, order, totals, keys).withColumn("idx", (F.col("idx") - 1).cast("long"))
+    out = running(unique_order(laid, order, keys, time if by_calendar else None), order, totals, keys)
+    out = out.withColumn("idx", (F.col("idx") - 1).cast("long"))
     place = F.col("idx")
     if by_calendar:
         place = F.datediff(F.col(time).cast("date"), F.lit("1800-01-01").cast("date"))
@@ -73,7 +75,8 @@ def flag_runs(
 
     Positions count from 0 in time order; ``end`` is exclusive; a missing flag
     is false. Runs are runs of rows, as they lie; ``by_calendar`` also breaks
-    them where a day is missing (daily data, at most one row a day).
+    them where a day is missing, and two rows on one day raise. So do rows that
+    ``time`` and ``tie`` leave in no order.
     """
     flag = F.col(flag) if isinstance(flag, str) else flag
     data, keys = keyed(df, series)

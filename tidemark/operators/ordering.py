@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpoint
 
 PART = "_part"
+SPOT = "_spot"
 BUCKET = "_bucket"
 BUCKET_ROWS = 65_536
 BROADCAST_ROWS = 100_000
@@ -28,10 +29,29 @@ def lay_out(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) ->
     """Range partition by (within, order) and record the partition as a column.
 
     ``order`` must be unique inside ``within``. The table written here pins the
-    layout: a recomputed range sample could move rows between partitions.
+    layout: a recomputed range sample could move rows between partitions. Rows
+    are numbered inside their partition as they are written, see :func:`ordinal`.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*within, *order)])
-    return checkpoint(ranged.withColumn(PART, F.spark_partition_id()))
+    by = [F.col(c) for c in (*within, *order)]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    spot = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return checkpoint(ranged.withColumns({PART: F.spark_partition_id(), SPOT: spot}))
+
+
+def unique_order(laid: DataFrame, order: Sequence[str], within: Sequence[str] = (), day: str | None = None) -> DataFrame:
+    """Raise where two rows of a series share their place in ``order``, or the date of ``day``.
+
+    Rows with equal keys lie in one partition, so each is compared with the row
+    before it there. The check sits in the partition column, which every
+    position is made of.
+    """
+    scan = Window.partitionBy(*within, PART).orderBy(*order)
+    here = F.struct(*order)
+    bad = F.when(F.lag(here).over(scan).eqNullSafe(here), F.raise_error(F.lit(f"rows share {', '.join(order)}; name more columns to order them")))
+    if day is not None:
+        date = F.col(day).cast("date")
+        bad = F.coalesce(bad, F.when(F.lag(date).over(scan) == date, F.raise_error(F.lit(f"two rows on one day of {day}"))))
+    return laid.withColumn(PART, F.coalesce(bad.cast("int"), F.col(PART)))
 
 
 def running(
@@ -83,7 +103,7 @@ def running(
         else:
             both = (F.greatest if kind == "max" else F.least)(here, before)
         out = out.withColumn(name, both)
-    return out.select(*laid.columns, *totals)
+    return out.select(*[c for c in laid.columns if c != SPOT], *totals)
 
 
 def ordinal(
@@ -91,8 +111,25 @@ def ordinal(
 ) -> DataFrame:
     """Sort by ``order`` and number rows 0, 1, ... inside each ``within`` group."""
     laid = lay_out(df, order, within)
-    counted = running(laid, order, {name: (F.lit(1), "sum")}, within)
-    return counted.withColumn(name, (F.col(name) - 1).cast("long")).drop(PART)
+    # A (series, partition) pair is a run of rows numbered as they were written,
+    # so only the rows ahead of the run are missing: no second shuffle.
+    runs = laid.groupBy(*within, PART).agg(F.min(SPOT).alias("_top"), F.count(F.lit(1)).alias("_rows"))
+    earlier = (
+        Window.partitionBy(*within or [F.lit(0)])
+        .orderBy(PART)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = runs.select(
+        *[F.col(c).alias(f"_w_{c}") for c in within],
+        F.col(PART).alias("_w_part"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_top")).alias("_add"),
+    )
+    match = F.col(PART) == F.col("_w_part")
+    for c in within:
+        match = match & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    few = checkpoint(carry)
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    return laid.join(few, match).withColumn(name, F.col(SPOT) + F.col("_add")).select(*df.columns, name)
 
 
 def keyed(df: DataFrame, series: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -179,9 +179,3 @@ def biplot(result: PCAResult, keep: Sequence[str] = (), dims: int = 2, n_arrows:
     rows = [(f, *map(float, arrows[j])) for j, f in enumerate(names)]
     schema = "feature string, " + ", ".join(f"x{i} double" for i in range(dims))
     return points, result.scores.sparkSession.createDataFrame(rows, schema)
-
-
-def component_order(result: PCAResult, order: Sequence[str], components: int = 2) -> DataFrame:
-    """Leading scores in row order: ``(idx, PC0, PC1, ...)``."""
-    flat = result.scores.select(*order, *[F.col("score")[i].alias(f"PC{i}") for i in range(components)])
-    return ordinal(flat, list(order)).select("idx", *[f"PC{i}" for i in range(components)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import warnings
 from collections.abc import Sequence
 
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.ordering import BROADCAST_ROWS
+from tidemark.session import checkpoint
+
 # Texts a CSV reader treats as missing.
 MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -18,6 +22,8 @@ MISSING_TEXTS = [
 ]
 
 _RAGGED = "_ragged"
+#: Column orders that the files of one folder may have.
+MAX_HEADERS = 1_000
 
 
 # Charsets Spark's CSV reader decodes by itself.
@@ -28,23 +34,25 @@ SPARK_CHARSETS = {
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], encoding: str) -> DataFrame:
+    """``value``, ``file`` and ``block``, where in its file the line's split begins."""
     paths = [path] if isinstance(path, str) else list(path)
     codec = codecs.lookup(encoding).name
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     if codec == "utf-8":
-        return spark.read.text(paths)
+        return spark.read.text(paths).select("value", *place)
     if codec in SPARK_CHARSETS:
         # The text source is UTF-8 only; a CSV read with a single column decodes these.
         reader = spark.read.schema("value STRING").option("encoding", SPARK_CHARSETS[codec])
         reader = reader.option("sep", "\u0001").option("quote", "")
         # Line ends of the wide charsets are not single bytes, so each such file is streamed as a whole.
-        return reader.option("multiLine", codec.startswith(("utf-16", "utf-32"))).csv(paths)
+        return reader.option("multiLine", codec.startswith(("utf-16", "utf-32"))).csv(paths).select("value", *place)
 
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.str.decode(codec)
 
     # The text source passes bytes through, so any code page that keeps ASCII line ends works.
-    return spark.read.text(paths).select(decode(F.col("value").cast("binary")).alias("value"))
+    return spark.read.text(paths).select(decode(F.col("value").cast("binary")).alias("value"), *place)
 
 
 def _present(text: Column) -> Column:
@@ -61,31 +69,50 @@ def read_feed(
 ) -> DataFrame:
     """Read comma-separated lines that start with ``prefix``; the rest are dropped.
 
-    The first kept line is the header, repeated at the top of every file when
-    ``path`` is a folder. Give ``schema`` (types in header order) to read in
-    one pass; without it a first pass over all rows finds the column types, so
-    a late text value can never be lost to a type guessed from early rows.
+    The first kept line of each file is its header, read by the CSV rules: names
+    may be quoted, a repeated name gets a number, an empty one its position.
+    Files may order their columns differently, but must have the same ones. The
+    file that sorts first gives the order of the result. Give ``schema`` (types
+    in that order) to spare the pass that finds the column types; that pass
+    reads all rows, so a late text value is never lost to a type guessed from
+    early ones.
     """
-    kept = _lines(spark, path, encoding).filter(F.col("value").startswith(prefix))
-    kept = kept.select(F.regexp_replace("value", r"\r$", "").alias("value"))
-    first = kept.first()
-    if first is None:
+    kept = _lines(spark, path, encoding).withColumn("line", F.monotonically_increasing_id())
+    kept = kept.filter(F.col("value").startswith(prefix)).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    # Lines of one split are numbered in order, and splits of a file by where they begin.
+    place = F.struct("block", "line")
+    files = checkpoint(kept.groupBy("file").agg(F.min(place).alias("_at"), F.min_by("value", place).alias("header")))
+    distinct = files.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").limit(MAX_HEADERS + 1).collect()
+    if not distinct:
         raise ValueError(f"no line starts with {prefix!r} in {path}")
-    header = first["value"]
-    names = [c or f"Unnamed: {i}" for i, c in enumerate(header.split(","))]
+    if len(distinct) > MAX_HEADERS:
+        raise ValueError(f"the files of {path} have more than {MAX_HEADERS} different headers")
+    headers = [_names(row["header"]) for row in distinct]
+    names = headers[0]
+    for row, found in zip(distinct, headers):
+        if sorted(found) != sorted(names):
+            raise ValueError(f"{row['file']} has the columns {found}, {distinct[0]['file']} has {names}")
     fields = [f"c{i}" for i in range(len(names))]
     raw_schema = ", ".join(f"{f} STRING" for f in [*fields, _RAGGED])
     options = {"sep": ",", "escape": '"', "columnNameOfCorruptRecord": _RAGGED}
-    row = F.from_csv("value", raw_schema, options)
-    cells = kept.filter(F.col("value") != header).select(row.alias("r"), "value")
+    number = F.coalesce(*[F.when(F.col("header") == row["header"], F.lit(i)) for i, row in enumerate(distinct)])
+    tops = files.select("file", "_at", number.alias("_header"))
+    tops = F.broadcast(tops) if files.count() <= BROADCAST_ROWS else tops
+    lines = kept.join(tops, "file").filter(place != F.col("_at"))
+    cells = lines.select(F.from_csv("value", raw_schema, options).alias("r"), "value", "_header")
     too_many = F.col(f"r.{_RAGGED}").isNotNull() & (F.size(F.split("value", ",")) > len(names))
     checked = F.when(
         too_many, F.raise_error(F.concat(F.lit("line has more fields than the header: "), F.col("value")))
     )
+
+    def cell(name: str) -> Column:
+        spots = [found.index(name) for found in headers]
+        if len(set(spots)) == 1:
+            return F.col(f"r.c{spots[0]}")
+        return F.coalesce(*[F.when(F.col("_header") == i, F.col(f"r.c{at}")) for i, at in enumerate(spots)])
+
     # The check sits in the first column so no projection can skip it silently.
-    cells = cells.select(
-        *[(F.coalesce(checked, F.col(f"r.{f}")) if i == 0 else F.col(f"r.{f}")).alias(f) for i, f in enumerate(fields)]
-    )
+    cells = cells.select(*[(F.coalesce(checked, cell(n)) if i == 0 else cell(n)).alias(f"c{i}") for i, n in enumerate(names)])
     cells = cells.select(*[_present(F.col(f)).alias(f) for f in fields])
     if schema is None:
         types = _infer(cells, fields)
@@ -98,6 +125,19 @@ def read_feed(
                           for f, t, n in zip(fields, types, names)])
 
 
+def _names(header: str) -> list[str]:
+    """Column names of a header line; repeated ones are numbered."""
+    out: list[str] = []
+    for i, name in enumerate(next(csv.reader([header]))):
+        name, again = name or f"Unnamed: {i}", 0
+        unique = name
+        while unique in out:
+            again += 1
+            unique = f"{name}.{again}"
+        out.append(unique)
+    return out
+
+
 def _infer(cells: DataFrame, fields: Sequence[str]) -> list[T.DataType]:
     """Narrowest type that holds every value: long, double, boolean, else string."""
     checks = []
