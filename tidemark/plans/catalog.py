@@ -515,11 +515,6 @@ def autocorrelation_per_series(spark, folder):
     return autocorrelation.acf(i, "value", 3, ["user_id"]).select("user_id", "lag", (F.round("acf", 5) + 0.0).alias("acf"))
 
 
-@query()
-def partial_autocorrelation(spark, folder):
-    return autocorrelation.pacf(indexed(spark, folder), "latcent", 30).select("lag", r6("pacf").alias("pacf"))
-
-
 @query(f"""WITH {INDEXED}, p AS (SELECT a.ar, b.ar AS ar0, a.latcent, b.latcent AS lat0 FROM idx a LEFT JOIN idx b ON a.idx = b.idx + 1)
 SELECT 'ar' AS feature, round(sum((ar - ar0) * (ar - ar0)) / sum(ar * ar), 6) + 0.0 AS durbin_watson, TRUE AS seasonal FROM p UNION ALL
 SELECT 'latcent', round(sum((latcent - lat0) * (latcent - lat0)) / sum(latcent * latcent), 6) + 0.0, TRUE FROM p""")

@@ -79,6 +79,8 @@ def read_feed(
     """
     kept = _lines(spark, path, encoding).withColumn("line", F.monotonically_increasing_id())
     kept = kept.filter(F.col("value").startswith(prefix)).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    # Written once: line numbers follow the partitions of a plan, and another plan may number them otherwise.
+    kept = checkpoint(kept)
     # Lines of one split are numbered in order, and splits of a file by where they begin.
     place = F.struct("block", "line")
     files = checkpoint(kept.groupBy("file").agg(F.min(place).alias("_at"), F.min_by("value", place).alias("header")))
@@ -98,7 +100,8 @@ def read_feed(
     number = F.coalesce(*[F.when(F.col("header") == row["header"], F.lit(i)) for i, row in enumerate(distinct)])
     tops = files.select("file", "_at", number.alias("_header"))
     tops = F.broadcast(tops) if files.count() <= BROADCAST_ROWS else tops
-    lines = kept.join(tops, "file").filter(place != F.col("_at"))
+    # A header has no value, so a check on parsed values that Spark moves ahead of the filter passes it.
+    lines = kept.join(tops, "file").withColumn("value", F.when(place != F.col("_at"), F.col("value"))).filter("value IS NOT NULL")
     cells = lines.select(F.from_csv("value", raw_schema, options).alias("r"), "value", "_header")
     too_many = F.col(f"r.{_RAGGED}").isNotNull() & (F.size(F.split("value", ",")) > len(names))
     checked = F.when(
