@@ -37,8 +37,10 @@ LONGEST = 8_192
 #: Characters that the rolling hash sees.
 ROLL = 16
 #: Words, and characters of chunks, that a worker remembers.
-WORDS = 350_000
+WORDS = 150_000
 CHUNK_CHARS = 8_000_000
+#: Words beside a cut that a chunk keeps for repairs.
+RIM = 4
 
 _SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SPACE = re.compile(f"[{_SPACES}]+")
@@ -179,19 +181,18 @@ def _is_space(character: str) -> bool:
 
 
 class _Chunk:
-    """A chunk's words, its rims as written, and the encoding of what lies between them."""
+    """The ends of a chunk as written, some words beside them, and the encoding of all words between them."""
 
-    __slots__ = ("words", "first", "last", "open_left", "open_right", "body")
+    __slots__ = ("count", "first", "last", "closing", "after", "before", "open_left", "open_right", "body")
 
     def __init__(self, encoder: WordEncoder, text: str):
-        self.words = encoder.words(text)
+        words = encoder.words(text)
+        self.count, self.closing = len(words), words[-1] if words else ""
         self.open_left, self.open_right = not _is_space(text[0]), not _is_space(text[-1])
-        raw = [w for w in _SPACE.split(text, maxsplit=1) if w] if self.open_left else _SPACE.split(text.lstrip(_SPACES), maxsplit=1)
-        self.first = raw[0] if self.words else ""
-        self.last = text[max((m.end() for m in _SPACE.finditer(text, max(0, len(text) - 512))), default=0) :] if self.open_right else ""
-        if len(self.words) > 1 and self.open_right and self.last.lower() != self.words[-1].lower():
-            self.last = _SPACE.split(text)[-1]
-        self.body = b"".join([encoder[w] for w in self.words[1:-1]])
+        written = _SPACE.split(text.strip(_SPACES)) if words else [""]
+        self.first, self.last = written[0], written[-1]
+        self.after, self.before = words[1:-1][:RIM], words[1:-1][-RIM:]
+        self.body = b"".join([encoder[w] for w in words[1:-1]])
 
 
 class ChunkEncoder:
@@ -236,40 +237,40 @@ class ChunkEncoder:
             return self.encoder.whole(text)
         out: list[bytes] = []
         before: list[str] = []
-        pending, cut_through, at = "", False, 0
+        pending: list[str] = []
+        at = 0
         for end in cuts(text):
             chunk, at = self._chunk(text[at:end]), end
-            words = chunk.words
-            if not words:
+            if not chunk.count:
                 if pending:
-                    out.append(self.encoder[pending])
-                pending = ""
+                    out.append(self.encoder["".join(pending)])
+                pending = []
                 continue
-            word, through = chunk.first, False
-            if pending and chunk.open_left:
-                word, through = pending + chunk.first, True
-            elif pending:
-                out.append(self.encoder[pending])
-            if len(words) == 1 and chunk.open_right:
-                pending, cut_through = word, through
+            through = bool(pending) and chunk.open_left
+            if pending and not through:
+                out.append(self.encoder["".join(pending)])
+                pending = []
+            pending.append(chunk.first)
+            if chunk.count == 1 and chunk.open_right:
                 continue
-            if through or (cut_through and pending):
-                fixed = self._repair(before, word, words[1:-1])
+            word = "".join(pending)
+            if through:
+                fixed = self._repair(before, word, chunk.after)
                 if fixed is None:
                     return self.encoder.whole(text)
                 out.append(fixed)
             else:
                 out.append(self.encoder[word])
-            pending, cut_through = "", False
-            if len(words) > 1:
+            pending = []
+            if chunk.count > 1:
                 out.append(chunk.body)
                 if chunk.open_right:
-                    pending = chunk.last
+                    pending = [chunk.last]
                 else:
-                    out.append(self.encoder[words[-1]])
-            before = words[1:-1]
+                    out.append(self.encoder[chunk.closing])
+            before = chunk.before
         if pending:
-            out.append(self.encoder[pending])
+            out.append(self.encoder["".join(pending)])
         return b"".join(out)
 
 

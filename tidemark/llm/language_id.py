@@ -168,21 +168,23 @@ def _guess(scorer: _Scorer, text: str | None) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` (and its ``text``) with ``lang_pred`` and ``score``."""
+    """``keep`` columns of ``docs`` with ``lang_pred`` and ``score`` of its ``text``."""
+    sent = list(dict.fromkeys((*keep, "text")))
+    spot = sent.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in slices(batches):
-            found = [_guess(scorer, text) for text in batch.column("_text").to_pylist()]
+            found = [_guess(scorer, text) for text in batch.column(spot).to_pylist()]
             if scorer.full():
                 scorer.reset()
-            columns = [batch.column(c) for c in keep]
+            columns = batch.columns[: len(keep)]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

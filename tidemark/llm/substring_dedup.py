@@ -47,7 +47,7 @@ WINDOW = 20
 BATCH_BYTES = 2 << 20
 #: Contents per bucket that the number of buckets aims at.
 BUCKET_WORDS = 1 << 20
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _LONG_WORD = 4_096
 _FILL = 65_535
 _LOWEST = np.iinfo(np.int64).min
