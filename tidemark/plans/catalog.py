@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
@@ -45,7 +44,7 @@ from tidemark.plans.tables import (
     table,
     user_days,
 )
-from tidemark.session import shared_folder
+from tidemark.session import scratch_path
 from tidemark.sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,10 +66,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def or_minus(name: str):
     """-1 for a missing count, so integer columns stay integers on both sides."""
     return F.coalesce(F.col(name), F.lit(-1).cast("long"))
@@ -91,7 +86,7 @@ def feed_scan(spark, folder):
         kinds.alias("D"), F.date_format("string", "dd.MM.yyyy-HH:mm:ss").alias(" string"), F.col("area").alias(" area"),
         F.col("ar").alias(" ar"), F.col("n").alias(" n"), F.concat(F.lit("  "), "form").alias(" form"),
     )
-    path = _scratch_path(spark, "feed")
+    path = scratch_path(spark, "feed")
     blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     lines.write.options(header=True, **blanks).csv(path)
     feed = cleaning.clean_names(feeds.read_feed(spark, path))
@@ -101,7 +96,7 @@ def feed_scan(spark, folder):
 
 @query(f"""WITH {DAILY} SELECT form, count(*) AS rows, round(avg(ar), 6) + 0.0 AS ar FROM daily GROUP BY form""")
 def csv_sink(spark, folder):
-    path = _scratch_path(spark, "result")
+    path = scratch_path(spark, "result")
     feeds.write_csv(daily(spark, folder).groupBy("form").agg(F.count(F.lit(1)).alias("rows"), r6(F.avg("ar")).alias("ar")), path)
     return spark.read.schema("form string, rows long, ar double").option("header", True).csv(path)
 

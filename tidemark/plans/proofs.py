@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import hash_uniform
 from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, filters, hierarchy, ordering, selection
 from tidemark.plans import winter
-from tidemark.plans.catalog import _DRAWS, QUERIES, SQL, _scratch_path, indexed, query
+from tidemark.plans.catalog import _DRAWS, QUERIES, SQL, indexed, query
 from tidemark.plans.tables import DAILY, INDEXED, daily, day, r6, table
+from tidemark.session import scratch_path
 from tidemark.sources import feeds
 
 __all__ = ["QUERIES", "SQL"]
@@ -258,7 +259,7 @@ def kmeans_of_two_values(spark, folder):
 @query(f"""WITH {DAILY} SELECT 'f' || (n % 2) AS part, strftime(string, '%Y-%m-%d') AS day, area, ar AS "ar,x", CASE WHEN form = 'S' THEN 'é' ELSE 'ü' END AS form FROM daily""")
 def feed_folder(spark, folder):
     """A folder of latin-1 files whose headers are quoted and order the columns differently."""
-    path = _scratch_path(spark, "feeds")
+    path = scratch_path(spark, "feeds")
     rows = daily(spark, folder).select(
         F.lit("D").alias("D"), F.concat(F.lit("f"), F.col("n") % 2).alias("part"), F.date_format("string", "yyyy-MM-dd").alias("day"),
         "area", F.col("ar").alias("ar,x"), F.when(F.col("form") == "S", "é").otherwise("ü").alias("form"),
@@ -313,7 +314,7 @@ def iso_times(spark, folder):
 SELECT 2 AS k, (CASE WHEN form = 'S' THEN 1 ELSE 0 END)::INT AS form, count(*) AS rows, true AS one_class FROM w GROUP BY form""")
 def regime_choice(spark, folder):
     """From feed files to a chosen k on two far regimes: each form must be one class."""
-    path = _scratch_path(spark, "flow")
+    path = scratch_path(spark, "flow")
     far = F.when(F.col("form") == "S", 100.0).otherwise(0.0)
     noise = lambda i: hash_uniform(F.lit(i), F.col("string"))
     rows = daily(spark, folder).select(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +42,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _scratch(spark: SparkSession) -> str:
+_areas: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where intermediate tables of this application, or of the open :func:`scratch_area`, go."""
+    if _areas:
+        return _areas[-1]
     return f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -51,13 +64,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     planner the true size: a plan over a checkpointed RDD keeps multiplied-up
     estimates, which grow without bound when a loop joins its own output.
     """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables this application wrote; results that read them are gone too."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch_area(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside are deleted on leaving; write or collect the result before."""
+    _areas.append(scratch_path(spark, "area"))
+    try:
+        yield _areas[-1]
+    finally:
+        _delete(spark, _areas.pop())
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote; results that read it are gone too."""
+    _delete(spark, f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}")
