@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, forest, language_id, packing, sanitise, simhash, substring_dedup, templates, topk, warc
 from tidemark.llm.common import table
-from tidemark.session import checkpoint
+from tidemark.session import checkpoint, scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,7 +50,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.scratch_folder(spark)
+    folder = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
     records = checkpoint(warc.read(checkpoint(warc.index(spark, folder))))
     return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
