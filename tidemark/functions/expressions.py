@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,15 @@ def as_vector(columns: Sequence[str]) -> Column:
 def is_not(column: str, value) -> Column:
     """True when the value differs or is missing."""
     return ~F.col(column).eqNullSafe(F.lit(value))
+
+
+def mean_vector(column: str) -> Column:
+    """Aggregate: the mean of an array column, dimension by dimension."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(column).cast("array<double>"))))
+
+
+def vector_spread(column: str) -> Column:
+    """Aggregate: the population variance of an array column, summed over its dimensions."""
+    n = F.count(column)
+    parts = vector_to_array(Summarizer.variance(array_to_vector(F.col(column).cast("array<double>"))))
+    return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) * (n - 1) / n

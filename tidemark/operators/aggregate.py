@@ -166,19 +166,25 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(i, j, n, x, y, xx, yy, xy)``: sums over the rows where columns i and j both have a value."""
+def moments(df: DataFrame, vector: bool = False) -> DataFrame:
+    """``(i, j, n, x, y, xx, yy, xy)``: sums over the rows where columns i and j both have a value.
+
+    The columns are those of ``df``, or the dimensions of its one array column.
+    One scan; a task returns a row per pair of columns.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in frames:
-            x = pdf.to_numpy(float)
+            if pdf.empty:
+                continue
+            x = np.stack(pdf.iloc[:, 0].to_numpy()).astype(float) if vector else pdf.to_numpy(float)
             there = ~np.isnan(x)
             x, mask = np.where(there, x, 0.0), there.astype(float)
             part = np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, (x * x).T @ mask, mask.T @ (x * x), x.T @ x])
             total = part if total is None else total + part
         if total is not None:
-            i, j = np.triu_indices(len(cols))
+            i, j = np.triu_indices(total.shape[1])
             yield pd.DataFrame({"i": i, "j": j} | {k: total[at][i, j] for at, k in enumerate(("n", "x", "y", "xx", "yy", "xy"))})
 
     parts = df.mapInPandas(run, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
@@ -197,7 +203,7 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     # Products of deviations from the means, so that large values cost no digits.
     centred = df.select(*num).select(*[(F.col(f"c{i}") - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i in range(len(cols))])
     values: dict[tuple[int, int], float | None] = {}
-    for r in _moments(centred, cols).collect() if rows and cols else ():
+    for r in moments(centred).collect() if rows and cols else ():
         xx, yy = r["xx"] - r["x"] ** 2 / max(r["n"], 1), r["yy"] - r["y"] ** 2 / max(r["n"], 1)
         flat = xx <= 1e-14 * max(r["xx"], 1e-300) or yy <= 1e-14 * max(r["yy"], 1e-300)
         values[r["i"], r["j"]] = None if r["n"] < 2 or flat else max(-1.0, min(1.0, (r["xy"] - r["x"] * r["y"] / r["n"]) / math.sqrt(xx * yy)))

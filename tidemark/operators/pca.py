@@ -12,17 +12,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import as_vector
+from tidemark.operators.aggregate import moments
 from tidemark.operators.cleaning import numeric_columns
-from tidemark.operators.ordering import ordinal
-from tidemark.operators.scaling import Scaler, centre_and_spread, scale
+from tidemark.operators.scaling import Scaler, centre_and_spread
 from tidemark.sources.feeds import write_csv
 
+_NARROW = 16
+
 
 @dataclass
 class PCAResult:
@@ -48,16 +48,6 @@ class PCAResult:
         return self.scores.sparkSession.createDataFrame(rows, schema)
 
 
-def _standardised(df: DataFrame, features: Sequence[str], scaler: Scaler) -> DataFrame:
-    if scaler is None or callable(scaler):
-        done = df if scaler is None else scaler(df, features)
-    else:
-        done = scale(df, features, scaler, prefix="")
-    facts = centre_and_spread(done, features, "standard")
-    # The fitted transform does not centre, so centre here.
-    return done.withColumns({f: F.col(f).cast("double") - F.lit(facts[f][0]) for f in features})
-
-
 def _turned(components: np.ndarray) -> np.ndarray:
     """Signs that make the largest loading by size positive; near ties count as ties."""
     size = np.abs(components)
@@ -65,11 +55,39 @@ def _turned(components: np.ndarray) -> np.ndarray:
     return np.where(components[np.arange(len(components)), lead] < 0, -1.0, 1.0)
 
 
-def _fit(vectors: DataFrame, column: str, d: int):
-    model = PCA(k=d, inputCol=column, outputCol="_pc").fit(vectors)
-    components = model.pc.toArray().T
-    signs = _turned(components)
-    return model, components * signs[:, None], signs, np.array(model.explainedVariance.toArray())
+def _covariance(rows: DataFrame, d: int, vector: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Means and sample covariance of columns, or of one array column, from one scan."""
+    mean, cov, counts = np.zeros(d), np.zeros((d, d)), set()
+    for r in moments(rows, vector).collect():  # a row per pair of features
+        i, j, n = r["i"], r["j"], r["n"]
+        counts.add(n)
+        cov[i, j] = cov[j, i] = (r["xy"] - r["x"] * r["y"] / max(n, 1)) / max(n - 1, 1)
+        if i == j:
+            mean[i] = r["x"] / max(n, 1)
+    if len(counts) > 1:
+        raise ValueError("features have missing values; fill or drop them first")
+    return mean, cov
+
+
+def _components(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(values, kind="stable")[::-1]
+    components = vectors[:, order].T
+    return components * _turned(components)[:, None], np.maximum(values[order], 0.0)
+
+
+def _projected(vector: Column, components: np.ndarray) -> Column:
+    """All scores of a row; narrow tables stay in generated code, wide ones go in batches."""
+    d = len(components)
+    if d <= _NARROW:
+        at = [F.get(vector, F.lit(i)) for i in range(d)]
+        return F.array(*[sum((a * float(c) for a, c in zip(at[1:], row[1:])), at[0] * float(row[0])) for row in components])
+
+    @F.pandas_udf("array<double>")
+    def project(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(rows.to_numpy()).astype(float) @ components.T)) if len(rows) else rows
+
+    return project(vector)
 
 
 def pca(
@@ -87,15 +105,17 @@ def pca(
     texts = [c for c in df.columns if features is None and c != "label" and c not in names]
     if texts:
         raise TypeError(f"every column must be numeric, these are not: {texts}")
-    centred = _standardised(df, names, scaler)
-    variances = centred.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(names)]).first()
-    total = sum(v or 0.0 for v in variances)
-    vectors = centred.withColumn("_x", array_to_vector(as_vector(names)))
-    model, components, signs, ratio = _fit(vectors, "_x", len(names))
+    done = scaler(df, names) if callable(scaler) else df
+    plain = scaler is None or callable(scaler)
+    facts = centre_and_spread(done, names, "standard" if plain else scaler)
+    spread = np.array([1.0 if plain else facts[c][1] for c in names])
+    shifted = [F.col(c).cast("double") - F.lit(facts[c][0]) for c in names]
+    mean, cov = _covariance(done.select(*[v.alias(f"c{i}") for i, v in enumerate(shifted)]), len(names))
+    components, variance = _components(cov / np.outer(spread, spread))
+    centred = [((v - F.lit(float(m))) / F.lit(float(b))).alias(c) for v, m, b, c in zip(shifted, mean, spread, names)]
     keep = [c for c in df.columns if c not in names]
-    turned = F.zip_with(vector_to_array("_pc"), F.array(*map(F.lit, signs.tolist())), lambda s, g: s * g)
-    scores = model.transform(vectors).select(*keep, *names, turned.alias("score"))
-    result = PCAResult(scores, names, components, ratio * total, ratio)
+    scores = done.select(*keep, *centred).withColumn("score", _projected(F.array(*[F.col(c) for c in names]), components))
+    result = PCAResult(scores, names, components, variance, variance / (variance.sum() or 1.0))
     if save_csv:
         write_csv(result.loadings(n_components), save_csv)
     return result
@@ -103,20 +123,15 @@ def pca(
 
 def pca_array(df: DataFrame, column: str) -> PCAResult:
     """PCA of an array column, centred but not scaled (embeddings and the like)."""
-    d = df.select(F.max(F.size(column))).first()[0]
     as_double = F.col(column).cast("array<double>")
-    means = df.select(F.posexplode(as_double).alias("i", "v")).groupBy("i").agg(
-        F.avg("v").alias("m"), F.var_samp("v").alias("s")
-    )
-    found = {r["i"]: (r["m"], r["s"]) for r in means.collect()}  # d rows
-    centre = F.array(*[F.lit(found[i][0]) for i in range(d)])
-    centred = F.zip_with(as_double, centre, lambda v, m: v - m)
-    vectors = df.withColumn("_x", array_to_vector(centred))
-    model, components, signs, ratio = _fit(vectors, "_x", d)
-    turned = F.zip_with(vector_to_array("_pc"), F.array(*map(F.lit, signs.tolist())), lambda s, g: s * g)
-    scores = model.transform(vectors).withColumn("score", turned).drop("_x", "_pc")
-    total = sum(s for _, s in found.values())
-    return PCAResult(scores, [f"x{i}" for i in range(d)], components, ratio * total, ratio)
+    top = df.filter(F.col(column).isNotNull()).select(as_double.alias("v")).first()["v"]
+    d, shift = len(top), F.array(*[F.lit(float(v or 0.0)) for v in top])
+    # Any row serves as a shift that keeps the digits of the sums.
+    mean, cov = _covariance(df.select(F.zip_with(as_double, shift, lambda v, m: v - m).alias("x")), d, vector=True)
+    components, variance = _components(cov)
+    centre = F.array(*[F.lit(float(v or 0.0) + float(m)) for v, m in zip(top, mean)])
+    score = _projected(F.zip_with(as_double, centre, lambda v, m: v - m), components)
+    return PCAResult(df.withColumn("score", score), [f"x{i}" for i in range(d)], components, variance, variance / (variance.sum() or 1.0))
 
 
 def select_features(

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import as_vector, hash_uniform
+from tidemark.functions.expressions import as_vector, hash_uniform, mean_vector, vector_spread
 from tidemark.operators.autocorrelation import grouped_schema
 from tidemark.operators.blocks import BLOCK_ROWS, distances, meet, pack, unpack
 from tidemark.operators.hierarchy import LINKAGES, cut, linkage
@@ -75,15 +75,14 @@ def squared_error(df: DataFrame, features: Features, keys: Sequence[str]) -> Dat
 
     The sum over all pairs of a group is ``n * sse``, so no pair is formed.
     """
+    n = F.count(F.lit(1))
     if not isinstance(features, str):
-        n = F.count(F.lit(1))
         total = F.lit(0.0)
         for c in features:
             total = total + F.var_pop(F.col(c).cast("double"))
         return df.groupBy(*keys).agg(n.alias("n"), (total * n).alias("sse"))
-    long = df.select(*keys, F.posexplode(features).alias("_dim", "_v"))
-    dims = long.groupBy(*keys, "_dim").agg(F.count(F.lit(1)).alias("n"), F.var_pop(F.col("_v").cast("double")).alias("_s"))
-    return dims.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("_s")).alias("sse"))
+    held = df.filter(F.col(features).isNotNull())
+    return held.groupBy(*keys).agg(n.alias("n"), (vector_spread(features) * n).alias("sse"))
 
 
 def dispersion(df: DataFrame, features: Features, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -156,12 +155,13 @@ def elbow(
         raise ValueError("k_max must be positive")
     if labels is None:
         labels = cluster_labels(df, features, row_id, range(1, k_max + 1), model, **options)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if weight is None:
+        found = squared_error(labels.join(df.select(row_id, vector_of(features).alias("_x")), row_id), "_x", ["k", "label"])
+        return found.groupBy("k").agg((F.sum("sse") / F.sum("n")).alias("distortion"), F.sum("sse").alias("inertia"))
+    w = F.col(weight).cast("double")
     data = df.select(row_id, vector_of(features).alias("_x"), w.alias("_w"))
     rows = checkpoint(labels.join(data, row_id).select("k", "label", "_x", "_w"))
-    means = rows.select("k", "label", F.posexplode("_x").alias("i", "v")).groupBy("k", "label", "i").agg(F.avg("v").alias("m"))
-    centre = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    centres = checkpoint(means.groupBy("k", "label").agg(centre.alias("_c")))
+    centres = checkpoint(rows.groupBy("k", "label").agg(mean_vector("_x").alias("_c")))
     few = centres.count() <= BROADCAST_ROWS
     near = rows.join(F.broadcast(centres) if few else centres, ["k", "label"])
     d2 = F.aggregate(F.zip_with("_x", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
@@ -254,11 +254,14 @@ def cluster_sets(
     df: DataFrame, sets: Mapping[str, tuple[Sequence[str], int]], row_id: str, model="complete", **options
 ) -> DataFrame:
     """Add one label column per ``{name: (features, k)}``."""
-    out = df
+    found = None
     for name, (features, k) in sets.items():
-        found = cluster_labels(df, features, row_id, [k], model, **options)
-        out = out.join(found.select(row_id, F.col("label").alias(name)), row_id, "left")
-    return out
+        one = cluster_labels(df, features, row_id, [k], model, **options).select(row_id, F.lit(name).alias("_set"), "label")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return df
+    wide = found.groupBy(row_id).agg(*[F.max(F.when(F.col("_set") == n, F.col("label"))).alias(n) for n in sets])
+    return df.join(wide, row_id, "left")
 
 
 def representatives(
@@ -271,9 +274,7 @@ def representatives(
     """
     data = df.select(F.col(label).alias("label"), F.col(row_id).alias("row_id"), vector_of(features).alias("_x"))
     known = data.filter("label IS NOT NULL")
-    dims = known.select("label", F.posexplode("_x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    means = checkpoint(ordinal(dims.groupBy("label").agg(mean.alias("m")), ["label"], name="_at"))
+    means = checkpoint(ordinal(known.groupBy("label").agg(mean_vector("_x").alias("m")), ["label"], name="_at"))
     schema = grouped_schema(data, ["label", "row_id"], ("distance", "double"))
     out = None
     for first in range(0, means.count(), CLASSES_PER_PASS):
