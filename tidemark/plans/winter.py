@@ -60,14 +60,16 @@ def regime_analysis(
 ):
     """Join, season, scale, check, deseasonalise the wind, choose k, cluster, score.
 
-    Returns ``(rows, checks, k)``: labelled winter rows with raw, scaled and
-    filtered columns; the seasonality table; the cluster count. Rows without
-    wind are dropped, as a decomposition needs an unbroken series.
+    Returns ``(rows, checks, k)``: winter rows with raw, scaled and filtered
+    columns and their label; the seasonality table; the cluster count. Rows
+    with a missing measurement stay, without a label. The series that is
+    scaled, decomposed and clustered has only complete rows, so the rows on
+    either side of a gap are neighbours there.
     """
     both = join_on(daily, warming, time, "left", ("_d", "_msw"))
-    winter = season(encode_labels(both, truth), time, months).na.drop(subset=["area", "ar", "latcent", wind])
+    every = checkpoint(season(encode_labels(both, truth), time, months))
     raw = ["area", "ar", "latcent", wind]
-    scaled = checkpoint(scale(checkpoint(ordinal(winter, [time])), raw))
+    scaled = checkpoint(scale(ordinal(every.na.drop(subset=raw), [time]), raw))
     checks = seasonality_check(scaled, [f"scaled_{c}" for c in raw])
     filtered = ssa_deseasonalise(scaled, f"scaled_{wind}", ssa_window, components)
     filtered = checkpoint(eeof_deseasonalise(filtered, f"scaled_{wind}", eeof_window, components))
@@ -77,4 +79,6 @@ def regime_analysis(
         if k is None:
             raise ValueError("the gap statistic settles on no cluster count")
     labels = cut(linkage(filtered, chosen, "idx", method), [k])
-    return filtered.join(labels.select("idx", F.col("label").alias("y")), "idx"), checks, k
+    labelled = filtered.join(labels.select("idx", F.col("label").alias("y")), "idx")
+    found = labelled.select(time, *[c for c in labelled.columns if c not in every.columns])
+    return every.join(found, time, "left"), checks, k
