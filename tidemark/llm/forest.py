@@ -105,13 +105,18 @@ def choose(forest: Forest, unit: np.ndarray, counts: np.ndarray, share: float) -
     return out
 
 
-def _rerank(pairs: DataFrame, size: int, k: int) -> DataFrame:
+def _precision(table: DataFrame, name: str) -> type:
+    """Vectors of floats travel as floats, all others as doubles; cosines are computed in doubles."""
+    return np.float32 if table.schema[name].dataType.elementType.typeName() == "float" else np.float64
+
+
+def _rerank(pairs: DataFrame, size: int, k: int, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for binary in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "qids", "queries"))):
-                ids, rows = np.frombuffer(binary[0], np.int64), np.frombuffer(binary[1]).reshape(-1, size)
-                qids, queries = np.frombuffer(binary[2], np.int64), np.frombuffer(binary[3]).reshape(-1, size)
+                ids, rows = np.frombuffer(binary[0], np.int64), np.frombuffer(binary[1], kind).reshape(-1, size).astype(np.float64)
+                qids, queries = np.frombuffer(binary[2], np.int64), np.frombuffer(binary[3], kind).reshape(-1, size).astype(np.float64)
                 lengths = np.sqrt((rows * rows).sum(axis=1))
                 qlengths = np.sqrt((queries * queries).sum(axis=1))
                 rough = (queries / qlengths[:, None]) @ (rows / lengths[:, None]).T
@@ -144,6 +149,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the ``k`` nearest rows found for each query row."""
     spark = table.sparkSession
+    kind = _precision(table, name)
     rows, size = vectors.usable(table, name)
     rows = rows.filter(F.exists("vector", lambda x: x != 0))
     picked = vectors.sample(rows, SAMPLE, size)
@@ -157,7 +163,7 @@ def nearest(
         for batch in batches:
             points = vectors.matrix(batch.column(1), size)
             units = points / np.linalg.norm(points, axis=1, keepdims=True)
-            binary = pa.array([p.tobytes() for p in points], pa.binary())
+            binary = pa.array([p.tobytes() for p in points.astype(kind)], pa.binary())
             for t in range(trees):
                 key = pa.array(planes.leaf(units, t) + t * planes.leaves)
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.zeros(len(points))), batch.column(0), binary], names=["key", "far", "vec_id", "vector"])
@@ -180,12 +186,12 @@ def nearest(
                 for t, leaf in choose(planes, point / np.linalg.norm(point), counts, wanted):
                     keys.append(t * planes.leaves + leaf)
                     ids.append(q)
-                    out.append(point.tobytes())
+                    out.append(point.astype(kind).tobytes())
             columns = [pa.array(keys, pa.int64()), pa.array(np.zeros(len(keys))), pa.array(ids, pa.int64()), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "far", "vec_id", "vector"])
 
     asked = rows.filter(vectors.is_query(every)).dropDuplicates(["vec_id", "vector"])
     visits = vectors.in_blocks(asked.select("vec_id", "vector").mapInArrow(walk, "key long, far double, vec_id long, vector binary"), QUERY_ROWS)
     visits = checkpoint(visits).select("key", F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
-    found = _rerank(visits.join(index.select("key", "ids", "vectors"), "key"), size, k)
+    found = _rerank(visits.join(index.select("key", "ids", "vectors"), "key"), size, k, kind)
     return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
