@@ -85,17 +85,17 @@ def select_numeric(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, *numeric_columns(df, keep))
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
+def label_codes(df: DataFrame, column: str, few: int = FEW_CLASSES) -> DataFrame:
     """The code table ``(column, code)``: distinct values in order, from 0.
 
-    Up to ``FEW_CLASSES`` classes are sorted on the driver; beyond that the
+    Up to ``few`` classes are sorted on the driver; beyond that the
     ordinal index numbers them without one task holding all of them.
     """
     from tidemark.operators.ordering import ordinal
 
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    found = distinct.limit(FEW_CLASSES + 1).collect()
-    if len(found) > FEW_CLASSES:
+    found = distinct.limit(few + 1).collect()
+    if len(found) > few:
         return ordinal(distinct, [column], name="code")
     rows = [(v, i) for i, v in enumerate(sorted(r[0] for r in found))]
     kind = T.StructType([df.schema[column], T.StructField("code", T.LongType())])

@@ -86,11 +86,11 @@ def flag_runs(
     )
 
 
-def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) -> DataFrame:
+def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30, fold: int = FOLD_EVENTS) -> DataFrame:
     """Greedily accept events that start ``spacing`` whole days after the last accepted one ended.
 
     ``events`` has ``run``, ``start``, ``end``, ``kind``, ``start_time`` and
-    ``last_time``. Series with at most ``FOLD_EVENTS`` events are folded in
+    ``last_time``. Series with at most ``fold`` events are folded in
     place. In longer ones an event that starts late enough after everything
     before it is accepted whatever happened earlier, so it opens an independent
     segment to fold. Segments that are still too long are resolved by pointer
@@ -99,7 +99,7 @@ def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) ->
     order = ["start_time", "kind", "end", "start"]
     events = checkpoint(events)
     largest = events.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if (largest or 0) <= FOLD_EVENTS:
+    if (largest or 0) <= fold:
         return _folded(events, keys, order, spacing).select(*keys, *order, "run", "last_time")
     laid = lay_out(events, order, keys)
     # Greatest last_time up to and including each event; the one before it decides.
@@ -114,9 +114,9 @@ def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) ->
 
     sizes = segmented.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_size"))
     rows = segmented.join(sizes, [*keys, "_segment"])
-    short = rows.filter(F.col("_size") <= FOLD_EVENTS)
+    short = rows.filter(F.col("_size") <= fold)
     accepted = _folded(short, [*keys, "_segment"], order, spacing).select(*keys, *order, "run", "last_time")
-    many = rows.filter(F.col("_size") > FOLD_EVENTS)
+    many = rows.filter(F.col("_size") > fold)
     if many.limit(1).count():
         accepted = accepted.unionByName(
             _doubling(many.drop("_size"), [*keys, "_segment"], order, spacing).select(*accepted.columns)
@@ -125,7 +125,7 @@ def spaced_events(events: DataFrame, keys: Sequence[str], spacing: int = 30) ->
 
 
 def _folded(events: DataFrame, keys: list[str], order: list[str], spacing: int) -> DataFrame:
-    """Accepted events of groups of at most ``FOLD_EVENTS``, scanned as one sorted array."""
+    """Accepted events of groups whose size the caller bounds, scanned as one sorted array."""
     found = F.array_sort(F.collect_list(F.struct(*order, "run", "last_time")))
     grouped = events.groupBy(*keys).agg(found.alias("_events"))
 
@@ -135,7 +135,7 @@ def _folded(events: DataFrame, keys: list[str], order: list[str], spacing: int)
 
     # The first event is always accepted, so the fold never sees an empty array.
     every = F.col("_events")
-    return grouped.select(*keys, F.inline(F.aggregate(F.slice(every, 2, FOLD_EVENTS), F.slice(every, 1, 1), step)))
+    return grouped.select(*keys, F.inline(F.aggregate(F.slice(every, 2, F.size(every)), F.slice(every, 1, 1), step)))
 
 
 def _apart(earlier: Column, later: Column, days: int) -> Column:
@@ -185,12 +185,14 @@ def label_events(
     tie: Sequence[str] = (),
     by_calendar: bool = False,
     out: str = "regime",
+    fold: int = FOLD_EVENTS,
 ) -> DataFrame:
     """Label rows ``displaced``, ``split`` or ``undisturbed``; adds ``idx`` and ``out``.
 
     Displaced: latitude at or below its limit for ``days`` rows; split: aspect
     ratio at or above its limit. ``mark`` labels all rows of an accepted event,
-    its first, or its last. Events that start together go displaced first.
+    its first, or its last. Events that start together go displaced first. Series
+    with more than ``fold`` events are not folded in one array.
     """
     if mark not in ("all", "first", "last"):
         raise AttributeError(f"mark must be 'all', 'first' or 'last', got {mark!r}")
@@ -198,7 +200,7 @@ def label_events(
     flags = {"displaced": F.col(latitude) <= latitude_limit, "split": F.col(ar) >= ar_limit}
     marked = checkpoint(_mark_runs(data, flags, time, keys, [time, *tie], by_calendar))
     events = _long_runs(marked, list(flags), time, keys, days)
-    accepted = checkpoint(spaced_events(events, keys, spacing))
+    accepted = checkpoint(spaced_events(events, keys, spacing, fold))
     if mark == "all":
         first, last = F.col("start"), F.col("end") - 1
     else:

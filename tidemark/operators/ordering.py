@@ -283,16 +283,18 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     name: str = "feature",
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact interpolated quantiles as ``(*by, feature, q)`` with ``q`` an array.
 
     The built-in exact percentile keeps the distinct values of a group in one
-    task, so it serves only while a count shows every group to be small.
+    task, so it serves only while a count shows every group to have at most
+    ``small_group`` rows.
     Otherwise equal values are counted first, then ranked with a running
     total, and neither a hot value nor a hot group ends up in one task.
     """
     largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if (largest or 0) <= SMALL_GROUP:
+    if (largest or 0) <= small_group:
         wanted = [float(p) for p in probs]
         wide = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"_q{i}") for i, c in enumerate(columns)])
         rows = F.array(*[F.struct(F.lit(c).alias(name), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)])

@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash_uniform
-from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, filters, hierarchy, ordering, selection
+from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, events, filters, hierarchy, ordering, selection
 from tidemark.plans import winter
 from tidemark.plans.catalog import _DRAWS, QUERIES, SQL, indexed, query
 from tidemark.plans.tables import DAILY, INDEXED, daily, day, r6, table
@@ -307,6 +307,29 @@ def iso_times(spark, folder):
     return parsed.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
+# The same work by the paths for large groups
+
+
+@query(SQL["threshold_events"])
+def threshold_events_unfolded(spark, folder):
+    """More events than one array may hold: segments, and pointer doubling in long ones."""
+    out = events.label_events(daily(spark, folder), ar_limit=1.9, latitude_limit=65, days=4, fold=1)
+    return out.select(day().alias("day"), "idx", "regime")
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) + 0.0 AS low, round(median(l_quantity), 6) + 0.0 AS mid, round(quantile_cont(l_quantity, 0.75), 6) + 0.0 AS high FROM lineitem GROUP BY l_returnflag""")
+def ranked_quantiles(spark, folder):
+    """Quantiles from running totals over value counts."""
+    out = ordering.quantiles(table(spark, folder, "lineitem"), ["l_quantity"], [0.25, 0.5, 0.75], ["l_returnflag"], small_group=0)
+    return out.select("l_returnflag", *[r6(F.col("q")[i]).alias(c) for i, c in enumerate(("low", "mid", "high"))])
+
+
+@query("""SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part)""")
+def indexed_codes(spark, folder):
+    """Codes of more classes than the driver may sort."""
+    return cleaning.label_codes(table(spark, folder, "part"), "p_type", few=3)
+
+
 # The whole flow
 
 
