@@ -131,6 +131,10 @@ class WordEncoder(dict):
         self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.piece = {}, {}
+
     def show(self, binary: bytes) -> tuple[str, str]:
         """The ids as decimal text, and the tokens they stand for."""
         ids = np.frombuffer(binary, "<u4").tolist()

@@ -24,3 +24,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Hand back the memory that Arrow keeps for later; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()

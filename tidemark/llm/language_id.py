@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import release, slices
 from tidemark.session import checkpoint
 
 UNDETERMINED = "und"
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             columns = batch.columns[: len(keep)]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+        release()
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return docs.select(*sent).mapInArrow(run, schema)

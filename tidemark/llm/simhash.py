@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, width
+from tidemark.llm.common import release, slices, width
 from tidemark.session import checkpoint
 
 SHINGLE = 3
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
             codes = np.array([fingerprint(t, shingle) for t in batch.column("_text").to_pylist()], dtype=np.uint64)
             columns = [*[batch.column(c) for c in keep], pa.array(codes.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
+        release()
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, width
+from tidemark.llm.common import release, slices, width
 from tidemark.session import checkpoint
 
 WINDOW = 20
@@ -146,6 +146,7 @@ def batches(docs: DataFrame) -> DataFrame:
                 size += length
         if held:
             yield pa.RecordBatch.from_pylist([pack(part, nth, held)], arrow)
+        release()
 
     return docs.mapInArrow(run, target)
 
@@ -304,6 +305,7 @@ def _window_requests(table: DataFrame, window: int, buckets: int, span: int, fin
                     rows.append((int(bucket[some[0]]), name, entry[some].tobytes(), np.diff(ids, prepend=0).astype("<i8").tobytes(), starts.astype("<u4").tobytes()))
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "entries", "ids", "starts"])
+        release()
 
     return table.mapInArrow(run, "bucket long, batch long, entries binary, ids binary, starts binary")
 
@@ -373,6 +375,7 @@ def _rewrite(table: DataFrame, window: int, row_type: T.DataType, whole: bool) -
                 rows = held.column("rows")[i].values
                 columns = [rows, *[pa.array([o[k] for o in out], arrow.field(k + 1).type) for k in range(4)]]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field("row", rows.type), *list(arrow)[1:]]))
+        release()
 
     return table.mapInArrow(run, schema)
 
