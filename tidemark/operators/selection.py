@@ -175,9 +175,9 @@ def silhouette(
 ) -> DataFrame:
     """``(k, silhouette)``: exact mean Euclidean silhouette of given labels ``(row_id, k, label)``.
 
-    Distances are computed once for all ``k``: tasks sum them per row and per
-    combination of labels, and the sums are added up per ``k``. A cluster of
-    one scores 0; with a single cluster the score is NULL.
+    Distances are computed once for all ``k``: a task sums them per row, ``k``
+    and label, whatever the labels of different ``k`` have in common. A cluster
+    of one scores 0; with a single cluster the score is NULL.
     """
     ks = sorted(r["k"] for r in labels.select("k").distinct().collect())
     pick = [F.max(F.when(F.col("k") == k, F.col("label"))).cast("string") for k in ks]
@@ -189,18 +189,22 @@ def silhouette(
 
     def work(left, right, same) -> dict:
         d = distances(unpack(left), unpack(right))
-        out = {"_id": [], "_own": [], "_w": [], "_to": [], "_sum": []}
+        out = {"_id": [], "_w": [], "k": [], "mine": [], "other": [], "_sum": []}
 
         def add(me, them, matrix):
-            names = np.asarray(them["_class"], dtype=object)
-            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            sums = np.add.reduceat(matrix * np.asarray(them["_w"], float), starts, axis=1)
-            for j, s in enumerate(starts):
+            mine, theirs = (np.array([c.split("|") for c in side["_class"]], dtype=np.int64) for side in (me, them))
+            weighted = matrix * np.asarray(them["_w"], float)
+            for at, k in enumerate(ks):
+                names, place = np.unique(theirs[:, at], return_inverse=True)
+                sums = np.zeros((len(mine), len(names)))
+                for j in range(len(names)):
+                    sums[:, j] = weighted[:, place == j].sum(axis=1)
                 out["_id"] += list(me["_id"])
-                out["_own"] += list(me["_class"])
                 out["_w"] += list(me["_w"])
-                out["_to"] += [names[s]] * len(me["_id"])
-                out["_sum"] += sums[:, j].tolist()
+                out["k"] += [k] * len(mine)
+                out["mine"] += mine[:, at].tolist()
+                out["other"] += [names.tolist()] * len(mine)
+                out["_sum"] += sums.tolist()
 
         add(left, right, d)
         if not same:
@@ -208,15 +212,12 @@ def silhouette(
         return out
 
     packed = pack(points, ["_id", "_class", "_w"], "_x", ["_class", "_id"], ["_all"], block)
-    schema = grouped_schema(points, ["_all"], ("_id", "long"), ("_own", "string"), ("_w", "long"), ("_to", "string"), ("_sum", "double"))
-    sums = meet(packed, ["_all"], [], schema, work).groupBy("_id", "_own", "_w", "_to").agg(F.sum("_sum").alias("_sum"))
-    label_at = lambda c: F.transform(F.split(c, r"\|"), lambda v: v.cast("int"))
-    per_k = F.explode(F.arrays_zip(
-        F.array(*map(F.lit, ks)).alias("k"), label_at("_own").alias("mine"), label_at("_to").alias("other")
-    ))
-    by_label = sums.select("_id", "_w", "_sum", per_k.alias("_z")).groupBy(
-        "_id", "_w", F.col("_z.k").alias("k"), F.col("_z.mine").alias("mine"), F.col("_z.other").alias("other")
-    ).agg(F.sum("_sum").alias("_sum"))
+    schema = grouped_schema(
+        points, ["_all"], ("_id", "long"), ("_w", "long"), ("k", "int"), ("mine", "int"), ("other", "array<int>"), ("_sum", "array<double>")
+    )
+    sums = meet(packed, ["_all"], [], schema, work)
+    by_label = sums.select("_id", "_w", "k", "mine", F.inline(F.arrays_zip("other", "_sum"))).groupBy("_id", "_w", "k", "mine", "other")
+    by_label = by_label.agg(F.sum("_sum").alias("_sum"))
     sizes = checkpoint(labels.groupBy("k", F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("_n")))
     few = sizes.count() <= BROADCAST_ROWS
     scored = by_label.join(F.broadcast(sizes) if few else sizes, ["k", "other"])
