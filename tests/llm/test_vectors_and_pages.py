@@ -227,14 +227,15 @@ def test_pipeline(spark):
     passage = prose(60)
     texts = [prose(random_.randint(5, 90)) for _ in range(25)] + [f"{prose(9)} {passage} {prose(3)}" for _ in range(4)]
     texts += [texts[0], texts[1] + " end", None, "", "12 34 %", f"{prose(30)} write to me@mail.example.com or +1 (202) 555-0101 {prose(30)}"]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
-    rows = [(i, t, "en" if i % 3 else None, "s", len(t) if t else 0, "r") for i, t in enumerate(texts)]
+    more = ["row", "_row", "_key", "_text", "_spans", "score", "lang_pred", "n_words", "fp", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more)
+    rows = [(i, t, "en" if i % 3 else None, "s", len(t) if t else 0, *more) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, schema).repartition(2)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "personal_data", "packing"]
     state = {i: t for i, t, *_ in rows}
     for name, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, FOLDER)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *more]
         docs = docs.cache()
         got = {r.doc_id: r for r in docs.collect()}
         if name == "language":
@@ -251,6 +252,7 @@ def test_pipeline(spark):
                     text = text[:s] + f"[{kind.upper()}]" + text[e:]
                 state[i] = text
         assert {i: r.text for i, r in got.items()} == state
+        assert all(list(r)[5:] == more for r in got.values())
         if name in ("repeats", "personal_data"):
             assert all(r.n_chars == len(r.text) for r in got.values())
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_ROWS = 256
 
 
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``df``, whatever signs their names hold, without those named in ``but``."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns if c not in but]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

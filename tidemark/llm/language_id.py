@@ -167,10 +167,10 @@ def _guess(scorer: _Scorer, text: str | None) -> tuple[str, float]:
     return languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``lang_pred`` and ``score`` of its ``text``."""
-    sent = list(dict.fromkeys((*keep, "text")))
-    spot = sent.index("text")
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` with ``lang_pred`` and ``score`` of its ``text`` column."""
+    sent = list(dict.fromkeys((*keep, text)))
+    spot = sent.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import columns
 from tidemark.session import checkpoint
 
 REACH = 64
@@ -256,9 +257,14 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with personal data replaced by its kind and disclosing terms generalised or removed."""
     _, more = findings(docs, **thresholds)
     more = checkpoint(more).select(F.col("key").alias("_key"), F.col("more").alias("_more"))
-    spotted = docs.withColumn("_spans", base_spans(F.col("text"), 0))
-    clean = spotted.filter(F.size("_spans") == 0).select(*docs.columns)
-    held = spotted.filter(F.size("_spans") > 0).withColumn("_key", F.md5(F.col("text").cast("binary"))).join(more, "_key", "left")
+    # All but the text travels as one struct, so no column of it can clash with ours.
+    rest = F.struct(*columns(docs, "text")).alias("_row")
+    spotted = docs.select(rest, F.col("text").alias("_text"), base_spans(F.col("text"), 0).alias("_spans"))
+
+    def rows(df: DataFrame, text: Column) -> DataFrame:
+        return df.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+
+    held = spotted.filter(F.size("_spans") > 0).withColumn("_key", F.md5(F.col("_text").cast("binary"))).join(more, "_key", "left")
     every = F.array_sort(F.concat("_spans", F.coalesce("_more", F.array().cast(_SPAN))))
-    rewritten = held.withColumn("text", _rewrite(F.col("text"), every))
-    return clean.unionByName(rewritten.select(*docs.columns))
+    clean = rows(spotted.filter(F.size("_spans") == 0), F.col("_text"))
+    return clean.unionByName(rows(held, _rewrite(F.col("_text"), every)))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, slices, width
+from tidemark.llm.common import columns, release, slices, width
 from tidemark.session import checkpoint
 
 SHINGLE = 3
@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             codes = np.array([fingerprint(t, shingle) for t in batch.column("_text").to_pylist()], dtype=np.uint64)
-            columns = [*[batch.column(c) for c in keep], pa.array(codes.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
+            arrays = [*[batch.column(c) for c in keep], pa.array(codes.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "fp"])
         release()
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
@@ -257,20 +257,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
     """One row of ``docs`` per component: the smallest doc_id, and then the smallest digest of the text."""
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    found = checkpoint(fingerprints(keyed.select("doc_id", "text", "_key"), shingle, ("doc_id", "_key")))
+    # The row travels as one struct, so no column of it can clash with ours.
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_key")
+    keyed = docs.select(F.struct(*columns(docs)).alias("_row"), F.col("doc_id").alias("_doc"), key)
+    found = checkpoint(fingerprints(docs.select("doc_id", "text", key), shingle, ("doc_id", "_key")))
     labels = _labels(found, distance, node_rows).select("fp", "root")
     # Nulls last: a row without an id stays only where its whole component has none.
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
     first = found.groupBy("fp").agg(F.min(place).alias("_place"))
     stay = first.join(labels, "fp").groupBy("root").agg(F.min("_place").alias("_place"))
     stay = stay.select(F.col("_place.id").alias("_id"), F.col("_place.key").alias("_of"))
-    out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left_semi")
+    out = keyed.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left_semi")
     repeated = found.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_key"])
-    return out.select(*columns)
+        out = out.dropDuplicates(["_doc", "_key"])
+    return out.select("_row.*")
 
 
 def as_hex(fp: Column) -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import release, slices, width
+from tidemark.llm.common import columns, release, slices, width
 from tidemark.session import checkpoint
 
 WINDOW = 20
@@ -124,7 +124,7 @@ def batches(docs: DataFrame) -> DataFrame:
             "rows": [h[2] for h in held],
         }
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.struct(*columns(docs, "text")).alias("row"))
     row_type = docs.select("row").schema[0].dataType
     target = (
         T.StructType().add("batch", "long").add("texts", "binary").add("ids", T.ArrayType(T.LongType())).add("sizes", T.ArrayType(T.LongType())).add("words", "long")
@@ -232,8 +232,8 @@ def _anchor_requests(table: DataFrame, window: int, buckets: int, span: int) ->
                 bucket = key // np.uint64(span)
                 edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 rows = [(int(bucket[a]), name, _pack_sorted(key[a:b] % np.uint64(span)), codes[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:])]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "contents", "codes"])
+                arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "batch", "contents", "codes"])
 
     return table.select("batch", "texts", "ids", "sizes").mapInArrow(run, "bucket long, batch long, contents binary, codes binary")
 
@@ -303,8 +303,8 @@ def _window_requests(table: DataFrame, window: int, buckets: int, span: int, fin
                     some = order[a:b]
                     ids, starts = batch.id[at[some]], batch.start[at[some]]
                     rows.append((int(bucket[some[0]]), name, entry[some].tobytes(), np.diff(ids, prepend=0).astype("<i8").tobytes(), starts.astype("<u4").tobytes()))
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "entries", "ids", "starts"])
+                arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "batch", "entries", "ids", "starts"])
         release()
 
     return table.mapInArrow(run, "bucket long, batch long, entries binary, ids binary, starts binary")
@@ -373,18 +373,22 @@ def _rewrite(table: DataFrame, window: int, row_type: T.DataType, whole: bool) -
                         text = kept if removed else raw
                     out.append((len(words), removed, hashlib.sha256(kept).hexdigest(), None if text is None else text.decode()))
                 rows = held.column("rows")[i].values
-                columns = [rows, *[pa.array([o[k] for o in out], arrow.field(k + 1).type) for k in range(4)]]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field("row", rows.type), *list(arrow)[1:]]))
+                arrays = [rows, *[pa.array([o[k] for o in out], arrow.field(k + 1).type) for k in range(4)]]
+                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field("row", rows.type), *list(arrow)[1:]]))
         release()
 
     return table.mapInArrow(run, schema)
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, whole: bool = True) -> DataFrame:
+REPORT = ("n_words", "n_removed", "kept_sha256")
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, whole: bool = True, report: bool = True) -> DataFrame:
     """Columns of ``docs`` with ``text`` cleaned, then n_words, n_removed and kept_sha256.
 
     A text that loses nothing stays as written; another becomes its kept words
-    joined by one space. ``whole=False`` leaves the text null.
+    joined by one space. ``whole=False`` leaves the text null. The report
+    replaces input columns of its names; ``report=False`` leaves it out.
     """
     if window < 2:
         raise ValueError("a window needs two words at least")
@@ -406,5 +410,6 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, whole: bool = True) -> Da
     late = asked.groupBy("bucket").applyInArrow(_window_answers, "batch long, late binary")
     late = late.groupBy("batch").agg(F.collect_list("late").alias("late"))
     out = _rewrite(table.join(late, "batch", "left"), window, row_type, whole)
-    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*columns, "n_words", "n_removed", "kept_sha256")
+    own = REPORT if report else ()
+    kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in own]
+    return out.select(*kept, *own)
