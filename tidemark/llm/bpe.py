@@ -37,7 +37,7 @@ LONGEST = 8_192
 #: Characters that the rolling hash sees.
 ROLL = 16
 #: Words, and characters of chunks, that a worker remembers.
-WORDS = 150_000
+WORDS = 250_000
 CHUNK_CHARS = 8_000_000
 #: Words beside a cut that a chunk keeps for repairs.
 RIM = 4

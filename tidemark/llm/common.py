@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import resource
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,3 +36,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def release() -> None:
     """Hand back the memory that Arrow keeps for later; a worker outlives its tasks."""
     pa.default_memory_pool().release_unused()
+
+
+def resident_mb() -> float:
+    """Memory of this process in MB, or 0 where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * resource.getpagesize() / 1e6
+    except OSError:
+        return 0.0

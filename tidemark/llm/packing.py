@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import worker
-from tidemark.llm.common import release, slices
+from tidemark.llm.common import release, resident_mb, slices
 from tidemark.session import checkpoint
 
 LENGTH = 4_096
 END = 2
+#: A worker larger than this at the end of a task forgets the words it has encoded.
+KEEP_MB = 340
 
 #: How many sequences have a pattern, and the lengths in it, longest first.
 Pattern = tuple[int, tuple[int, ...]]
@@ -95,9 +97,9 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids:
                 columns.append(pa.array(binaries, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        # The task that follows on this worker may need the memory for something else.
-        encoder.forget()
         release()
+        if resident_mb() > KEEP_MB:
+            encoder.forget()
 
     schema = docs.select("doc_id").schema
     for name in ("start", "length", "ids_crc32", "doc_tokens", "_part", "_nth"):
