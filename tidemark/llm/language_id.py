@@ -95,25 +95,26 @@ def fit(
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
     )
     terms = checkpoint(terms)
-    kept: list[list] = []
-    languages: set[str] = set()
+    kept: list[tuple[list[str], np.ndarray]] = []
+    seen: dict[str, int] = {}
     for k in range(longest + 1):
         most = max_words if k == 0 else max_grams
         rows = terms.filter(F.col("k") == k).orderBy(F.desc("total"), "term").limit(most).collect()
-        kept.append(rows)
-        languages.update(*[row["by"] for row in rows] or [()])
-    order = sorted(languages)
-    place = {language: i for i, language in enumerate(order)}
+        # Small arrays instead of rows, one length at a time.
+        cells = [(i, seen.setdefault(language, len(seen)), n) for i, row in enumerate(rows) for language, n in row["by"].items()]
+        kept.append(([row["term"] for row in rows], np.array(cells, dtype=np.int64).reshape(-1, 3)))
+        del rows, cells
+    order = sorted(seen)
+    place = np.array([order.index(language) for language in seen], dtype=np.int64)
     scores, tables = [np.zeros((1, len(order)))], []
     first = 1
-    for rows in kept:
-        table = np.zeros((len(rows), len(order)))
-        for i, row in enumerate(rows):
-            for language, n in row["by"].items():
-                table[i, place[language]] = n
-        scores.append(np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (len(rows) + 1))))
-        tables.append({row["term"]: first + i for i, row in enumerate(rows)})
-        first += len(rows)
+    for names, cells in kept:
+        table = np.zeros((len(names), len(order)))
+        if len(cells):
+            table[cells[:, 0], place[cells[:, 1]]] = cells[:, 2]
+        scores.append(np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (len(names) + 1))))
+        tables.append({name: first + i for i, name in enumerate(names)})
+        first += len(names)
     return Model(order, tables[0], tables[:0:-1], np.concatenate(scores))
 
 
