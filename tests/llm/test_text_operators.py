@@ -242,6 +242,20 @@ def test_disclosing_terms(spark):
     assert clean[len(rows) - 2].text is None and clean[0].key == "c"
 
 
+def test_terms_far_from_an_entity(spark):
+    """Terms of the whole text count, whatever stands between, as do short ones and ones with digits."""
+    noise = [f"plain filler words number{i} stand here" for i in range(60)]
+    gap = " 77 filler words" * 30
+    held = [f"zyxwvut qx9 {n}{gap} to who@there.org or{gap} kq here zyxwvut" for n in ("alpha", "beta", "gamma")]
+    df = spark.createDataFrame(list(enumerate([*noise, *held])), "doc_id long, text string")
+    got = {r.doc_id: r for r in sanitise.spans(df).collect()}
+    for i, text in enumerate(held, len(noise)):
+        hidden = [text[s.start : s.end] for s in got[i].spans if s.kind == 5]
+        assert hidden.count("zyxwvut") == 2 and {"qx9", "kq"} <= set(hidden)
+        assert not {"filler", "words", "alpha", "beta", "gamma", "there", "org"} & set(hidden)
+    assert all(not got[i].spans for i in range(len(noise)))
+
+
 def test_rewrite_covers_overlaps_once(spark):
     text = "tel +4111111111111111 end"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -9,10 +9,13 @@ mark in the texts that hold both, and from the share ``remove`` on it is
 removed. A pair needs to occur together in ``support`` different texts, so a
 rare word beside a single address, or copies of one text, prove nothing.
 
-Terms are looked for within ``reach`` characters of an entity, so the pairs
-grow with the entities found and not with the square of a text. Document
-frequencies of terms are counted over all documents. Joins run on text, pair
-and term keys; a table is broadcast only where Spark measures it to be small.
+Terms are the distinct words of the whole text, any run of letters and digits
+outside the base spans, however far from an entity. Document frequencies of
+terms are counted over all documents. Pairs are made only of terms and entities
+that have support and whose frequencies leave the share within reach: as
+p(t, e) is at most p(e) and at most the share of documents that hold t and any
+entity, that drops no pair that could be chosen. Joins run on text, pair and
+term keys; a table is broadcast only where Spark measures it to be small.
 
 Cases: null and empty texts have no spans. Texts of any length are searched
 whole, by patterns that do not backtrack over long runs. Spans of different
@@ -32,7 +35,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import columns
 from tidemark.session import checkpoint
 
-REACH = 64
 SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.9
@@ -50,7 +52,7 @@ PATTERNS = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _ANY = "[@]|[0-9]"
-_TERM = r"\p{L}{4,}"
+_WORD = r"[\p{L}\p{M}\p{N}]++"
 _RUN = 128
 
 
@@ -104,10 +106,10 @@ def _valid(kind: str, value: Column) -> Column:
     return _let(digits, lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(F.lit(False)))
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _find(text: Column, pattern: str, kind: Column, keep: Callable[[Column], Column], reach: int, when: Column) -> Column:
+def _find(text: Column, pattern: str, kind: Column, keep: Callable[[Column], Column], when: Column) -> Column:
     """Matches with code point spans: what lies between them and they themselves add up to the text."""
 
     def spans(hits: Column) -> Column:
@@ -122,8 +124,6 @@ def _find(text: Column, pattern: str, kind: Column, keep: Callable[[Column], Col
                         kind.alias("kind"),
                         (F.get(ahead, i) + F.length(F.get(gaps, i)) + F.length(h)).alias("end"),
                         h.alias("value"),
-                        F.right(F.get(gaps, i), F.lit(reach)).alias("before"),
-                        F.left(F.get(gaps, i + 1), F.lit(reach)).alias("after"),
                     ),
                 ),
             )
@@ -135,12 +135,12 @@ def _find(text: Column, pattern: str, kind: Column, keep: Callable[[Column], Col
     return F.coalesce(found.cast(_SPAN), F.array().cast(_SPAN))
 
 
-def base_spans(text: Column, reach: int = REACH) -> Column:
+def base_spans(text: Column) -> Column:
     """Personal data in ``text`` by start, then kind; ``kind`` indexes :data:`KINDS`."""
     text = F.coalesce(text, F.lit(""))
     signs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     each = [
-        _find(text, PATTERNS[k], F.lit(i), lambda v, k=k: _valid(k, v), reach, signs.get(k, text.rlike("[0-9]")))
+        _find(text, PATTERNS[k], F.lit(i), lambda v, k=k: _valid(k, v), signs.get(k, text.rlike("[0-9]")))
         for i, k in enumerate(KINDS)
     ]
     return F.array_sort(F.concat(*each))
@@ -158,11 +158,24 @@ def _entity(span: Column) -> Column:
     return F.sha2(F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"])), 256)
 
 
-def _terms(span: Column) -> Column:
-    """Whole words beside a span; a word that the window cuts is left out."""
-    before = F.regexp_replace(span["before"], r"^\p{L}+", "")
-    after = F.regexp_replace(span["after"], r"\p{L}+$", "")
-    return F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(f"({_TERM})"), F.lit(1))
+def _cover(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``mark(span, at)`` for each span, where ``at`` is the end of what is covered so far."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.concat(state["out"], gap, mark(s, state["at"])).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
+
+    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _blank(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of its spans, so that all else stays where it was."""
+    return _cover(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1)), F.lower))
 
 
 def disclosing_terms(
@@ -174,27 +187,33 @@ def disclosing_terms(
 ) -> DataFrame:
     """``key``, ``term``, ``kind``: terms to hide in the texts with that key.
 
-    ``found`` has the key and base spans of every row with any; ``docs.text``
-    gives the document frequencies.
+    ``found`` has the key, base spans and terms of every row with any span;
+    ``docs.text`` gives the document frequencies.
     """
-    near = found.select(
-        "key",
-        F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.transform(_terms(s), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term"))))))).alias("p"),
-    )
-    pairs = checkpoint(near.groupBy("key", "p.entity", "p.term").agg(F.count(F.lit(1)).alias("rows")))
-    held = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    together = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count(F.lit(1)).alias("texts"))
-    together = checkpoint(together.filter(F.col("texts") >= support))
-    wanted = together.select("term").distinct()
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({_TERM})"), F.lit(1))))
+    entities = F.array_distinct(F.transform("spans", _entity))
+    texts = found.select("key", entities.alias("entities"), "terms").groupBy("key")
+    texts = checkpoint(texts.agg(F.count(F.lit(1)).alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    total = float(max(docs.count(), 2))
+    held = texts.select("key", "rows", F.explode("entities").alias("entity"))
+    often = held.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    words = texts.select("key", "rows", F.explode("terms").alias("term"))
+    beside = words.groupBy("term").agg(F.sum("rows").alias("n_h"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    spotted = docs.filter("text IS NOT NULL").select("text", base_spans(F.col("text")).alias("spans"))
+    outside = F.when(F.size("spans") > 0, _blank(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     # Counts first: a join of single words would shuffle the corpus.
-    frequency = docs.filter("text IS NOT NULL").select(word.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    known = frequency.join(wanted, "term")
-    total = F.lit(float(max(docs.count(), 2)))
+    frequency = spotted.select(F.explode(_terms(outside)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # A pair's share is at most what n_te = least(n_e, n_h) gives, and that is largest at n_e = n_h.
+    spare = 1.0 - min(generalise, 1.0)
+    most = lambda n, n_e: n * F.pow(total / n_e, F.lit(spare)) * (1 + 1e-9)
+    known = checkpoint(frequency.join(beside, "term").filter(F.col("n_t") <= most(F.col("n_h"), F.col("n_h"))))
+    sides = held.join(often, "entity").join(words.drop("rows").join(known, "term"), "key")
+    pairs = checkpoint(sides.filter(F.col("n_t") <= most(F.least("n_e", "n_h"), F.col("n_e"))).drop("n_h"))
+    together = pairs.groupBy("entity", "term").agg(
+        F.sum("rows").alias("n_te"), F.count(F.lit(1)).alias("texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")
+    )
     content = F.log2(total / F.col("n_e"))
     told = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    weighed = together.join(known, "term").join(entities, "entity").withColumn("share", F.when(content > 0, told / content).otherwise(F.lit(0.0)))
+    weighed = together.filter(F.col("texts") >= support).withColumn("share", F.when(content > 0, told / content).otherwise(F.lit(0.0)))
     first = len(KINDS)
     kind = F.when(F.col("share") >= remove, F.lit(first + 1)).when(F.col("share") >= generalise, F.lit(first))
     chosen = weighed.select("entity", "term", kind.alias("kind")).filter("kind IS NOT NULL")
@@ -202,15 +221,14 @@ def disclosing_terms(
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
-    """Where the terms (term to kind) stand in ``text``."""
-    words = _find(text, r"\p{L}++", F.lit(0), lambda v: F.map_contains_key(terms, F.lower(v)), 0, F.lit(True))
+    """Where the terms (term to kind) stand in ``text``, its base spans left out."""
+    words = _find(text, _WORD, F.lit(0), lambda v: F.map_contains_key(terms, F.lower(v)), F.lit(True))
     kinds = F.transform(words, lambda s: s.withField("kind", F.element_at(terms, F.lower(s["value"]))))
     return F.array_sort(kinds.cast(_SPAN))
 
 
 def findings(
     docs: DataFrame,
-    reach: int = REACH,
     support: int = SUPPORT,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
@@ -221,14 +239,17 @@ def findings(
     and ``more``, for the texts that hold a term to hide. The key is a digest
     of the text and is null without base spans.
     """
-    spans = base_spans(F.col("text"), reach)
-    rows = docs.select("doc_id", "text", spans.alias("spans"))
-    rows = checkpoint(rows.select("doc_id", F.when(F.size("spans") > 0, F.md5(F.col("text").cast("binary"))).alias("key"), "spans"))
+    rows = docs.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
+    found = F.when(F.size("spans") > 0, F.md5(F.col("text").cast("binary"))).alias("key")
+    words = F.when(F.size("spans") > 0, _terms(_blank(F.col("text"), F.col("spans")))).alias("terms")
+    rows = checkpoint(rows.select("doc_id", found, "spans", words))
     hidden = disclosing_terms(docs, rows.filter("key IS NOT NULL"), support, generalise, remove)
     by_text = hidden.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("terms"))
     texts = docs.filter(F.col("text").rlike(_ANY)).select(F.md5(F.col("text").cast("binary")).alias("key"), "text")
-    more = texts.join(by_text, "key").select("key", _term_spans(F.col("text"), F.col("terms")).alias("more"))
-    return rows, more.groupBy("key").agg(F.first("more").alias("more"))
+    texts = texts.join(by_text, "key").withColumn("spans", base_spans(F.col("text")))
+    more = texts.select("key", "terms", _blank(F.col("text"), F.col("spans")).alias("text"))
+    more = more.select("key", _term_spans(F.col("text"), F.col("terms")).alias("more"))
+    return rows.drop("terms"), more.groupBy("key").agg(F.first("more").alias("more"))
 
 
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
@@ -243,14 +264,7 @@ def spans(docs: DataFrame, **thresholds) -> DataFrame:
 def _rewrite(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced; overlapping spans are covered once."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[TERM]"), F.lit(""))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        mark = F.when(s["start"] >= state["at"], F.get(marks, s["kind"])).otherwise(F.lit(""))
-        return F.struct(F.concat(state["out"], gap, mark).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return _cover(text, spans, lambda s, at: F.when(s["start"] >= at, F.get(marks, s["kind"])).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
@@ -259,7 +273,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     more = checkpoint(more).select(F.col("key").alias("_key"), F.col("more").alias("_more"))
     # All but the text travels as one struct, so no column of it can clash with ours.
     rest = F.struct(*columns(docs, "text")).alias("_row")
-    spotted = docs.select(rest, F.col("text").alias("_text"), base_spans(F.col("text"), 0).alias("_spans"))
+    spotted = docs.select(rest, F.col("text").alias("_text"), base_spans(F.col("text")).alias("_spans"))
 
     def rows(df: DataFrame, text: Column) -> DataFrame:
         return df.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
