@@ -256,6 +256,24 @@ def test_terms_far_from_an_entity(spark):
     assert all(not got[i].spans for i in range(len(noise)))
 
 
+def test_values_seen_once(spark):
+    """A term that discloses a domain, network, prefix or kind is hidden beside values that one text holds."""
+    noise = [f"plain filler words number{i} stand here" for i in range(60)]
+    held = [f"filler {term} {n} wrote {value}" for term, values in {
+        "domainword": ["a@firm.example.org", "b@firm.example.org", "c@firm.example.org"],
+        "networkword": ["10.20.30.4", "10.20.30.5", "010.20.30.77"],
+        "phoneword": ["+1 (202) 555-0101", "+1 202 555 0102", "+12025550103"],
+        "cardword": ["4111 1111 1111 1111", "4111-1111-1111-1129", "4111111111111137"],
+    }.items() for n, value in zip(("alpha", "beta", "gamma"), values)]
+    df = spark.createDataFrame(list(enumerate([*noise, *held])), "doc_id long, text string")
+    got = {r.doc_id: r for r in sanitise.spans(df).collect()}
+    for i, text in enumerate(held, len(noise)):
+        assert [s.kind for s in got[i].base] and plain_spans(text)
+        hidden = {text[s.start : s.end] for s in got[i].spans if s.kind >= 4}
+        assert text.split()[1] in hidden and "filler" not in hidden, text
+    assert all(not got[i].spans for i in range(len(noise)))
+
+
 def test_rewrite_covers_overlaps_once(spark):
     text = "tel +4111111111111111 end"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

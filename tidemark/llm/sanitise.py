@@ -9,6 +9,12 @@ mark in the texts that hold both, and from the share ``remove`` on it is
 removed. A pair needs to occur together in ``support`` different texts, so a
 rare word beside a single address, or copies of one text, prove nothing.
 
+Most values occur in one text, where nothing has support. So an entity is also
+counted on wider levels, and a term that discloses one of them is hidden for all
+values of it: the domain and parent domain of an e-mail address, the /24 and /16
+network of an IP address, the first eight and six digits of a card, a phone
+number but its last four and seven digits, and the kind itself.
+
 Terms are the distinct words of the whole text, any run of letters and digits
 outside the base spans, however far from an entity. Document frequencies of
 terms are counted over all documents. Pairs are made only of terms and entities
@@ -154,8 +160,23 @@ def shown(spans: Column) -> Column:
     )
 
 
-def _entity(span: Column) -> Column:
-    return F.sha2(F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"])), 256)
+def _levels(span: Column) -> Column:
+    """What an entity counts as: its value, two ever wider groups of values, and its kind."""
+    kind = span["kind"]
+
+    def named(value: Column) -> Column:
+        domain = F.substring_index(value, "@", -1)
+        last = F.length(value)
+        groups = F.when(kind == 0, F.array(value, domain, F.substring_index(domain, ".", -2)))
+        groups = groups.when(kind == 1, F.array(value, F.substring_index(value, ".", 3), F.substring_index(value, ".", 2)))
+        groups = groups.when(kind == 2, F.array(value, F.left(value, F.lit(8)), F.left(value, F.lit(6))))
+        groups = groups.otherwise(F.array(value, F.left(value, last - 4), F.left(value, last - 7)))
+        return F.concat(F.transform(groups, lambda g, i: F.concat_ws(":", kind, i, g)), F.array(kind.cast("string")))
+
+    # One value in any way of writing it.
+    plain = F.when(kind == 0, F.lower(span["value"])).when(kind == 1, F.regexp_replace(span["value"], r"\b0+(?=[0-9])", ""))
+    levels = _let(plain.otherwise(F.regexp_replace(span["value"], "[^0-9]", "")), named)
+    return F.transform(levels, lambda v: F.sha2(v, 256))
 
 
 def _cover(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
@@ -190,7 +211,7 @@ def disclosing_terms(
     ``found`` has the key, base spans and terms of every row with any span;
     ``docs.text`` gives the document frequencies.
     """
-    entities = F.array_distinct(F.transform("spans", _entity))
+    entities = F.array_distinct(F.flatten(F.transform("spans", _levels)))
     texts = found.select("key", entities.alias("entities"), "terms").groupBy("key")
     texts = checkpoint(texts.agg(F.count(F.lit(1)).alias("rows"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
     total = float(max(docs.count(), 2))
