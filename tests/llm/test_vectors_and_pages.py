@@ -101,6 +101,34 @@ def test_recall_without_structure(spark):
     assert hits / (5 * 60) >= 0.9
 
 
+@pytest.mark.parametrize("block", [5, 2_048])
+def test_repeated_rows_are_one_candidate(spark, monkeypatch, block):
+    """Rows repeated six times, and one id with several vectors, take one place each."""
+    monkeypatch.setattr(vectors.in_blocks, "__defaults__", (block,))
+    random_ = np.random.default_rng(5)
+    points = random_.normal(size=(120, 4))
+    extra = points[0] * np.arange(3, 11)[:, None] + 0.1 * random_.normal(size=(8, 4))
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    rows += [(7, v.tolist()) for v in extra] + rows[:100] * 5
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole_of = lambda v: np.floor(v * 256)
+    unit_of = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for make, of in ((topk.top_products, whole_of), (lambda d: forest.nearest(d, share=1.0), unit_of)):
+        whole, more = of(points), of(extra)
+        got = {}
+        for r in make(df).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+        assert sorted(got) == [0, 50, 100]
+        for q, found in got.items():
+            scores = whole @ whole[q]
+            scores[7] = max(scores[7], (more @ whole[q]).max())
+            scores[q] = -np.inf
+            want = np.lexsort((np.arange(120), -scores))[:5]
+            assert sorted(found) == [1, 2, 3, 4, 5]
+            assert [found[r][0] for r in range(1, 6)] == want.tolist()
+            assert np.allclose([found[r][1] for r in range(1, 6)], scores[want])
+
+
 def test_small_tables_are_searched_whole(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(0, 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -125,7 +125,8 @@ def _rerank(pairs: DataFrame, size: int, k: int, kind: type) -> DataFrame:
                     if not len(others):
                         continue
                     near = rough[i][others]
-                    limit = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -np.inf
+                    top = vectors.best(near, ids[others], k)
+                    limit = near[top[-1]] if len(top) == k else -np.inf
                     others = others[near >= limit - 1e-9]
                     # One order of summation for every pair, so that equal vectors score alike.
                     exact = (rows[others] * queries[i]).sum(axis=1) / (lengths[others] * qlengths[i])

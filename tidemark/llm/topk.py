@@ -15,7 +15,8 @@ condition, and a busy pivot is split by salt. Pivots come from a bounded sample.
 
 Cases: see :func:`vectors.usable` for rows that take no part. Rows that share a
 query's vec_id are its own and never its candidates; repeated rows are asked
-and returned once. An empty table gives an empty result. Scores beyond a long wrap.
+and returned once, and rows that share any other vec_id are one candidate, by the
+better score. An empty table gives an empty result. Scores beyond a long wrap.
 """
 
 from __future__ import annotations
@@ -88,9 +89,10 @@ def _seed(index: DataFrame, size: int, pivots: np.ndarray, longest: float, k: in
                 least = np.full(len(asked), np.iinfo(np.int64).min)
                 scores = _products(rows[asked], rows)
                 for i, q in enumerate(asked):
-                    others = scores[i][ids != ids[q]]
-                    if len(others) >= k:
-                        least[i] = np.partition(others, len(others) - k)[len(others) - k]
+                    others = np.flatnonzero(ids != ids[q])
+                    top = vectors.best(scores[i][others], ids[others], k)
+                    if len(top) == k:
+                        least[i] = scores[i][others[top[-1]]]
                 queries = rows[asked].astype(np.float64)
                 far = _distances(np.c_[queries, np.zeros(len(queries))], pivots)
                 known = least > np.iinfo(np.int64).min
@@ -198,7 +200,7 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCA
     pairs = sides.join(annuli, ["key", "salt"]).filter(gap <= F.col("radius")).select("group", "block")
     asked = pairs.join(groups.select("group", "qids", "queries", "reach", "least", F.col("far").alias("qfar")), "group")
     found = _search(asked.join(index.select("block", "key", "ids", "far", "vectors"), "block"), size, len(centres), k)
-    return ranked(found.distinct(), k)
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

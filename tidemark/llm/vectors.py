@@ -40,8 +40,13 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def sample(rows: DataFrame, most: int, size: int) -> np.ndarray:
-    """At most ``most`` vectors, chosen by a hash of their ids."""
-    picked = rows.select("vector", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(most).collect()
+    """At most ``most`` vectors, one for each id, chosen by a hash of their ids."""
+    spots = rows.select(F.xxhash64("vec_id").alias("h"), "vec_id").distinct().orderBy("h", "vec_id").limit(most)
+    last = spots.agg(F.max(F.struct("h", "vec_id")).alias("last")).first()["last"]
+    if last is None:
+        return np.empty((0, max(size, 1)))
+    among = F.struct(F.xxhash64("vec_id").alias("h"), "vec_id") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["vec_id"]).alias("vec_id"))
+    picked = rows.filter(among).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(F.xxhash64("vec_id"), "vec_id").collect()
     return np.array([r["vector"] for r in picked], np.float64).reshape(-1, max(size, 1))
 
 
@@ -49,11 +54,12 @@ def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of rows (key, far, vec_id, vector) of one key in order of ``far``.
 
     Rows are range partitioned by (key, far, vec_id), so a key that holds a
-    large share of them spreads over partitions. ``vector`` is binary.
+    large share of them spreads over partitions. ``vector`` is binary. Repeats of
+    a whole row meet in one partition, side by side, and count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, held = TaskContext.get().partitionId(), 0, []
+        part, made, held, before = TaskContext.get().partitionId(), 0, [], None
 
         def flush() -> pa.RecordBatch:
             nonlocal made, held
@@ -65,6 +71,9 @@ def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "far", "vec_id", "vector"))):
+                if row == before:
+                    continue
+                before = row
                 if held and (row[0] != held[0][0] or len(held) == block_rows):
                     yield flush()
                 held.append(row)
@@ -72,14 +81,17 @@ def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             yield flush()
 
     spread = rows.select("key", "far", "vec_id", "vector").repartitionByRange(width(rows.sparkSession), "key", "far", "vec_id")
-    return spread.sortWithinPartitions("key", "far", "vec_id").mapInArrow(run, BLOCK)
+    return spread.sortWithinPartitions("key", "far", "vec_id", "vector").mapInArrow(run, BLOCK)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
-    """Places of the ``count`` highest scores, ties to smaller ids."""
+    """Places of the ``count`` highest scores of different ids, highest first, ties to smaller ids."""
     if len(scores) > count:
         limit = np.partition(scores, len(scores) - count)[len(scores) - count]
         places = np.flatnonzero(scores >= limit)
     else:
         places = np.arange(len(scores))
+    if len(np.unique(ids[places])) < len(places):
+        order = np.lexsort((ids, -scores))
+        return order[np.sort(np.unique(ids[order], return_index=True)[1])][:count]
     return places[np.lexsort((ids[places], -scores[places]))][:count]
