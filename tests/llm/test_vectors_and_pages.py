@@ -291,6 +291,17 @@ def test_pipeline(spark):
         assert stage(spark, spark.createDataFrame([], schema), FOLDER).count() == 0, n
 
 
+def test_language_stage_with_few_or_no_labels(spark):
+    schema = "doc_id long, text string, lang string, n_chars long"
+    texts = ["the cat and the dog", "the end of the day", "der hund und die katze", "das ende und der tag", "12 %", None]
+    bare = spark.createDataFrame([(i, t, None, 0) for i, t in enumerate(texts)], schema)
+    got = corpus_pipeline.identify_language(spark, bare, FOLDER).collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(i, None) for i in range(4)]
+    some = spark.createDataFrame([(i, t, {0: "en", 2: "de"}.get(i), 0) for i, t in enumerate(texts)], schema)
+    got = corpus_pipeline.identify_language(spark, some, FOLDER).collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(0, "en"), (1, "en"), (2, "de"), (3, "de")]
+
+
 def test_run_reads_the_documents(spark):
     if not Path(FOLDER).exists():
         pytest.skip("no test tables")
