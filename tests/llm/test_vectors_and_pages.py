@@ -161,6 +161,21 @@ def test_page_rules():
         assert templates.parse(source).text(set()) == want, source and source[:80]
 
 
+def test_names_that_do_not_make_furniture():
+    for source, want in [
+        ("<body class='has-sidebar'><p>a</p></body>", "a"),
+        ("<main class='no-sidebar'><p>a</p></main>", "a"),
+        ("<main class=sidebar><p>a</p></main>", "a"),
+        ("<article class='post has-comments'><p>a</p></article>", "a"),
+        ("<article id=comments><p>a</p></article>", "a"),
+        ("<div class='market-share'>a</div>", "a"),
+        ("<div class='text with_banner'>a</div>", "a"),
+        ("<h2 id=reply>a</h2>", "a"),
+        ("<div class='sidebar-left'>s</div><div class='box ad'>s</div><div id=footer_links>s</div>a", "a"),
+    ]:
+        assert templates.parse(source).text(set()) == want, source
+
+
 def test_site_templates(spark):
     rows = []
     for i in range(40):

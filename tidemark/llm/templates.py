@@ -48,7 +48,7 @@ _TOKEN = re.compile(
     re.S | re.I | re.X,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
-_WORD = re.compile(r"[\s_-]+")
+_HEAD = re.compile(r"[_-]")
 
 # Elements of the HTML standard by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +57,7 @@ INLINE = frozenset(
     "time tt u var wbr br img".split()
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption address summary".split())
+HOLDERS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 HEAD = frozenset("meta link base title style script noscript template".split())
 FURNITURE = frozenset("head nav header footer aside form button select option input dialog menu template svg math canvas object audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -98,16 +99,25 @@ class Page:
         return "\n".join(b for b, out, here in zip(self.blocks, gone, inside) if here and not out)
 
 
-def _declared(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element says that it is furniture, and its role."""
-    role = ""
+def _named(names: str) -> bool:
+    """Whether a class or id, or its head, is a name of furniture; ``has-sidebar`` only speaks of one."""
+    return any(name in NAMES or _HEAD.split(name, maxsplit=1)[0] in NAMES for name in names.split())
+
+
+def _declared(tag: str, attributes: str, nested: bool = False) -> tuple[bool, str]:
+    """Whether an element says that it is furniture, and its role.
+
+    The class and id of elements that hold or head the text say nothing, but for
+    those of an article nested in another, as reader comments are.
+    """
+    role, by_name = "", tag not in HOLDERS or (nested and tag == "article")
     if "=" in attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name = name.lower()
             value = value.strip("\"'").lower()
             if name == "role":
                 role = value
-            elif name in ("class", "id") and not NAMES.isdisjoint(_WORD.split(value)):
+            elif name in ("class", "id") and by_name and _named(value):
                 return True, role
             elif name == "aria-hidden" and value == "true":
                 return True, role
@@ -138,7 +148,7 @@ class _Parser:
         if tag not in HEAD and any(e[0].tag == "head" for e in self.open):
             self.pop_to("head")
         self.close_implied(tag)
-        furniture, role = _declared(tag, attributes)
+        furniture, role = _declared(tag, attributes, self.articles > 0)
         main, article = tag == "main" or role == "main", tag == "article" and not furniture
         element = _Element(tag, len(self.page.blocks), furniture, [tag, attributes.strip()])
         self.open.append((element, article, main))
