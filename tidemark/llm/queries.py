@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, forest, language_id, packing, sanitise, simhash, substring_dedup, templates, topk, warc
+from tidemark.llm import (
+    bpe, conversations, forest, language_id, packing, phrases, sanitise, sharding, simhash, substring_dedup, templates, topk, warc,
+)
 from tidemark.llm.common import table
 from tidemark.session import checkpoint, scratch_path
 
@@ -67,6 +69,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, ("doc_id", "held_out"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    slim = docs.select("doc_id", "source", size.alias("size"), crc.alias("text_crc32"))
+    dealt = sharding.deal(slim, carry=("size", "text_crc32"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return dealt.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
@@ -78,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_sharding": op12_sharding,
+    "op13_phrases": op13_phrases,
 }
 
 SQL: dict[str, str] = {}
