@@ -284,9 +284,10 @@ def frequent_phrases(
         step += 1
     _remove(spark, corpus)
     closed = [spark.read.schema(f"{_STATE}, closed boolean").parquet(t).filter("closed") for t in tables]
-    out = closed[0]
-    for part in closed[1:]:
-        out = out.unionByName(part)
+    # Phrases met late have been counted everywhere too by now: nothing is active any more.
+    out = state.filter("reached IS NOT NULL")
+    for part in closed:
+        out = out.unionByName(part.select(*state.columns))
     return checkpoint(out.select("lang", "phrase", "k", "count"))
 
 

@@ -12,6 +12,7 @@ from tidemark.llm import (
     bpe, conversations, forest, language_id, packing, phrases, sanitise, sharding, simhash, substring_dedup, templates, topk, warc,
 )
 from tidemark.llm.common import table
+from tidemark.llm.sql import SQL as SQL
 from tidemark.session import checkpoint, scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -102,5 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_sharding": op12_sharding,
     "op13_phrases": op13_phrases,
 }
-
-SQL: dict[str, str] = {}
