@@ -22,7 +22,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     rows = [
-        tuple(None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for v in row)
+        tuple(None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else v for v in row)
         for row in frame.astype(object).itertuples(index=False)
     ]
     return sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
