@@ -390,7 +390,7 @@ def test_language(spark, docs, nothing):
     held = language_id.held_out(F.col("doc_id"))
     got = df.select("doc_id", held.alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
-    model = language_id.fit(df.filter(~held).select(F.col("doc_id").alias("key"), "text", "lang"), max_words=60)
+    model = language_id.fit(df.filter(~held).select(F.col("doc_id").alias("key"), "text", "lang"), rows_per_language=60)
     tests = [(1000, say("bb", 30)), (1001, "SCHUNGDEREIN"), (1002, None), (1003, ""), (1004, "12 ² ½ _ ..."), (1005, say("cc", 20_000)), (1006, "lhaosnhção!")]
     found = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
     assert [found[i].lang_pred for i in range(1000, 1007)] == ["bb", "bb", "und", "und", "und", "cc", "cc"]

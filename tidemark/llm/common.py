@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import resource
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 256
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def columns(df: DataFrame, *but: str) -> list[Column]:
@@ -33,9 +36,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def lean(spark: SparkSession) -> None:
+    """Send workers at most ``BATCH_ROWS`` rows at once from here on: rows with whole texts are large."""
+    now = int(spark.conf.get(BATCH_SETTING))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def release() -> None:
-    """Hand back the memory that Arrow keeps for later; a worker outlives its tasks."""
+    """Hand back the memory that Arrow and the allocator keep for later; a worker outlives its tasks."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        # Only some C libraries have it.
+        return
 
 
 def resident_mb() -> float:

@@ -3,7 +3,7 @@
 A known word scores its log frequency in each language. An unseen word falls
 back to its longest character n-grams of which any is known, then to shorter
 ones. The model is fitted on a bounded, hash-chosen sample of labelled rows and
-holds a bounded number of words and n-grams; prediction reads every whole text.
+holds all words and n-grams that the sample has twice; prediction reads every whole text.
 
 Cases: a null text, an empty one and one without a letter are ``und`` with
 score 0, and so is every text when no labelled row exists. Rows with a null
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,11 @@ from tidemark.llm.common import release, slices
 from tidemark.session import checkpoint
 
 UNDETERMINED = "und"
-#: Labelled rows per language that the fit reads (in expectation).
-ROWS_PER_LANGUAGE = 2_000
-#: Words, and n-grams of each length, that the model keeps; the most frequent stay.
-MAX_WORDS = 50_000
-MAX_GRAMS = 30_000
+#: Labelled rows per language that the fit reads (in expectation); nothing else bounds the model.
+ROWS_PER_LANGUAGE = 500
+#: Words and n-grams that the sample holds once say nothing about frequency.
+SEEN_TIMES = 2
 LONGEST_GRAM = 5
-#: Languages that the model knows; the most frequent stay.
-MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 #: Scored unseen words that a worker remembers before it starts anew.
 MEMORY = 200_000
@@ -51,9 +49,9 @@ class Model:
     scores: np.ndarray
 
 
-def _sample(labelled: DataFrame, rows_per_language: int, max_languages: int) -> DataFrame:
+def _sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
     """A share of each language's rows; the shares are literals, so no text is shuffled."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     share = F.lit(0.0)
     if sizes:
         pairs = [F.lit(v) for row in sizes for v in (row["lang"], min(1.0, rows_per_language / row["n"]))]
@@ -72,14 +70,12 @@ def _grams(word: Column, n: int) -> Column:
 def fit(
     docs: DataFrame,
     rows_per_language: int = ROWS_PER_LANGUAGE,
-    max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS,
+    seen_times: int = SEEN_TIMES,
     longest: int = LONGEST_GRAM,
-    max_languages: int = MAX_LANGUAGES,
 ) -> Model:
-    """Fit on ``docs`` (key, text, lang). What reaches the driver is bounded by the parameters."""
+    """Fit on ``docs`` (key, text, lang). What reaches the driver is what a sample of rows per language holds."""
     labelled = docs.select(F.col("key").alias("_key"), "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = _sample(labelled, rows_per_language, max_languages)
+    sample = _sample(labelled, rows_per_language)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts = checkpoint(sample.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     pieces = F.array(
@@ -94,16 +90,17 @@ def fit(
         .groupBy("k", "term")
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
     )
-    terms = checkpoint(terms)
+    terms = checkpoint(terms.filter(F.col("total") >= seen_times))
     kept: list[tuple[list[str], np.ndarray]] = []
     seen: dict[str, int] = {}
     for k in range(longest + 1):
-        most = max_words if k == 0 else max_grams
-        rows = terms.filter(F.col("k") == k).orderBy(F.desc("total"), "term").limit(most).collect()
-        # Small arrays instead of rows, one length at a time.
-        cells = [(i, seen.setdefault(language, len(seen)), n) for i, row in enumerate(rows) for language, n in row["by"].items()]
-        kept.append(([row["term"] for row in rows], np.array(cells, dtype=np.int64).reshape(-1, 3)))
-        del rows, cells
+        # Arrow columns instead of rows, one length at a time.
+        found = terms.filter(F.col("k") == k).select("term", F.explode("by").alias("lang", "n")).toArrow().combine_chunks()
+        term, lang = (pc.dictionary_encode(found[c].combine_chunks()) for c in ("term", "lang"))
+        spots = np.array([seen.setdefault(name, len(seen)) for name in lang.dictionary.to_pylist()], dtype=np.int64)
+        cells = (term.indices.to_numpy(), spots[lang.indices.to_numpy()], found["n"].to_numpy())
+        kept.append((term.dictionary.to_pylist(), np.array(cells, dtype=np.int64).T.reshape(-1, 3)))
+        del found, term, lang, cells
     order = sorted(seen)
     place = np.array([order.index(language) for language in seen], dtype=np.int64)
     scores, tables = [np.zeros((1, len(order)))], []

@@ -14,11 +14,12 @@ last cycle. A phrase is counted in a step if both its subphrases are in the
 first and one is in the second. A false hit costs a row and no error: a phrase
 of an infrequent subphrase stays below the threshold itself, and a count carries
 the shards it comes from, so no shard counts twice. Bits are only ever added, so
-whatever turns a phrase active stays until its cycle is full.
+whatever turns a phrase active stays until its cycle is full. A phrase reaches
+the threshold once, so a scan of ``SHARDS`` shards ends after four cycles at most.
 
-Counts live in tables, merged with those of a step by one aggregation that sums
+Counts live in a table, merged with those of a step by one aggregation that sums
 in the map tasks first; a frequent word is a row per task. Phrases below the
-threshold leave at the end of their cycle, so the tables shrink as it goes.
+threshold leave at the end of their cycle, so the table shrinks as it goes.
 
 Words are told apart exactly: a task numbers the words of a slice of texts by
 their bytes and phrases by pairs of numbers; only the bitmaps use hashes.
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import release
-from tidemark.session import checkpoint, scratch_path
+from tidemark.session import scratch_path
 
 LONGEST = 4
 THRESHOLD = 30
@@ -213,7 +214,7 @@ def _scan(shard: DataFrame, reached: Reached, step: int) -> DataFrame:
 
 
 def _merge(state: DataFrame | None, found: DataFrame, step: int, shards: int, threshold: int) -> DataFrame:
-    """The state after a step; ``closed`` marks phrases that have met every shard."""
+    """The state after a step, without the phrases that have met every shard and stayed below the threshold."""
     none = [F.lit(None).cast("long").alias("mask"), F.lit(None).cast("long").alias("count")]
     none += [F.lit(None).cast("int").alias("begun"), F.lit(None).cast("int").alias("reached")]
     rows = found.select("lang", "phrase", "k", *none, "c")
@@ -232,8 +233,8 @@ def _merge(state: DataFrame | None, found: DataFrame, step: int, shards: int, th
         "lang", "phrase", "k", F.when(fresh, F.col("mask") + bit).otherwise(F.col("mask")).alias("mask"), count.alias("count"),
         begun.alias("begun"), F.coalesce("reached", F.when((count >= threshold) & (F.col("k") > 0), F.lit(step))).alias("reached"),
     )
-    closed = F.lit(step) >= F.col("begun") + (shards - 1)
-    return now.withColumn("closed", closed).filter(~F.col("closed") | F.col("reached").isNotNull() | (F.col("k") == 0))
+    # Frequent phrases stay, so that a false hit cannot let one begin anew.
+    return now.filter((F.col("begun") + (shards - 1) > step) | F.col("reached").isNotNull() | (F.col("k") == 0))
 
 
 def _newly_reached(state: DataFrame, step: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,26 +270,20 @@ def frequent_phrases(
     kept = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     kept.filter("text IS NOT NULL").withColumn("shard", F.spark_partition_id() % shards).write.partitionBy("shard").parquet(corpus)
     stored = spark.read.schema("lang string, text string, shard int").parquet(corpus)
-    reached, tables, state, step = Reached(bits, shards), [], None, 0
+    reached, state, path, step = Reached(bits, shards), None, None, 0
     while step < shards or reached.late() is not None:
         shard = stored.filter(F.col("shard") == step % shards).select("lang", "text")
-        now = _merge(state, _scan(shard, reached, step), step, shards, threshold)
-        tables.append(scratch_path(spark, "phrases"))
-        now.write.partitionBy("closed").parquet(tables[-1])
-        written = spark.read.schema(f"{_STATE}, closed boolean").parquet(tables[-1])
-        reached.add(*_newly_reached(written, step, bits))
-        state = written.filter("NOT closed").drop("closed")
-        if step:
+        before, path = path, scratch_path(spark, "phrases")
+        _merge(state, _scan(shard, reached, step), step, shards, threshold).write.parquet(path)
+        state = spark.read.schema(_STATE).parquet(path)
+        reached.add(*_newly_reached(state, step, bits))
+        if before:
             # Its rows are in the new table.
-            _remove(spark, f"{tables[-2]}/closed=false")
+            _remove(spark, before)
         step += 1
     _remove(spark, corpus)
-    closed = [spark.read.schema(f"{_STATE}, closed boolean").parquet(t).filter("closed") for t in tables]
-    # Phrases met late have been counted everywhere too by now: nothing is active any more.
-    out = state.filter("reached IS NOT NULL")
-    for part in closed:
-        out = out.unionByName(part.select(*state.columns))
-    return checkpoint(out.select("lang", "phrase", "k", "count"))
+    # Nothing is active any more, so phrases met late have been counted everywhere too.
+    return state.filter("reached IS NOT NULL OR k = 0").select("lang", "phrase", "k", "count")
 
 
 def _words(phrase: Column, first: int | Column, count: int | Column) -> Column:
