@@ -3,7 +3,7 @@
 A known word scores its log frequency in each language. An unseen word falls
 back to its longest character n-grams of which any is known, then to shorter
 ones. The model is fitted on a bounded, hash-chosen sample of labelled rows and
-holds all words and n-grams that the sample has twice; prediction reads every whole text.
+holds all words and n-grams of that sample; prediction reads every whole text.
 
 Cases: a null text, an empty one and one without a letter are ``und`` with
 score 0, and so is every text when no labelled row exists. Rows with a null
@@ -29,9 +29,7 @@ from tidemark.session import checkpoint
 
 UNDETERMINED = "und"
 #: Labelled rows per language that the fit reads (in expectation); nothing else bounds the model.
-ROWS_PER_LANGUAGE = 500
-#: Words and n-grams that the sample holds once say nothing about frequency.
-SEEN_TIMES = 2
+ROWS_PER_LANGUAGE = 300
 LONGEST_GRAM = 5
 SMOOTHING = 0.5
 #: Scored unseen words that a worker remembers before it starts anew.
@@ -70,7 +68,6 @@ def _grams(word: Column, n: int) -> Column:
 def fit(
     docs: DataFrame,
     rows_per_language: int = ROWS_PER_LANGUAGE,
-    seen_times: int = SEEN_TIMES,
     longest: int = LONGEST_GRAM,
 ) -> Model:
     """Fit on ``docs`` (key, text, lang). What reaches the driver is what a sample of rows per language holds."""
@@ -88,9 +85,9 @@ def fit(
         .groupBy("k", "term", "lang")
         .agg(F.sum("n").alias("n"))
         .groupBy("k", "term")
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     )
-    terms = checkpoint(terms.filter(F.col("total") >= seen_times))
+    terms = checkpoint(terms)
     kept: list[tuple[list[str], np.ndarray]] = []
     seen: dict[str, int] = {}
     for k in range(longest + 1):

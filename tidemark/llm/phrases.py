@@ -46,10 +46,12 @@ from tidemark.session import scratch_path
 
 LONGEST = 4
 THRESHOLD = 30
-SHARDS = 4
+SHARDS = 3
 #: Size of each of the two bitmaps. More frequent phrases than an eighth of it make false hits common, not results wrong.
 BITS = 1 << 26
 SLICE_BYTES = 6 << 20
+#: Rows that a worker sends at once.
+SENT_ROWS = 1 << 15
 UNKNOWN = "und"
 
 _GAP, _BREAK = 1, 2
@@ -61,7 +63,12 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 
-_STATE = "lang string, phrase string, k int, mask long, count long, begun int, reached int"
+# A state is one number, so that merging handles a key and two numbers a row: the count, a bit for each
+# shard that it comes from, the step of the first count, and one more than the step that reached the threshold.
+_STATE = "key string, state long"
+# Steps take 5 bits, as there are four cycles at most, shards 6, and the count the 47 that are left.
+_COUNT, _SHARD, _BEGUN = 1 << 16, 1 << 10, 1 << 5
+MOST_SHARDS = 6
 
 
 def _seed(lang: str) -> int:
@@ -142,14 +149,16 @@ def split_words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray
 
 def count_slice(
     texts: pa.Array, lang: str, words_too: bool, ever: np.ndarray | None, late: np.ndarray | None, bits: int
-) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """``(words, phrases, counts)`` of what is counted in this step; length 0 counts all words."""
+) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """``(phrases, counts)`` of what is counted in this step; the empty phrase counts all words."""
     names, ids, piece = split_words(texts)
     if not len(ids):
         return
     if words_too:
-        yield 0, pa.array([""]), np.array([len(ids)])
-        yield 1, names, np.bincount(ids, minlength=len(names))
+        yield pa.array([""]), np.array([len(ids)])
+        counts = np.bincount(ids, minlength=len(names))
+        for at in range(0, len(names), SENT_ROWS):
+            yield names.slice(at, SENT_ROWS), counts[at : at + SENT_ROWS]
     if ever is None or late is None:
         return
     seed = _seed(lang)
@@ -158,7 +167,7 @@ def count_slice(
     frequent, recent = _has(ever, at), _has(late, at)
     # For every place: the phrase that starts there; for every phrase: its words and its hash.
     spots, here = np.arange(len(ids)), ids
-    members, hashes = np.arange(len(names))[:, None], word_hash
+    members, hashes = np.arange(len(names), dtype=np.int32)[:, None], word_hash
     for k in range(2, LONGEST + 1):
         # Neighbouring places whose phrases are both frequent make a phrase one word longer.
         good = frequent[here]
@@ -170,11 +179,12 @@ def count_slice(
         key = here[pair] << 32 | last
         _, where, number, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         prefix, suffix, tail = here[pair[where]], here[pair[where] + 1], last[where]
-        members = np.column_stack([members[prefix], tail])
+        members = np.column_stack([members[prefix], tail.astype(np.int32)])
         active = np.flatnonzero(recent[prefix] | recent[suffix])
-        if len(active):
-            parts = [names.take(pa.array(members[active, j])) for j in range(k)]
-            yield k, pc.binary_join_element_wise(*parts, " "), counts[active]
+        for first in range(0, len(active), SENT_ROWS):
+            sent = active[first : first + SENT_ROWS]
+            parts = [names.take(pa.array(members[sent, j])) for j in range(k)]
+            yield pc.binary_join_element_wise(*parts, " "), counts[sent]
         if k == LONGEST:
             return
         hashes = hashes[prefix] * np.uint64(_STEP) + word_hash[tail]
@@ -204,37 +214,46 @@ def _scan(shard: DataFrame, reached: Reached, step: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _slices(batches):
-            for k, phrases, counts in count_slice(texts, lang, words_too, *maps.value, bits):
-                n = len(phrases)
-                columns = [pa.repeat(lang, n), phrases.cast(pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "c"])
+            for phrases, counts in count_slice(texts, lang, words_too, *maps.value, bits):
+                keys = pc.binary_join_element_wise(lang, phrases.cast(pa.string()), "\t")
+                yield pa.RecordBatch.from_arrays([keys, pa.array(counts.astype(np.int64))], names=["key", "c"])
         release()
 
-    return shard.mapInArrow(run, "lang string, phrase string, k int, c long")
+    return shard.mapInArrow(run, "key string, c long")
+
+
+def _spaces() -> Column:
+    """Spaces in the phrase of a key; the language may have some of its own."""
+    phrase = F.substring_index("key", "\t", -1)
+    return F.length(phrase) - F.length(F.translate(phrase, " ", ""))
+
+
+def _part(modulus: int, unit: int) -> Column:
+    return F.expr(f"cast(state % {modulus} div {unit} as int)")
 
 
 def _merge(state: DataFrame | None, found: DataFrame, step: int, shards: int, threshold: int) -> DataFrame:
     """The state after a step, without the phrases that have met every shard and stayed below the threshold."""
-    none = [F.lit(None).cast("long").alias("mask"), F.lit(None).cast("long").alias("count")]
-    none += [F.lit(None).cast("int").alias("begun"), F.lit(None).cast("int").alias("reached")]
-    rows = found.select("lang", "phrase", "k", *none, "c")
+    rows = found.select("key", F.lit(None).cast("long").alias("state"), "c")
     if state is not None:
         rows = rows.unionByName(state.withColumn("c", F.lit(None).cast("long")))
-    held = rows.groupBy("lang", "phrase", "k").agg(
-        F.coalesce(F.max("mask"), F.lit(0)).alias("mask"), F.coalesce(F.max("count"), F.lit(0)).alias("count"),
-        F.coalesce(F.min("begun"), F.lit(step)).alias("begun"), F.max("reached").alias("reached"), F.sum("c").alias("c"),
-    )
-    bit = 1 << (step % shards)
-    fresh = F.col("c").isNotNull() & (F.col("mask").bitwiseAND(bit) == 0)
-    count = F.col("count") + F.when(fresh, F.col("c")).otherwise(0)
-    # A word begins with the scan, wherever it is met first.
-    begun = F.when(F.col("k") < 2, 0).otherwise(F.col("begun"))
-    now = held.select(
-        "lang", "phrase", "k", F.when(fresh, F.col("mask") + bit).otherwise(F.col("mask")).alias("mask"), count.alias("count"),
-        begun.alias("begun"), F.coalesce("reached", F.when((count >= threshold) & (F.col("k") > 0), F.lit(step))).alias("reached"),
+    held = rows.groupBy("key").agg(F.max("state").alias("state"), F.sum("c").alias("c"))
+    # A word, and the total of all, begin with the scan, wherever they are met first.
+    single, total = _spaces() == 0, F.substring_index("key", "\t", -1) == ""
+    begun = F.when(single, 0).otherwise(F.coalesce(_part(_SHARD, _BEGUN), F.lit(step)))
+    met = F.coalesce(_part(_COUNT, _SHARD), F.lit(0))
+    fresh = F.col("c").isNotNull() & (met.bitwiseAND(1 << (step % shards)) == 0)
+    count = F.coalesce(F.expr(f"state div {_COUNT}"), F.lit(0)) + F.when(fresh, F.col("c")).otherwise(0)
+    shown = held.select(
+        "key", count.alias("count"), (met + F.when(fresh, 1 << (step % shards)).otherwise(0)).alias("met"), begun.alias("begun"),
+        F.coalesce(_part(_BEGUN, 1), F.lit(0)).alias("old"), total.alias("total"),
     )
+    reached = F.when(F.col("old") > 0, F.col("old")).when((F.col("count") >= threshold) & ~F.col("total"), F.lit(step + 1)).otherwise(0)
+    now = shown.withColumn("reached", reached)
     # Frequent phrases stay, so that a false hit cannot let one begin anew.
-    return now.filter((F.col("begun") + (shards - 1) > step) | F.col("reached").isNotNull() | (F.col("k") == 0))
+    now = now.filter((F.col("begun") + (shards - 1) > step) | (F.col("reached") > 0) | F.col("total"))
+    packed = F.col("count") * _COUNT + F.col("met") * _SHARD + F.col("begun") * _BEGUN + F.col("reached")
+    return now.select("key", packed.alias("state"))
 
 
 def _newly_reached(state: DataFrame, step: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,10 +261,11 @@ def _newly_reached(state: DataFrame, step: int, bits: int) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = phrase_positions(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits)
+            pairs = [key.rsplit("\t", 1) for key in batch.column(0).to_pylist()]
+            at = phrase_positions([p[0] for p in pairs], [p[1] for p in pairs], bits)
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
-    new = state.filter((F.col("reached") == step) & F.col("k").between(1, LONGEST - 1)).select("lang", "phrase")
+    new = state.filter(_part(_BEGUN, 1) == step + 1).filter(_spaces() < LONGEST - 1).select("key")
     cells = new.mapInArrow(run, "at long").groupBy(F.expr("at div 64").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v"))
     found = cells.toPandas()
     return found["cell"].to_numpy(np.int64), found["v"].to_numpy(np.int64)
@@ -265,6 +285,8 @@ def frequent_phrases(
     """
     if threshold < 1:
         raise ValueError("a phrase occurs once at least")
+    if not 1 <= shards <= MOST_SHARDS:
+        raise ValueError(f"from 1 to {MOST_SHARDS} shards")
     spark = docs.sparkSession
     corpus = scratch_path(spark, "shards")
     kept = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
@@ -283,7 +305,11 @@ def frequent_phrases(
         step += 1
     _remove(spark, corpus)
     # Nothing is active any more, so phrases met late have been counted everywhere too.
-    return state.filter("reached IS NOT NULL OR k = 0").select("lang", "phrase", "k", "count")
+    phrase = F.substring_index("key", "\t", -1)
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+    k = F.when(phrase == "", 0).otherwise(_spaces() + 1)
+    kept = state.select(lang.alias("lang"), phrase.alias("phrase"), k.alias("k"), F.expr(f"state div {_COUNT}").alias("count"), _part(_BEGUN, 1).alias("_r"))
+    return kept.filter("_r > 0 OR k = 0").drop("_r")
 
 
 def _words(phrase: Column, first: int | Column, count: int | Column) -> Column:
