@@ -46,10 +46,10 @@ from tidemark.session import scratch_path
 
 LONGEST = 4
 THRESHOLD = 30
-SHARDS = 3
+SHARDS = 2
 #: Size of each of the two bitmaps. More frequent phrases than an eighth of it make false hits common, not results wrong.
 BITS = 1 << 26
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 #: Rows that a worker sends at once.
 SENT_ROWS = 1 << 15
 UNKNOWN = "und"
