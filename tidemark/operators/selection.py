@@ -15,6 +15,7 @@ from tidemark.functions.expressions import as_vector, hash_uniform, mean_vector,
 from tidemark.operators.autocorrelation import grouped_schema
 from tidemark.operators.blocks import BLOCK_ROWS, distances, meet, pack, unpack
 from tidemark.operators.hierarchy import LINKAGES, cut, linkage
+from tidemark.operators.lloyd import Lloyd, lloyd_labels
 from tidemark.operators.ordering import BROADCAST_ROWS, ordinal
 from tidemark.session import checkpoint
 
@@ -27,7 +28,9 @@ def vector_of(features: Features) -> Column:
 
 
 def check_model(model) -> None:
-    """A model is a linkage name or an unfitted estimator with a ``k`` parameter."""
+    """A model is a linkage name, a :class:`Lloyd`, or an unfitted estimator with a ``k`` parameter."""
+    if isinstance(model, Lloyd):
+        return
     if isinstance(model, str):
         if model not in LINKAGES:
             raise ValueError(f"unknown linkage {model!r}; use one of {LINKAGES}")
@@ -45,10 +48,13 @@ def cluster_labels(
 ) -> DataFrame:
     """``(*by, row_id, k, label)`` for every cluster count.
 
-    A linkage builds one tree per group and cuts it for every ``k``. An
-    estimator is fitted once per group and ``k``.
+    A linkage builds one tree per group and cuts it for every ``k``. A
+    :class:`Lloyd` takes all groups and counts through each step together. Any
+    other estimator is fitted once per group and ``k``, one after the other.
     """
     check_model(model)
+    if isinstance(model, Lloyd):
+        return lloyd_labels(df, features, row_id, ks, by, model)
     if isinstance(model, str):
         return cut(linkage(df, features, row_id, model, by, **options), ks)
     data = df.select(*by, row_id, array_to_vector(vector_of(features)).alias("_v"))
@@ -233,6 +239,41 @@ def silhouette(
     return per_row.withColumn("_s", score).groupBy("k").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum("_w")).alias("silhouette"))
 
 
+def squared_silhouette(df: DataFrame, features: Features, row_id: str, labels: DataFrame) -> DataFrame:
+    """``(k, silhouette)`` with squared Euclidean distances, exact, without a pair of rows.
+
+    The mean squared distance of a row to a class is ``|x|^2 - 2 x m + s`` with
+    the mean ``m`` and the mean square ``s`` of the class, so a row needs one
+    step per class. Values are taken from the mean of all rows first, which keeps
+    the difference of squares small. Cases are those of :func:`silhouette`.
+    """
+    given = df.select(row_id, vector_of(features).alias("_x")).filter("_x IS NOT NULL")
+    middle = given.agg(mean_vector("_x").alias("m")).first()["m"]
+    if middle is None:
+        return labels.select("k", F.lit(None).cast("double").alias("silhouette")).distinct()
+    centred = F.zip_with("_x", F.array(*map(F.lit, middle)), lambda a, b: a - b)
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a)
+    data = given.select(row_id, centred.alias("_x")).withColumn("_q", square(F.col("_x")))
+    rows = checkpoint(labels.select(row_id, "k", "label").join(data, row_id).select("k", "label", "_x", "_q"))
+    classes = rows.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"), mean_vector("_x").alias("m"), F.avg("_q").alias("s"))
+    classes = checkpoint(classes)
+    few = classes.count() <= BROADCAST_ROWS
+    lists = classes.groupBy("k").agg(F.collect_list(F.struct("label", "n", "m", "s")).alias("_c"))
+    near = rows.join(F.broadcast(lists) if few else lists, "k")
+
+    def apart(c: Column) -> Column:
+        product = F.aggregate(F.zip_with("_x", c["m"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return F.greatest(F.col("_q") - 2 * product + c["s"], F.lit(0.0))
+
+    home = F.filter("_c", lambda c: c["label"] == F.col("label"))[0]
+    others = F.transform(F.filter("_c", lambda c: c["label"] != F.col("label")), apart)
+    found = near.select("k", home["n"].alias("_n"), apart(home).alias("_own"), F.array_min(others).alias("b"))
+    found = found.withColumn("a", F.col("_own") * F.col("_n") / F.greatest(F.col("_n") - 1, F.lit(1)))
+    ratio = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    score = F.when(F.col("b").isNotNull(), F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(ratio))
+    return found.groupBy("k").agg(F.avg(score).alias("silhouette"))
+
+
 def silhouette_method(
     df: DataFrame, features: Features, row_id: str, k_max: int, model="complete", labels: DataFrame | None = None,
     block: int = BLOCK_ROWS, **options,

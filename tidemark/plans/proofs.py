@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash_uniform
 from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, events, filters, hierarchy, ordering, selection
+from tidemark.operators.lloyd import Lloyd
 from tidemark.plans import winter
 from tidemark.plans.catalog import _DRAWS, QUERIES, SQL, indexed, query
 from tidemark.plans.tables import DAILY, INDEXED, daily, day, r6, table
@@ -253,6 +254,41 @@ def kmeans_of_two_values(spark, folder):
     return out.select("k", r6("distortion").alias("distortion"), r6("inertia").alias("inertia"))
 
 
+@query(SQL["kmeans_of_two_values"])
+def lloyd_of_two_values(spark, folder):
+    """The grouped iteration on a feature with two values."""
+    d = indexed(spark, folder).select("idx", F.when(F.col("form") == "S", 3.0).otherwise(1.0).alias("v"))
+    out = selection.elbow(d, ["v"], "idx", 2, Lloyd(seed=1))
+    return out.select("k", r6("distortion").alias("distortion"), r6("inertia").alias("inertia"))
+
+
+_ISLANDS = "1000.0 * (o_custkey % 3) + o_totalprice / 1000000"
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority, o_orderkey, {_ISLANDS} AS v, 2 * (o_custkey % 3) + o_totalprice / 1000000 AS z, o_custkey % 3 AS island FROM orders),
+g AS (SELECT o_orderpriority, island, min(o_orderkey) AS f, count(*) AS n, count(*) * (var_pop(v) + var_pop(z)) AS sse FROM o GROUP BY ALL)
+SELECT o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY f) - 1)::INT AS label, n, round(sse, 4) + 0.0 AS sse FROM g""")
+def lloyd_per_priority(spark, folder):
+    """Three far islands per group: all groups are fitted together, and every island is one cluster."""
+    third, price = F.col("o_custkey") % 3, F.col("o_totalprice") / 1000000
+    o = table(spark, folder, "orders").select("o_orderpriority", "o_orderkey", (third * 1000.0 + price).alias("v"), (third * 2 + price).alias("z"))
+    labels = selection.cluster_labels(o, ["v", "z"], "o_orderkey", [3], Lloyd(seed=5), ["o_orderpriority"])
+    rows = labels.join(o, ["o_orderpriority", "o_orderkey"])
+    out = selection.squared_error(rows, ["v", "z"], ["o_orderpriority", "label"])
+    return out.select("o_orderpriority", "label", "n", F.round("sse", 4).alias("sse"))
+
+
+@query("""WITH p AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2) AS d, count(*) AS n
+  FROM embeddings a JOIN embeddings b ON TRUE GROUP BY ALL),
+r AS (SELECT vec_id, max(CASE WHEN label = other THEN d / greatest(n - 1, 1) END) AS a, max(CASE WHEN label = other THEN n END) AS n,
+  min(CASE WHEN label <> other THEN d / n END) AS b FROM p GROUP BY vec_id)
+SELECT 10 AS k, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette FROM r""")
+def label_squared_silhouette(spark, folder):
+    e = table(spark, folder, "embeddings")
+    out = selection.squared_silhouette(e, "embedding", "vec_id", e.select("vec_id", F.lit(10).alias("k"), "label"))
+    return out.select("k", r6("silhouette").alias("silhouette"))
+
+
 # Feeds and aggregates
 
 
