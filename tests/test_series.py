@@ -133,3 +133,18 @@ def test_seasonal_cycle(spark):
     assert len(got) == 366 and np.allclose(got["mean"], got.rebuilt)
     yearly = dc.seasonal_cycle(spark.createDataFrame(pdf), "string", ["a"], "year", 3, 9).toPandas().sort_values("idx")
     assert len(yearly) == 5 and np.allclose(yearly["mean"], yearly.rebuilt)
+
+
+@pytest.mark.parametrize("n,own,lags", [(1, 1, 5), (40, 40, 39), (5_000, 5_000, 1_500), (5_000, 3_500, 1_500), (5_000, 3_500, 9_000), (3_000, 1, 1_500), (70_000, 65_536, 2)])
+def test_shifted_products(rng, n, own, lags):
+    x = rng.normal(size=n)
+    want = [float(np.dot(x[: min(own, n - k)], x[k : k + own])) for k in range(min(lags, n - 1) + 1)]
+    assert np.allclose(ac.shifted_products(x, own, lags), want, atol=1e-9)
+
+
+def test_many_lags_across_buckets(spark, rng):
+    x = rng.normal(size=4_000).cumsum() + 1e5
+    df = spark.createDataFrame(pd.DataFrame({"idx": range(len(x)), "v": x}))
+    got = ac.acf(df, "v", 1_500, size=1_600).toPandas().sort_values("lag")["acf"].to_numpy()
+    m = x - x.mean()
+    assert np.allclose(got, [m[: len(m) - k] @ m[k:] / (m @ m) for k in range(1_501)], atol=1e-9)

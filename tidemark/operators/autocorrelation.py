@@ -23,6 +23,9 @@ def grouped_schema(df: DataFrame, keys: Sequence[str], *more: tuple[str, str]) -
     fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
     return T.StructType(fields + [T.StructField(n, T.DataType.fromDDL(t)) for n, t in more])
 
+#: Multiplications per point and level that a transform stands for when it is weighed against direct sums.
+_FFT_STEPS = 4
+
 
 def key_frame(keys: Sequence[str], pdf: pd.DataFrame, columns: dict) -> pd.DataFrame:
     out = pd.DataFrame(columns)
@@ -38,13 +41,28 @@ def centred(df: DataFrame, column: str, series: Sequence[str]) -> DataFrame:
     return out.withColumn("_x", F.col(column).cast("double") - F.col("_mean"))
 
 
+def shifted_products(x: np.ndarray, own: int, lags: int) -> np.ndarray:
+    """Sums of ``x[t] * x[t + lag]`` over ``t < own``, for lag 0..lags as far as ``x`` reaches.
+
+    Products with shifted values are a correlation, so a fast Fourier transform
+    gives all lags at once; ``x`` holds the rows behind the ``own`` ones, and the
+    padding keeps the ends apart (overlap-save). Few lags are summed directly.
+    """
+    top = min(lags, len(x) - 1)
+    n = 1 << int(len(x) + own - 1).bit_length()
+    if own * (top + 1) <= _FFT_STEPS * n * n.bit_length():
+        return np.array([np.dot(x[: min(own, len(x) - k)], x[k : k + own]) for k in range(top + 1)])
+    return np.fft.irfft(np.conj(np.fft.rfft(x[:own], n)) * np.fft.rfft(x, n), n)[: top + 1]
+
+
 def lag_sums(
     df: DataFrame, lags: int, keys: Sequence[str], idx: str = "idx", size: int | None = None
 ) -> DataFrame:
     """``(*keys, lag, _sum)``: sum of ``_x[t] * _x[t + lag]`` for lag 0..lags.
 
     Each bucket sees ``lags`` rows past its end, becomes one array, and sends
-    ``lags + 1`` numbers; Spark adds them up, so no series is in one task.
+    ``lags + 1`` numbers; Spark adds them up, so no series is in one task. Many
+    lags of a bucket come from one transform (see :func:`shifted_products`).
     Tasks take many buckets per batch, which keeps short series cheap.
     """
     size = bucket_rows(lags, size)
@@ -59,9 +77,7 @@ def lag_sums(
         for pdf in batches:
             sums = []
             for x, own in zip(pdf["_xs"], pdf["_owned"]):
-                x = np.asarray(x, float)
-                top = min(lags, len(x) - 1)
-                sums.append([float(np.dot(x[: min(own, len(x) - k)], x[k : k + own])) for k in range(top + 1)])
+                sums.append(shifted_products(np.asarray(x, float), own, lags).tolist())
             yield pdf[names].assign(_sums=sums)
 
     schema = grouped_schema(df, keys, ("_sums", "array<double>"))

@@ -36,6 +36,14 @@ def partial_autocorrelation(spark, folder):
     return autocorrelation.pacf(indexed(spark, folder), "latcent", 30).select("lag", r6("pacf").alias("pacf"))
 
 
+@query(f"""WITH {INDEXED}, m AS (SELECT idx, latcent - avg(latcent) OVER () AS x FROM idx), t AS (SELECT sum(x * x) AS v, count(*) AS n FROM m)
+SELECT lag::INT AS lag, round((SELECT sum(a.x * b.x) FROM m a JOIN m b ON b.idx = a.idx + lag) / v, 6) + 0.0 AS acf
+FROM t, (SELECT unnest(range(1501)) AS lag) WHERE lag < n""")
+def long_autocorrelation(spark, folder):
+    """As many lags as an analysis of several years asks for."""
+    return autocorrelation.acf(indexed(spark, folder), "latcent", 1_500).select("lag", r6("acf").alias("acf"))
+
+
 def _two_lags(centre: bool) -> str:
     """``w``: windows of two lags of x(g, idx, v); ``u``: their leading vector per g."""
     p, q = ("(p - mp)", "(q - mq)") if centre else ("p", "q")
