@@ -326,4 +326,4 @@ def test_run_reads_the_documents(spark):
 
 
 def test_query_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
