@@ -21,6 +21,7 @@ from tidemark.session import checkpoint
 
 BLOCK_ROWS = 2_048
 _PRODUCT_FORM = 16
+_CURVE_FEATURES = 16
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,6 +61,70 @@ def unpack(row: pd.Series) -> np.ndarray:
     return np.frombuffer(row["vectors"], float).reshape(-1, row["dims"])
 
 
+def along_curve(df: DataFrame, vector: str) -> DataFrame:
+    """Adds ``_z``, the place of a vector on a Z-order curve through the box of all vectors.
+
+    The widest features, at most ``_CURVE_FEATURES``, share the bits of the key.
+    """
+    wide = df.select(F.posexplode(vector).alias("_j", "_v")).groupBy("_j").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    wide = wide.filter("high > low").orderBy(F.desc(F.col("high") - F.col("low")), "_j").limit(_CURVE_FEATURES).collect()
+    if not wide:
+        return df.withColumn("_z", F.lit(0).cast("long"))
+    bits = min(31, 62 // len(wide))
+    cells = float((1 << bits) - 1)
+    cell = lambda r: ((F.get(vector, F.lit(r["_j"])) - F.lit(r["low"])) / F.lit(r["high"] - r["low"]) * cells).cast("long")
+    at = df.withColumn("_cells", F.array(*[cell(r) for r in wide]))
+    bit = lambda b, j: F.shiftleft(F.shiftright(F.get("_cells", F.lit(j)), b).bitwiseAND(F.lit(1).cast("long")), b * len(wide) + j)
+    key = F.lit(0).cast("long")
+    for b in range(bits):
+        for j in range(len(wide)):
+            key = key + bit(b, j)
+    return at.withColumn("_z", key).drop("_cells")
+
+
+def box_pairs(packed: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``(*keys, _lo, _hi, near, far)``: bounds of the distances between two blocks, from their boxes.
+
+    Only boxes are paired; the vectors stay where they are.
+    """
+
+    def box(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unpack(pdf.iloc[0])
+        return key_frame(keys, pdf, {"block": pdf["block"].tolist(), "low": [x.min(axis=0).tolist()], "high": [x.max(axis=0).tolist()]})
+
+    schema = grouped_schema(packed, keys, ("block", "long"), ("low", "array<double>"), ("high", "array<double>"))
+    boxes = checkpoint(packed.groupBy(*keys, "block").applyInPandas(box, schema))
+    last = checkpoint(boxes.groupBy(*by).agg(F.max("block").alias("_last")))
+    left = attach(boxes, last, by).filter("block < _last").select(
+        *keys, F.col("block").alias("_lo"), F.col("low").alias("_l"), F.col("high").alias("_h"), F.explode(F.expr("sequence(block + 1, _last)")).alias("_hi")
+    )
+    both = left.join(boxes.withColumnRenamed("block", "_hi"), [*keys, "_hi"])
+    square = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    gap = F.zip_with(minus("low", "_h"), minus("_l", "high"), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    reach = F.zip_with(minus("high", "_l"), minus("_h", "low"), lambda a, b: F.greatest(a, b))
+    return checkpoint(both.select(*keys, "_lo", "_hi", square(gap).alias("near"), square(reach).alias("far")))
+
+
+def meet_some(
+    packed: DataFrame,
+    keys: Sequence[str],
+    pairs: DataFrame,
+    schema: T.StructType,
+    work: Callable[[pd.Series, pd.Series, bool], dict],
+) -> DataFrame:
+    """Run ``work`` on the pairs of blocks ``(*keys, _lo, _hi)``; only their vectors move."""
+    block = F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("block")
+    copies = pairs.select(*keys, "_lo", "_hi", block).join(packed, [*keys, "block"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return key_frame(keys, pdf, work(pdf.iloc[0], pdf.iloc[-1], len(pdf) == 1))
+
+    group = [*keys, "_lo", "_hi"]
+    return side_by_side(copies, group, max(pairs.count(), 1)).groupBy(*group).applyInPandas(run, schema)
+
+
 def meet(
     packed: DataFrame,
     keys: Sequence[str],

@@ -60,18 +60,8 @@ class Tree:
     copies: bool
 
 
-def linkage(
-    df: DataFrame,
-    features: Sequence[str] | str,
-    row_id: str,
-    method: str = "complete",
-    by: Sequence[str] = (),
-    finish: int = FINISH,
-    block: int = BLOCK_ROWS,
-) -> Tree:
-    """Build the tree over ``features`` (columns, or one array column), per group ``by``."""
-    if method not in LINKAGES:
-        raise ValueError(f"unknown linkage {method!r}; use one of {LINKAGES}")
+def leaves_of(df: DataFrame, features: Sequence[str] | str, row_id: str, by: Sequence[str]):
+    """Distinct vectors ``(*keys, leaf, w, _x)``, the leaf of every row, the keys, and counts over all groups."""
     vector = F.col(features).cast("array<double>") if isinstance(features, str) else as_vector(features)
     data, keys = keyed(df.select(*by, F.col(row_id).cast("long").alias(row_id), vector.alias("_x")), by)
     points = data.groupBy(*keys, "_x").agg(F.min(row_id).alias("leaf"), F.count(F.lit(1)).alias("w"))
@@ -87,6 +77,22 @@ def linkage(
     rows = data.select(*keys, row_id, F.col(row_id).alias("leaf"))
     if facts["w"] > 1:
         rows = join_skewed(data, points, [*keys, "_x"], "w").select(*keys, row_id, "leaf")
+    return points, rows, keys, facts
+
+
+def linkage(
+    df: DataFrame,
+    features: Sequence[str] | str,
+    row_id: str,
+    method: str = "complete",
+    by: Sequence[str] = (),
+    finish: int = FINISH,
+    block: int = BLOCK_ROWS,
+) -> Tree:
+    """Build the tree over ``features`` (columns, or one array column), per group ``by``."""
+    if method not in LINKAGES:
+        raise ValueError(f"unknown linkage {method!r}; use one of {LINKAGES}")
+    points, rows, keys, facts = leaves_of(df, features, row_id, by)
     if facts["n"] <= finish:
         merges, rounds = _finish_points(side_by_side(points, keys, facts["groups"]), keys, method), 0
     else:
@@ -408,7 +414,7 @@ def _spread(tree: Tree, own: DataFrame, width: int) -> DataFrame:
     return known
 
 
-def _to_rows(tree: Tree, leaves: DataFrame) -> DataFrame:
+def to_rows(tree: Tree, leaves: DataFrame) -> DataFrame:
     if not tree.copies:
         return tree.rows.join(leaves, [*tree.keys, "leaf"])
     weighted = leaves.join(tree.points.select(*tree.keys, "leaf", "w"), [*tree.keys, "leaf"])
@@ -446,7 +452,7 @@ def cut(tree: Tree, ks: Sequence[int]) -> DataFrame:
     high = top.groupBy(*keys).applyInPandas(codes, schema)
     stay = F.array_repeat(F.lit(-1).cast("long"), len(ks))
     own = tree.merges.join(high, [*keys, "level", "right"], "left").withColumn("own", F.coalesce("own", stay))
-    rows = _to_rows(tree, _spread(tree, own, len(ks)))
+    rows = to_rows(tree, _spread(tree, own, len(ks)))
     kth = F.posexplode(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("values").alias("label")))
     return rows.select(*tree.by, tree.row_id, kth.alias("_at", "_c")).select(
         *tree.by, tree.row_id, F.col("_c.k").alias("k"), F.col("_c.label").cast("int").alias("label")
@@ -462,7 +468,7 @@ def cut_height(tree: Tree, height: float) -> DataFrame:
     own = tree.merges.join(base, keys).withColumn(
         "own", F.array(F.when(high, F.col("right") - F.col("_root")).otherwise(F.lit(-1).cast("long")))
     )
-    rows = _to_rows(tree, _spread(tree, own.drop("_root"), 1)).join(base, keys)
+    rows = to_rows(tree, _spread(tree, own.drop("_root"), 1)).join(base, keys)
     return rows.select(*tree.by, tree.row_id, (F.col("values")[0] + F.col("_root")).alias("cluster"))
 
 
