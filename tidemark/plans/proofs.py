@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash_uniform
-from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, events, filters, hierarchy, ordering, selection
+from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, events, filters, hierarchy, ordering, selection, spanning
 from tidemark.operators.lloyd import Lloyd
 from tidemark.plans import winter
 from tidemark.plans.catalog import _DRAWS, QUERIES, SQL, indexed, query
@@ -204,6 +204,23 @@ def single_linkage_islands(spark, folder):
     return hierarchy.cut(hierarchy.linkage(indexed(spark, folder), ["area"], "idx", "single"), [2, 4, 6])
 
 
+@query(f"""WITH {INDEXED}, {_AREA}, {_islands(6)}, f AS (SELECT *, min(idx) OVER (PARTITION BY k, c) AS first FROM lab)
+SELECT idx, k::INT AS k, (dense_rank() OVER (PARTITION BY k ORDER BY first) - 1)::INT AS label FROM f WHERE k IN (2, 4, 6)""")
+def spanning_islands(spark, folder):
+    """The cuts of ``single_linkage_islands`` from a minimum spanning tree."""
+    return spanning.cut(spanning.spanning_tree(indexed(spark, folder), ["area"], "idx", block=256), [2, 4, 6])
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN o_totalprice - lag(o_totalprice) OVER w > 5.005 THEN 1 ELSE 0 END AS n FROM orders
+  WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS c FROM g)
+SELECT o_orderpriority, o_orderkey, min(o_orderkey) OVER (PARTITION BY o_orderpriority, c) AS cluster FROM r""")
+def order_price_islands(spark, folder):
+    """Orders of a priority whose prices are linked by steps of at most 5.005, over the whole table."""
+    tree = spanning.spanning_tree(table(spark, folder, "orders"), ["o_totalprice"], "o_orderkey", ["o_orderpriority"])
+    return spanning.cut_height(tree, 5.005)
+
+
 @query(f"""WITH {INDEXED}, a AS (SELECT -1 AS rep, idx, area AS v FROM idx), b AS (SELECT -1 AS rep, idx, ar AS v FROM idx), {_islands(3, "a")},
 x AS (SELECT idx, dense_rank() OVER (ORDER BY first) - 1 AS y FROM (SELECT idx, min(idx) OVER (PARTITION BY c) AS first FROM lab WHERE k = 3)),
 {_islands(4, "b").replace("ga AS", "gb AS").replace("FROM ga", "FROM gb").replace("gr AS", "gs AS").replace("FROM gr", "FROM gs").replace("lab AS", "lac AS")},
