@@ -274,6 +274,42 @@ def test_values_seen_once(spark):
     assert all(not got[i].spans for i in range(len(noise)))
 
 
+def plain_blank(text, spans):
+    letters = list(text)
+    for s in spans:
+        letters[s.start : s.end] = " " * (s.end - s.start)
+    return "".join(letters)
+
+
+def plain_rewrite(text, spans):
+    marks, out, at = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""], "", 0
+    for s in sorted(spans, key=lambda s: (s.start, s.kind)):
+        if s.start >= at:
+            out += text[at : s.start] + marks[s.kind]
+        at = max(at, s.end)
+    return out + text[at:]
+
+
+def test_covering_long_texts(spark):
+    """Overlaps, no gaps, gaps over several pieces, wide characters, and more spans than a run holds."""
+    rnd, rows = random.Random(9), [(0, "", []), (1, "plain", [])]
+    for i in range(2, 30):
+        text = "".join(rnd.choice("abé🙂\n ") for _ in range(rnd.choice([1, 50, 1_023, 1_024, 1_025, 9_000])))
+        starts = sorted(rnd.randrange(len(text)) for _ in range(rnd.choice([1, 5, 127, 129, 700])))
+        rows.append((i, text, sorted((s, rnd.randrange(6), min(s + rnd.randrange(1, 40), len(text)), "v") for s in starts)))
+    rows.append((30, "x" * 5_000, [(0, 0, 5_000, "v")]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,kind:int,end:int,value:string>>")
+    got = df.select("*", sanitise._blank(F.col("text"), F.col("spans")).alias("b"), sanitise._rewrite(F.col("text"), F.col("spans")).alias("r"))
+    for row in got.collect():
+        assert row.b == plain_blank(row.text, row.spans) and row.r == plain_rewrite(row.text, row.spans), row.doc_id
+
+
+def test_many_values_in_one_text(spark):
+    text = " ".join(f"user{i}@host{i}.example word" for i in range(40_000))
+    out = sanitise.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string"), support=2).first().text
+    assert out == " ".join(["[EMAIL] word"] * 40_000)
+
+
 def test_rewrite_covers_overlaps_once(spark):
     text = "tel +4111111111111111 end"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -60,6 +60,7 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _ANY = "[@]|[0-9]"
 _WORD = r"[\p{L}\p{M}\p{N}]++"
 _RUN = 128
+_PIECE = 1_024
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -179,15 +180,41 @@ def _levels(span: Column) -> Column:
     return F.transform(levels, lambda v: F.sha2(v, 256))
 
 
+def _highest_before(ends: Column) -> Column:
+    """For each end the greatest of those ahead of it (0: none), in runs as in :func:`_before`."""
+    runs = F.transform(
+        F.sequence(F.lit(0), (F.greatest(F.size(ends) - 1, F.lit(0)) / _RUN).cast("int")),
+        lambda b: F.array_max(F.slice(ends, b * _RUN + 1, F.lit(_RUN))),
+    )
+
+    def place(tops: Column) -> Column:
+        starts = F.transform(tops, lambda _, b: F.coalesce(F.array_max(F.slice(tops, F.lit(1), b)), F.lit(0)))
+        inside = lambda i: F.array_max(F.slice(ends, (i / _RUN).cast("int") * _RUN + 1, i % _RUN))
+        return _let(starts, lambda base: F.transform(ends, lambda _, i: F.greatest(F.get(base, (i / _RUN).cast("int")), inside(i))))
+
+    return _let(runs, place)
+
+
 def _cover(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
-    """``text`` with ``mark(span, at)`` for each span, where ``at`` is the end of what is covered so far."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """``text`` with ``mark(span, at)`` for each span, where ``at`` is the end of what is covered so far.
+
+    Gaps are cut from pieces of the text and joined once, so the work grows with the text and not with text times spans.
+    """
+
+    def fill(before: Column, pieces: Column) -> Column:
+        def gap(a: Column, b: Column) -> Column:
+            first = (a / _PIECE).cast("int")
+            near = F.array_join(F.slice(pieces, first + 1, (b / _PIECE).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(near, a % _PIECE + 1, b - a)).otherwise(F.lit(""))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(F.concat(state["out"], gap, mark(s, state["at"])).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
+        parts = F.transform(spans, lambda s, i: F.concat(gap(F.get(before, i), s["start"]), mark(s, F.get(before, i))))
+        covered = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+        rest = _let(covered, lambda at: gap(at, F.length(text)))
+        return F.array_join(F.concat(parts, F.array(rest)), "")
 
-    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    ends = _let(F.transform(spans, lambda s: s["end"]), _highest_before)
+    return _let(ends, lambda before: _let(pieces, lambda p: fill(before, p)))
 
 
 def _blank(text: Column, spans: Column) -> Column:
