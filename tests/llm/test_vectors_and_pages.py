@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -176,6 +177,40 @@ def test_names_that_do_not_make_furniture():
         assert templates.parse(source).text(set()) == want, source
 
 
+def test_subjects_and_quoted_words_are_not_furniture():
+    page = lambda body: templates.parse(f"<body>{body}</body>").text(set())
+    for body in (
+        '<p title="a hidden gem">text</p>', "<p title='so hidden = so'>text</p>", '<div class="social-history">text</div>',
+        '<section id="notice-of-amendment">text</section>', '<p class="related-work">text</p>', '<table class="menu-prices"><tr><td>text</table>',
+    ):
+        assert page(body) == "text", body
+    for body in (
+        "<p hidden>text</p>", '<p class="x" hidden>text</p>', '<div hidden="until-found">text</div>', '<div class="cookie-banner">text</div>',
+        '<ul class="share-buttons"><li>text</ul>', '<div class="x sidebar-left">text</div>', '<div id="comments-12">text</div>',
+    ):
+        assert page(body) == "", body
+
+
+def test_broken_pages_take_linear_time():
+    page = lambda source: templates.parse(source).text(set())
+    start = time.time()
+    assert page("<div>" * 100_000 + "text") == "text"
+    assert page("</p>" * 100_000 + "text") == "text"
+    assert page("<p>text</p>" + "<a " * 200_000) == "text\n" + ("<a " * 200_000).strip()
+    assert page("<p>one<p>two" + "<li>x" * 50_000).startswith("one\ntwo\nx\nx")
+    assert time.time() - start < 30
+
+
+def test_comments_that_never_end():
+    page = lambda source: templates.parse(source).text(set())
+    assert page("<p>text</p><!-- gone") == "text"
+    assert page("<p>text</p><!-- gone > gone") == "text"
+    assert page("<p>text</p><script>gone > gone") == "text"
+    assert page("<p>text</p>kept <!-- gone") == "text\nkept"
+    assert page("<p>text</p><script>gone</script >kept") == "text\nkept"
+    assert page("text") == "text" and page("") == "" and page("1 < 2") == "1 < 2"
+
+
 def test_site_templates(spark):
     rows = []
     for i in range(40):

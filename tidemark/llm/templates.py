@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,15 +41,17 @@ AT_LEAST = 5
 SHARE = 0.2
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|textarea|title|noscript|iframe|xmp|noembed|noframes)\b[^>]*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)
+    r"""<!--.*?(?:(?P<shut>-->)|\Z)
+    |<(?P<raw>script|style|textarea|title|noscript|iframe|xmp|noembed|noframes)\b[^>]*+>.*?(?:(?P<shut2></(?P=raw)\s*+[^>]*+>)|\Z)
     |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>
     |<[!?/][^>]*+>""",
     re.S | re.I | re.X,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
-_HEAD = re.compile(r"[_-]")
+_PARTS = re.compile(r"[_-]+")
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=|/)")
 
 # Elements of the HTML standard by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,11 +64,17 @@ HOLDERS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 HEAD = frozenset("meta link base title style script noscript template".split())
 FURNITURE = frozenset("head nav header footer aside form button select option input dialog menu template svg math canvas object audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Names that pages give to furniture by habit, and what may follow them; no standard fixes these.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice popup modal "
     "newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies "
     "share sharing social related recommended pagination pager toolbar login signup".split()
 )
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons column container content count footer form head header icon icons inner item items left link "
+    "links list main outer panel primary right row secondary section slot text thread title top unit widget wrap wrapper".split()
+)
+# End tags that HTML implies, and the elements that hold them back.
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS = frozenset("ul ol dl table article main section div body html td th".split())
 
@@ -100,8 +109,16 @@ class Page:
 
 
 def _named(names: str) -> bool:
-    """Whether a class or id, or its head, is a name of furniture; ``has-sidebar`` only speaks of one."""
-    return any(name in NAMES or _HEAD.split(name, maxsplit=1)[0] in NAMES for name in names.split())
+    """Whether a class or id names furniture, by its head and nothing but words of layout after it.
+
+    ``has-sidebar`` only speaks of a sidebar, and ``related-work`` is a subject.
+    """
+
+    def furniture(name: str) -> bool:
+        head, *rest = _PARTS.split(name)
+        return head in NAMES and all(part in NAMES or part in LAYOUT or part.isdigit() for part in rest)
+
+    return any(furniture(name) for name in names.split())
 
 
 def _declared(tag: str, attributes: str, nested: bool = False) -> tuple[bool, str]:
@@ -121,12 +138,14 @@ def _declared(tag: str, attributes: str, nested: bool = False) -> tuple[bool, st
                 return True, role
             elif name == "aria-hidden" and value == "true":
                 return True, role
-    return tag in FURNITURE or role in ROLES or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None, role
+    # What stands inside quotes is a value, whatever it says.
+    return tag in FURNITURE or role in ROLES or ("hidden" in attributes and _HIDDEN.search(_VALUE.sub(" ", attributes)) is not None), role
 
 
 class _Parser:
     def __init__(self) -> None:
         self.page, self.open, self.text = Page(), [], []
+        self.counts: Counter[str] = Counter()
         self.hidden = self.articles = self.mains = 0
 
     def flush(self) -> None:
@@ -145,13 +164,14 @@ class _Parser:
 
     def start(self, tag: str, attributes: str) -> None:
         self.flush()
-        if tag not in HEAD and any(e[0].tag == "head" for e in self.open):
+        if tag not in HEAD and self.counts["head"]:
             self.pop_to("head")
         self.close_implied(tag)
         furniture, role = _declared(tag, attributes, self.articles > 0)
         main, article = tag == "main" or role == "main", tag == "article" and not furniture
         element = _Element(tag, len(self.page.blocks), furniture, [tag, attributes.strip()])
         self.open.append((element, article, main))
+        self.counts[tag] += 1
         self.hidden += furniture
         self.articles += article
         self.mains += main
@@ -160,6 +180,8 @@ class _Parser:
 
     def close_implied(self, tag: str) -> None:
         ends = CLOSES_ITSELF.get(tag, ())
+        if not any(self.counts[name] for name in ("p", *ends)):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0].tag
             if name == "p" or name in ends:
@@ -171,6 +193,8 @@ class _Parser:
                 return
 
     def pop_to(self, tag: str) -> None:
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0].tag == tag:
                 while len(self.open) > i:
@@ -180,6 +204,7 @@ class _Parser:
     def pop(self) -> None:
         self.flush()
         element, article, main = self.open.pop()
+        self.counts[element.tag] -= 1
         self.hidden -= element.furniture
         self.articles -= article
         self.mains -= main
@@ -196,12 +221,16 @@ class _Parser:
 def parse(source: str | None) -> Page:
     parser, at = _Parser(), 0
     source = source or ""
-    for token in _TOKEN.finditer(source):
+    # Behind the last ">" no tag can end, so none is looked for; only a comment can begin there.
+    end = source.rfind(">") + 1
+    for token in _TOKEN.finditer(source, 0, end):
         if token.start() > at:
             parser.text.append(source[at : token.start()])
         at = token.end()
         tag = token["tag"] or token["tag2"]
         if tag is None:
+            if (token["raw"] or token[0].startswith("<!--")) and not (token["shut"] or token["shut2"]):
+                at = len(source)
             continue
         tag = tag.lower()
         if tag in INLINE or tag == "hr":
@@ -218,7 +247,7 @@ def parse(source: str | None) -> Page:
             if attributes.endswith("/") and tag in ("svg", "math"):
                 parser.pop()
     if at < len(source):
-        parser.text.append(source[at:])
+        parser.text.append(source[at:].partition("<!--")[0])
     parser.flush()
     while parser.open:
         parser.pop()
