@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -92,17 +93,46 @@ def test_substring_dedup(docs, corpus, monkeypatch, window, batch_bytes):
 
 
 def test_window_hashes_do_not_depend_on_segments(monkeypatch):
-    text = b" ".join(b"w%d" % (i % 97) for i in range(4_000)) + b" "
-    buffer = np.frombuffer(text, np.uint8)
-    at = np.r_[0, np.flatnonzero(buffer == 32) + 1]
-    whole = substring_dedup._family(1).windows(buffer, at, (10, 20))
+    words = substring_dedup.word_hashes([b"w%d" % (i % 97) for i in range(4_000)])[0]
+    whole = [substring_dedup._family(1).windows(words, size) for size in (10, 20)]
     monkeypatch.setattr(substring_dedup, "_SEGMENT", 900)
-    parts = substring_dedup._Family(1).windows(buffer, at, (10, 20))
-    for size, a, b in zip((10, 20), whole, parts):
-        assert (a[: 4_000 - size] == b[: 4_000 - size]).all()
+    for size, a in zip((10, 20), whole):
+        b = substring_dedup._Family(1).windows(words, size)
+        assert (a == b).all()
         assert len(set(a[: 4_000 - size].tolist())) == 97
 
 
+@pytest.mark.parametrize("batch_bytes", [2 << 20, 10])
+def test_windows_that_collide_in_plain_polynomials_stay(spark, monkeypatch, batch_bytes):
+    """Thue-Morse words cancel in any polynomial modulo 2^64, over letters or over words."""
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch_bytes)
+    bits = [bin(i).count("1") % 2 for i in range(1_024)]
+    letters = lambda flip: "".join("ab"[b ^ flip] for b in bits)
+    rest = [f"word{i}" for i in range(19)]
+    rows = [(i, " ".join([letters(i), *rest])) for i in (0, 1)]
+    rows += [(2 + flip, " ".join("xy"[b ^ flip] for b in bits[:16]) + " " + " ".join(rest[:4])) for flip in (0, 1)]
+    rows += [(9, rows[0][1])]
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (9, 20)]
+
+
+@pytest.mark.parametrize("many", [0, 1 << 33])
+def test_all_bits_of_a_window_decide(monkeypatch, many):
+    """Windows that agree in 64 bits but not in the others are different, in a batch and across two."""
+    monkeypatch.setattr(substring_dedup, "_MANY_WORDS", many)
+    kind = substring_dedup._entry(1_000)
+    texts = pa.compress(b" ".join(b"w%d" % i for i in range(40)), codec="zstd", asbytes=True)
+    size = len(b" ".join(b"w%d" % i for i in range(40)))
+    batch = substring_dedup._Batch(texts, [5], [size], 20)
+    batch.hashes = np.stack([np.full(40, 7, np.uint64), batch.hashes[1]])
+    assert not substring_dedup._covered(batch, np.zeros(0, kind)).any()
+    own = batch.entries(np.arange(21), kind)
+    other = own[3:4].copy()
+    other["low"] += 1
+    assert not substring_dedup._covered(batch, other).any()
+    assert np.flatnonzero(substring_dedup._covered(batch, own[3:4])).tolist() == list(range(3, 23))
+
+
 def test_gaps_round_trip(rng):
     for top, n in ((1 << 40, 50), (1 << 20, 5_000), (200, 100)):
         values = np.unique(rng.integers(0, top, n).astype(np.uint64))

@@ -10,9 +10,13 @@ anchor: a block of one equals a rolling window of block length in the other.
    says which contents are a block elsewhere. These are short fingerprints, so
    some hits are false, a share that does not grow with the data.
 3. Extend: the windows around a hit, taken whole, go to buckets under 80 bits
-   of their hash, again once per batch and content, with their first place. The
-   bucket finds the first place overall. Windows that follow each other make up
-   the maximal repeats; every word that a later window covers is removed.
+   of their hash (128 in large corpora), again once per batch and content, with
+   their first place. The bucket finds the first place overall. Windows that
+   follow each other make up the maximal repeats; every word that a later window
+   covers is removed.
+
+Window hashes combine cryptographic hashes of the words, so no wording makes two
+unlike windows collide; chance alone could. All bits decide at every step.
 
 A passage that a third of all documents share costs one entry per batch, not
 per document, and no pairs are made. Batches meet their answers by a join on the
@@ -22,8 +26,8 @@ computed anew rather than moved. Buckets are as many as the data need.
 Cases: null and empty texts have no words and stay as they are. Documents
 shorter than a window lose nothing. Rows that repeat a doc_id and start at the
 same word are equally early, so neither removes the other. A null doc_id counts
-as the smallest. Words over 4096 bytes are compared by a 256-bit digest. Other
-columns are carried inside a struct, so names cannot clash.
+as the smallest. Other columns are carried inside a struct, so names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -48,7 +52,8 @@ BATCH_BYTES = 2 << 20
 #: Contents per bucket that the number of buckets aims at.
 BUCKET_WORDS = 1 << 20
 _SEGMENT = 1 << 18
-_LONG_WORD = 4_096
+#: Words in the corpus up to which 80 bits tell windows apart.
+_MANY_WORDS = 1 << 33
 _FILL = 65_535
 _LOWEST = np.iinfo(np.int64).min
 
@@ -66,35 +71,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Family:
-    """A polynomial hash modulo 2^64 over bytes mapped to random numbers."""
+    """A polynomial over word hashes modulo 2^64, rolled over windows of words."""
 
     def __init__(self, seed: int):
-        random = np.random.default_rng(seed)
-        self.value = random.integers(1, 1 << 63, 256, dtype=np.uint64)
-        base = int(random.integers(1, 1 << 62)) * 2 + 1
+        base = int(np.random.default_rng(seed).integers(1, 1 << 62)) * 2 + 1
         steps = np.full(_SEGMENT + 1, base, np.uint64)
         back = np.full(_SEGMENT + 1, pow(base, -1, 1 << 64), np.uint64)
         steps[0] = back[0] = 1
         self.power, self.inverse = np.cumprod(steps), np.cumprod(back)
 
-    def windows(self, buffer: np.ndarray, at: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-        """Hashes of the windows of each size that begin at each word; ``at`` has the words' bounds."""
-        n, reach = len(at) - 1, max(sizes)
-        out = [np.zeros(n, np.uint64) for _ in sizes]
-        i = 0
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + _SEGMENT, side="right")) - reach)
-            low, high = at[i], at[min(j - 1 + reach, n)]
-            total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(self.value[buffer[low:high]] * self.power[: high - low], out=total[1:])
-            start = at[i:j] - low
-            j = min(j, n)
-            start = start[: j - i]
-            for k, size in enumerate(sizes):
-                end = at[np.minimum(np.arange(i, j) + size, n)] - low
-                out[k][i:j] = (total[end] - total[start]) * self.inverse[start]
-            i = j
-        return [_mixed(o) for o in out]
+    def windows(self, words: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the window of ``size`` words that begins at each word; fewer words at the end."""
+        n = len(words)
+        out = np.zeros(n, np.uint64)
+        step = len(self.power) - 1 - size
+        for low in range(0, n, step):
+            part = words[low : low + step + size]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * self.power[: len(part)], out=total[1:])
+            start = np.arange(min(step, n - low))
+            end = np.minimum(start + size, len(part))
+            out[low : low + step] = (total[end] - total[start]) * self.inverse[start]
+        return _mixed(out)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes for each word; each different word is hashed once."""
+    place: dict[bytes, int] = {}
+    at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in place)
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)[at].T
 
 
 _families: dict[int, _Family] = {}
@@ -152,25 +158,20 @@ def batches(docs: DataFrame) -> DataFrame:
 
 
 class _Batch:
-    """The words of a batch, one after the other."""
+    """The words of a batch, one after the other, as hashes; ``keep`` holds on to the words themselves."""
 
-    def __init__(self, texts: bytes, ids: list[int | None], sizes: list[int], window: int):
+    def __init__(self, texts: bytes, ids: list[int | None], sizes: list[int], window: int, keep: bool = False):
         raw = pa.decompress(texts, decompressed_size=sum(s for s in sizes if s > 0), codec="zstd", asbytes=True)
-        self.raw, at, self.words, joined = [], 0, [], []
+        self.raw, at, self.words = [], 0, []
         for size in sizes:
             self.raw.append(None if size < 0 else raw[at : at + size])
             at += max(size, 0)
-            words = self.raw[-1].split() if size > 0 else []
-            self.words.append(words)
-            if size > _LONG_WORD and max(map(len, words), default=0) > _LONG_WORD:
-                words = [w if len(w) <= _LONG_WORD else b"\x00" + hashlib.sha256(w).hexdigest().encode() for w in words]
-            if words:
-                joined.append(b" ".join(words))
-                joined.append(b" ")
-        self.buffer = np.frombuffer(b"".join(joined), np.uint8)
-        self.at = np.r_[0, np.flatnonzero(self.buffer == 32) + 1]
+            self.words.append(self.raw[-1].split() if size > 0 else [])
+        self.hashes = word_hashes([w for words in self.words for w in words])
         self.counts = np.array([len(w) for w in self.words], np.int64)
-        self.n, self.window, self.block = len(self.at) - 1, window, window // 2
+        if not keep:
+            self.raw = self.words = None
+        self.n, self.window, self.block = int(self.counts.sum()), window, window // 2
         first = np.cumsum(self.counts) - self.counts
         self.start = np.arange(self.n) - np.repeat(first, self.counts)
         self.left = np.repeat(self.counts, self.counts) - self.start
@@ -178,20 +179,27 @@ class _Batch:
 
     def anchors(self, buckets: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bucketed fingerprint of the rolling window at each word, which are whole, which are blocks."""
-        (hashed,) = _family(1).windows(self.buffer, self.at, (self.block,))
+        hashed = _family(1).windows(self.hashes[0], self.block)
         whole = self.left >= self.block
         return _bucketed(hashed, buckets, span), whole, whole & (self.start % self.block == 0)
 
+    def entries(self, at: np.ndarray, entry: np.dtype) -> np.ndarray:
+        """The identities of the whole windows at these words."""
+        out = np.empty(len(at), entry)
+        out["high"] = _family(1).windows(self.hashes[0], self.window)[at]
+        out["low"] = _family(2).windows(self.hashes[1], self.window)[at].astype(entry["low"])
+        return out
+
 
 def _bucketed(hashed: np.ndarray, buckets: int, span: int) -> np.ndarray:
     count = np.uint64(buckets)
     return (hashed % count) * np.uint64(span) + (hashed // count) % np.uint64(span)
 
 
-def _read(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, _Batch]]:
+def _read(batch: pa.RecordBatch, window: int, keep: bool = False) -> Iterator[tuple[int, _Batch]]:
     for i in range(batch.num_rows):
         get = lambda name: batch.column(name)[i].as_py()
-        yield get("batch"), _Batch(get("texts"), get("ids"), get("sizes"), window)
+        yield get("batch"), _Batch(get("texts"), get("ids"), get("sizes"), window, keep)
 
 
 # Short fingerprints on the wire ------------------------------------------------------
@@ -272,10 +280,12 @@ def _answered(answers: list[dict] | None, name: str, span: int) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-_ENTRY = np.dtype([("high", "<u8"), ("low", "<u2")])
+def _entry(words: int) -> np.dtype:
+    """Identity of a window: more bits where more windows could meet by chance."""
+    return np.dtype([("high", "<u8"), ("low", "<u2" if words <= _MANY_WORDS else "<u8")])
 
 
-def _window_requests(table: DataFrame, window: int, buckets: int, span: int, finals: int) -> DataFrame:
+def _window_requests(table: DataFrame, window: int, buckets: int, span: int, finals: int, kind: np.dtype) -> DataFrame:
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in incoming:
             for (name, batch), answers in zip(_read(held, window), held.column("answers").to_pylist()):
@@ -286,10 +296,7 @@ def _window_requests(table: DataFrame, window: int, buckets: int, span: int, fin
                 at = at[upto[at + window - batch.block + 1] > upto[at]]
                 if not len(at):
                     continue
-                (high,) = _family(1).windows(batch.buffer, batch.at, (window,))
-                (low,) = _family(2).windows(batch.buffer, batch.at, (window,))
-                entry = np.empty(len(at), _ENTRY)
-                entry["high"], entry["low"] = high[at], low[at] & np.uint64(0xFFFF)
+                entry = batch.entries(at, kind)
                 # Words are in order of (doc_id, start), so a stable sort puts the first place first.
                 order = np.lexsort((np.arange(len(at)), entry["low"], entry["high"]))
                 ranked = entry[order]
@@ -310,9 +317,9 @@ def _window_requests(table: DataFrame, window: int, buckets: int, span: int, fin
     return table.mapInArrow(run, "bucket long, batch long, entries binary, ids binary, starts binary")
 
 
-def _window_answers(group: pa.Table) -> pa.Table:
+def _window_answers(kind: np.dtype, group: pa.Table) -> pa.Table:
     """Per batch, the windows whose first place lies before its own."""
-    entries = [np.frombuffer(e, _ENTRY) for e in group.column("entries").to_pylist()]
+    entries = [np.frombuffer(e, kind) for e in group.column("entries").to_pylist()]
     owner = np.repeat(np.arange(len(entries)), [len(e) for e in entries])
     entry = np.concatenate(entries)
     ids = np.concatenate([np.cumsum(np.frombuffer(i, "<i8")) for i in group.column("ids").to_pylist()])
@@ -322,36 +329,39 @@ def _window_answers(group: pa.Table) -> pa.Table:
     head = np.r_[True, entry[1:] != entry[:-1]]
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     late = (ids != ids[first]) | (starts != starts[first])
-    owner, high = owner[late], entry["high"][late]
+    owner, entry = owner[late], entry[late]
     order = np.argsort(owner, kind="stable")
-    owner, high = owner[order], high[order]
+    owner, entry = owner[order], entry[order]
     edge = np.searchsorted(owner, np.arange(len(entries) + 1))
     names = group.column("batch").to_pylist()
-    kept = [(names[k], high[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+    kept = [(names[k], entry[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
     return pa.table({"batch": pa.array([k[0] for k in kept], pa.int64()), "late": pa.array([k[1] for k in kept], pa.binary())})
 
 
 def _covered(batch: _Batch, late: np.ndarray) -> np.ndarray:
-    """Which words lie in a window that starts earlier somewhere."""
+    """Which words lie in a window that starts earlier somewhere; ``late`` are those that other batches have first."""
     window = batch.window
     at = np.flatnonzero(batch.left >= window)
     mark = np.zeros(batch.n + 1, np.int64)
     if len(at):
-        (high,) = _family(1).windows(batch.buffer, batch.at, (window,))
-        high = high[at]
-        order = np.argsort(high, kind="stable")
-        ranked, place = high[order], at[order]
-        head = np.r_[True, ranked[1:] != ranked[:-1]]
-        first = place[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        repeat = (batch.id[place] != batch.id[first]) | (batch.start[place] != batch.start[first])
-        gone = np.r_[place[repeat], at[_among(high, np.sort(late))]]
-        gone = np.unique(gone)
+        entry = np.concatenate([batch.entries(at, late.dtype), late])
+        # The sort is stable, so the first of equal windows is the earliest of this batch.
+        order = np.lexsort((entry["low"], entry["high"]))
+        entry = entry[order]
+        head = np.r_[True, entry[1:] != entry[:-1]]
+        group = np.cumsum(head) - 1
+        answered = np.bincount(group, weights=order >= len(at)) > 0
+        mine = order < len(at)
+        # A group of answers alone has no window here.
+        first = at[np.minimum(order[head], len(at) - 1)][group[mine]]
+        place = at[order[mine]]
+        gone = place[answered[group[mine]] | (batch.id[place] != batch.id[first]) | (batch.start[place] != batch.start[first])]
         mark[gone] += 1
         mark[gone + window] -= 1
     return np.cumsum(mark)[:-1] > 0
 
 
-def _rewrite(table: DataFrame, window: int, row_type: T.DataType, whole: bool) -> DataFrame:
+def _rewrite(table: DataFrame, window: int, row_type: T.DataType, whole: bool, kind: np.dtype) -> DataFrame:
     schema = T.StructType().add("row", row_type).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("text", "string")
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,9 +369,9 @@ def _rewrite(table: DataFrame, window: int, row_type: T.DataType, whole: bool) -
 
         arrow = to_arrow_schema(schema)
         for held in incoming:
-            for i, (_, batch) in enumerate(_read(held, window)):
-                parts = [np.frombuffer(p, "<u8") for p in held.column("late")[i].as_py() or []]
-                covered = _covered(batch, np.concatenate(parts) if parts else np.zeros(0, np.uint64))
+            for i, (_, batch) in enumerate(_read(held, window, keep=True)):
+                parts = [np.frombuffer(p, kind) for p in held.column("late")[i].as_py() or []]
+                covered = _covered(batch, np.concatenate(parts) if parts else np.zeros(0, kind))
                 out, at = [], 0
                 for raw, words in zip(batch.raw, batch.words):
                     mine = covered[at : at + len(words)]
@@ -406,10 +416,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, whole: bool = True, repor
     # Both joins are left joins over all columns, so that Spark reuses one exchange of the texts.
     probed = table.join(by_batch, "batch", "left")
     finals = max(2 * width(docs.sparkSession), total // (4 * BUCKET_WORDS))
-    asked = _window_requests(probed, window, buckets, span, finals)
-    late = asked.groupBy("bucket").applyInArrow(_window_answers, "batch long, late binary")
+    kind = _entry(total)
+    asked = _window_requests(probed, window, buckets, span, finals, kind)
+    late = asked.groupBy("bucket").applyInArrow(lambda group: _window_answers(kind, group), "batch long, late binary")
     late = late.groupBy("batch").agg(F.collect_list("late").alias("late"))
-    out = _rewrite(table.join(late, "batch", "left"), window, row_type, whole)
+    out = _rewrite(table.join(late, "batch", "left"), window, row_type, whole, kind)
     own = REPORT if report else ()
     kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in own]
     return out.select(*kept, *own)
