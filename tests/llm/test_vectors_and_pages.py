@@ -29,7 +29,7 @@ def points():
     centres = random_.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + 0.4 * random_.normal(size=8)).astype(np.float32).tolist()) for i in range(500)]
     rows += [(i, rows[7][1]) for i in range(500, 900)]
-    rows += [(900, [0.0] * 8), (901, None), (902, [1.0, None] + [0.0] * 6), (903, [math.nan] * 8), (904, [math.inf] * 8), (905, []), (906, [1.0] * 3), (950, [0.0] * 8), (None, [1.0] * 8)]
+    rows += [(900, [0.0] * 8), (901, None), (902, [1.0, None] + [0.0] * 6), (903, [math.nan] * 8), (904, [math.inf] * 8), (905, []), (906, [1.0] * 3), (1000, [9.0, 2.0]), (1050, []), (950, [0.0] * 8), (None, [1.0] * 8)]
     return rows
 
 
@@ -39,13 +39,13 @@ def table(spark, points):
 
 
 def usable(points, zero):
-    fine = [(i, v) for i, v in points if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all()]
-    return [(i, v) for i, v in fine if zero or any(v)]
+    fine = [(i, v) for i, v in points if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    return [(i, [*v, *[0.0] * (8 - len(v))]) for i, v in fine if zero or any(v)]
 
 
 @pytest.mark.parametrize("block,pivots,k", [(2_048, 64, 5), (37, 9, 5), (64, 5, 3)])
 def test_top_products(table, points, monkeypatch, block, pivots, k):
-    monkeypatch.setattr(vectors.in_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
     monkeypatch.setattr(topk, "QUERY_ROWS", 4)
     rows = usable(points, zero=True)
     ids, whole = np.array([i for i, _ in rows]), np.floor(np.array([v for _, v in rows], np.float64) * 256).astype(np.int64)
@@ -105,7 +105,7 @@ def test_recall_without_structure(spark):
 @pytest.mark.parametrize("block", [5, 2_048])
 def test_repeated_rows_are_one_candidate(spark, monkeypatch, block):
     """Rows repeated six times, and one id with several vectors, take one place each."""
-    monkeypatch.setattr(vectors.in_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
     random_ = np.random.default_rng(5)
     points = random_.normal(size=(120, 4))
     extra = points[0] * np.arange(3, 11)[:, None] + 0.1 * random_.normal(size=(8, 4))

@@ -12,8 +12,9 @@ ones, have neighbours everywhere and need a large one.
 
 Cases: see :func:`vectors.usable` for rows that take no part; zero vectors take
 none either. Rows that share a query's vec_id are its own; rows that share any
-other vec_id are one candidate, by the better score. Tables of at most
-``AT_LEAST`` rows are searched whole. An empty table gives an empty result.
+other vec_id are one candidate, by the better score. At every size a query reads
+the share of the rows or ``AT_LEAST`` of them, whichever is more, so that the
+nearest ``k`` exist among them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.zeros(len(points))), batch.column(0), binary], names=["key", "far", "vec_id", "vector"])
 
     placed = rows.select("vec_id", "vector").mapInArrow(descend, "key long, far double, vec_id long, vector binary")
-    index = checkpoint(vectors.in_blocks(placed))
+    index = checkpoint(vectors.in_blocks(placed, vectors.block_rows(size)))
     sizes = index.groupBy("key").agg(F.sum(F.length("ids") / 8).alias("n")).collect()
     counts = np.zeros(trees * forest.leaves)
     for row in sizes:
@@ -192,7 +193,7 @@ def nearest(
             yield pa.RecordBatch.from_arrays(columns, names=["key", "far", "vec_id", "vector"])
 
     asked = rows.filter(vectors.is_query(every)).dropDuplicates(["vec_id", "vector"])
-    visits = vectors.in_blocks(asked.select("vec_id", "vector").mapInArrow(walk, "key long, far double, vec_id long, vector binary"), QUERY_ROWS)
+    visits = vectors.in_blocks(asked.select("vec_id", "vector").mapInArrow(walk, "key long, far double, vec_id long, vector binary"), vectors.block_rows(size, QUERY_ROWS))
     visits = checkpoint(visits).select("key", F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
     found = _rerank(visits.join(index.select("key", "ids", "vectors"), "key"), size, k, kind)
     return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

@@ -25,7 +25,7 @@ FROM docs LEFT JOIN kept USING (doc_id)
 
 OP3 = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT vec_id, list_resize(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT), (SELECT max(len(embedding)) FROM embeddings), 0) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score

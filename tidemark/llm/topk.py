@@ -188,8 +188,8 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, scale: int = SCA
             columns = [pa.array(nearest.astype(np.int64)), pa.array(gaps[np.arange(len(gaps)), nearest]), batch.column(0), pa.array([r.tobytes() for r in whole], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "far", "vec_id", "vector"])
 
-    index = checkpoint(vectors.in_blocks(rows.select("vec_id", "vector").mapInArrow(key, "key long, far double, vec_id long, vector binary")))
-    groups = checkpoint(_grouped(_seed(index, size, centres, longest, k, every), size, len(centres), QUERY_ROWS))
+    index = checkpoint(vectors.in_blocks(rows.select("vec_id", "vector").mapInArrow(key, "key long, far double, vec_id long, vector binary"), vectors.block_rows(size)))
+    groups = checkpoint(_grouped(_seed(index, size, centres, longest, k, every), size, len(centres), vectors.block_rows(size, QUERY_ROWS)))
     salt = F.pmod(F.xxhash64("group"), F.lit(_SALTS))
     bounds = F.posexplode(F.arrays_zip("nearest", "farthest")).alias("key", "span")
     sides = groups.select("group", "radius", salt.alias("salt"), bounds).select(

@@ -14,20 +14,31 @@ from tidemark.llm.common import width
 
 BLOCK = "key long, block long, low double, high double, ids binary, far binary, vectors binary"
 BLOCK_ROWS = 2_048
+BLOCK_BYTES = 32 << 20
 
 
 def usable(table: DataFrame, name: str = "embedding") -> tuple[DataFrame, int]:
     """``vec_id`` and ``vector`` (doubles) of the rows that take part, and the dimension.
 
-    Left out are null ids and vectors, empty vectors, vectors with null or
-    non-finite components, and vectors of another length than most rows have.
+    Left out are null ids and vectors, and vectors with null or non-finite
+    components. The longest vector gives the dimension; components that a shorter
+    one lacks, or all those of an empty one, are zero, which changes neither a
+    product nor a norm.
     """
     fine = F.forall(F.col(name), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table.filter(F.col("vec_id").isNotNull() & fine & (F.size(name) > 0))
+    rows = table.filter(F.col("vec_id").isNotNull() & fine)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(name).cast("array<double>").alias("vector"))
-    common = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    size = common["d"] if common else 0
-    return rows.filter(F.size("vector") == size), size
+    longest = rows.agg(F.max(F.size("vector")).alias("d")).first()["d"]
+    if longest is None:
+        return rows, 0
+    size = max(longest, 1)
+    filled = F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vector")))
+    return rows.withColumn("vector", F.when(F.size("vector") == size, F.col("vector")).otherwise(filled)), size
+
+
+def block_rows(size: int, most: int | None = None) -> int:
+    """Rows of a block of vectors of this dimension: at most ``most``, and ``BLOCK_BYTES``."""
+    return max(1, min(most or BLOCK_ROWS, BLOCK_BYTES // (8 * max(size, 1))))
 
 
 def is_query(every: int = 50) -> Column:
@@ -50,7 +61,7 @@ def sample(rows: DataFrame, most: int, size: int) -> np.ndarray:
     return np.array([r["vector"] for r in picked], np.float64).reshape(-1, max(size, 1))
 
 
-def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(rows: DataFrame, most: int) -> DataFrame:
     """Blocks of rows (key, far, vec_id, vector) of one key in order of ``far``.
 
     Rows are range partitioned by (key, far, vec_id), so a key that holds a
@@ -74,7 +85,7 @@ def in_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                 if row == before:
                     continue
                 before = row
-                if held and (row[0] != held[0][0] or len(held) == block_rows):
+                if held and (row[0] != held[0][0] or len(held) == most):
                     yield flush()
                 held.append(row)
         if held:
