@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash_uniform
-from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, events, filters, hierarchy, ordering, selection, spanning
+from tidemark.operators import aggregate, autocorrelation, cleaning, decomposition, events, filters, hierarchy, ordering, pca, selection, spanning, wide
 from tidemark.operators.lloyd import Lloyd
 from tidemark.plans import winter
 from tidemark.plans.catalog import _DRAWS, QUERIES, SQL, indexed, query
@@ -368,6 +368,72 @@ def iso_times(spark, folder):
     return parsed.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
+# Components
+
+
+# Eigenvectors of the symmetric matrix s(a, b, c; d, e, f) = [[a, d, e], [d, b, f], [e, f, c]] by the trigonometric solution.
+_THREE = """m AS (SELECT *, (a + b + c) / 3 AS q FROM s),
+n AS (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m),
+o AS (SELECT *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - e * f) + e * (d * f - e * (b - q))) / (2 * p * p * p) AS r FROM n),
+h AS (SELECT *, acos(greatest(-1.0, least(1.0, r))) / 3 AS t FROM o),
+l AS (SELECT i, a, b, c, d, e, f, CASE i WHEN 0 THEN q + 2 * p * cos(t) WHEN 2 THEN q + 2 * p * cos(t + 2 * pi() / 3)
+  ELSE q - 2 * p * cos(t) - 2 * p * cos(t + 2 * pi() / 3) END AS v FROM h, range(3) AS k(i)),
+x AS (SELECT i, v, d * f - e * (b - v) AS x, e * d - (a - v) * f AS y, (a - v) * (b - v) - d * d AS z FROM l),
+g AS (SELECT i, v, sqrt(x * x + y * y + z * z) * CASE WHEN abs(x) >= greatest(abs(y), abs(z)) THEN sign(x) WHEN abs(y) >= abs(z) THEN sign(y) ELSE sign(z) END AS w, x, y, z FROM x),
+u AS (SELECT i, v, x / w AS x, y / w AS y, z / w AS z FROM g),
+load AS (SELECT i, v, 'ar' AS feature, x AS loading FROM u UNION ALL SELECT i, v, 'latcent', y FROM u UNION ALL SELECT i, v, 'area', z FROM u)"""
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS c, corr(ar, latcent) AS d, corr(ar, area) AS e, corr(latcent, area) AS f FROM daily), {_THREE},
+lead AS (SELECT feature, min(i) AS i FROM (SELECT i, arg_max(feature, loading) AS feature FROM load GROUP BY i) GROUP BY feature),
+far AS (SELECT feature, row_number() OVER (ORDER BY sum(loading * loading) DESC) AS place FROM load WHERE i < 2 GROUP BY feature)
+SELECT 'leader' AS kind, (row_number() OVER (ORDER BY i) - 1)::INT AS rank, feature FROM lead QUALIFY row_number() OVER (ORDER BY i) <= 2
+UNION ALL SELECT 'longest', (2 - place)::INT, feature FROM far WHERE place <= 2""")
+def component_leaders(spark, folder):
+    """Leaders of the components and longest loadings of three features, whose components have a closed form."""
+    d = daily(spark, folder).select("ar", "latcent", "area")
+    rows = [("leader", i, f) for i, f in enumerate(pca.select_features(d, 2))]
+    rows += [("longest", i, f) for i, f in enumerate(pca.top_features(pca.pca(d), 2))]
+    return spark.createDataFrame(rows, "kind string, rank int, feature string")
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT ar * 3 AS ar, latcent / 2 AS latcent, area FROM daily),
+s AS (SELECT var_samp(ar) AS a, var_samp(latcent) AS b, var_samp(area) AS c, covar_samp(ar, latcent) AS d, covar_samp(ar, area) AS e, covar_samp(latcent, area) AS f FROM w), {_THREE},
+r AS (SELECT feature AS row_name, i, loading AS value FROM load UNION ALL SELECT 'Expl_var', i, v FROM u UNION ALL SELECT 'Expl_var_ratio', i, v / sum(v) OVER () FROM u)
+SELECT row_name, round(max(value) FILTER (i = 0), 6) + 0.0 AS pc0, round(max(value) FILTER (i = 1), 6) + 0.0 AS pc1 FROM r GROUP BY row_name""")
+def own_scaler_loadings(spark, folder):
+    """Loadings after a scaler that is a function of the table and its columns."""
+    factors = {"ar": 3.0, "latcent": 0.5, "area": 1.0}
+    found = pca.pca(daily(spark, folder).select(*factors), scaler=lambda df, names: df.withColumns({c: F.col(c) * factors[c] for c in names}))
+    return found.loadings(2).select("row_name", r6("PC0").alias("pc0"), r6("PC1").alias("pc1"))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT var_samp(ar) AS a, var_samp(latcent) AS b, covar_samp(ar, latcent) AS c FROM daily),
+l AS (SELECT i, a, b, c, (a + b) / 2 + CASE i WHEN 0 THEN 1 ELSE -1 END * sqrt((a - b) * (a - b) / 4 + c * c) AS v FROM s, range(2) AS k(i)),
+g AS (SELECT i, v, a + b AS total, c AS x, v - a AS y, sqrt(c * c + (v - a) * (v - a)) * CASE WHEN abs(c) >= abs(v - a) THEN sign(c) ELSE sign(v - a) END AS w FROM l)
+SELECT i::INT AS component, round(v, 6) + 0.0 AS variance, round(v / total, 6) + 0.0 AS ratio, round(x / w, 6) + 0.0 AS ar, round(y / w, 6) + 0.0 AS latcent FROM g""")
+def wide_components(spark, folder):
+    """Components of 4,000 features, of which two values of a day are the source."""
+    half = 2_000
+    spread = lambda c: F.array_repeat(F.col(c) / half**0.5, half)
+    days = daily(spark, folder).select(F.concat(spread("ar"), spread("latcent")).alias("v"))
+    found = wide.pca_wide(days, "v", 2)
+    parts = zip(range(2), found.explained_variance, found.explained_ratio, found.components[:, 0] * half**0.5, found.components[:, -1] * half**0.5)
+    rows = [(i, *map(float, rest)) for i, *rest in parts]
+    out = spark.createDataFrame(rows, "component int, variance double, ratio double, ar double, latcent double")
+    return out.select("component", *[r6(c).alias(c) for c in ("variance", "ratio", "ar", "latcent")])
+
+
+@query(f"""WITH {DAILY} SELECT strftime(string, '%Y-%m-%d') AS string, round(ar, 6) + 0.0 AS ar, round(latcent, 6) + 0.0 AS latcent FROM daily""")
+def positional_feed(spark, folder):
+    """A feed whose columns go by position only."""
+    path = scratch_path(spark, "positional")
+    rows = daily(spark, folder).select(day().alias("a"), "ar", "latcent")
+    rows.write.csv(path)
+    named = feeds.name_columns(spark.read.csv(path, inferSchema=True))
+    return named.select(day().alias("string"), r6("ar").alias("ar"), r6("latcent").alias("latcent"))
+
+
 # The same work by the paths for large groups
 
 
