@@ -97,10 +97,10 @@ class _Family:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Two independent 64-bit hashes for each word; each different word is hashed once."""
-    place: dict[bytes, int] = {}
-    at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
-    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in place)
-    return np.frombuffer(digests, "<u8").reshape(-1, 2)[at].T
+    table = dict.fromkeys(words, b"")
+    for word in table:
+        table[word] = hashlib.blake2b(word, digest_size=16).digest()
+    return np.frombuffer(b"".join(map(table.__getitem__, words)), "<u8").reshape(-1, 2).T
 
 
 _families: dict[int, _Family] = {}
