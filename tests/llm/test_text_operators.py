@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, language_id, packing, sanitise, simhash, substring_dedup
+from tidemark.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, `text ` string, row string, batch int, key string, spans int"
@@ -253,6 +254,18 @@ def test_base_spans(spark, private):
         assert got[i] == ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in plain_spans(text)), text
 
 
+def test_registered_query_counts_each_kind(spark, private, tmp_path):
+    """op2_pii as registered: counts by kind and the digest of the base spans, also where kinds are not in listed order."""
+    spark.createDataFrame(private, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_pii"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(private)
+    for i, text in private:
+        base = plain_spans(text)
+        want = [sum(k == kind for _, k, _, _ in base) for kind in range(4)]
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == want, text
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{kind}:{s}:{e}" for s, _, e, kind in base).encode()).hexdigest()
+
+
 def test_disclosing_terms(spark):
     noise = [f"plain filler words number{chr(97 + i % 26)}{chr(97 + i // 26)} stand here" for i in range(60)]
     held = [f"story {n} told that zyxwvut wrote from who@there.org about filler matters" for n in ("alpha", "beta", "gamma")]

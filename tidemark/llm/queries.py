@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
@@ -23,9 +23,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(docs, whole=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    # The lambda takes the span alone: Spark fills a second argument, default or not, with the place in the array.
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(sanitise.KINDS)]
+    counts = [_count(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(sanitise.KINDS)]
     base = F.sha2(sanitise.shown(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, sanitise.shown(F.col("spans")).alias("spans"))
 
