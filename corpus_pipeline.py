@@ -15,10 +15,15 @@ from tidemark.llm.common import lean, table
 from tidemark.session import checkpoint
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: The score from which on a predicted language replaces a given one.
+SURE = 0.9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop null texts and those without a letter; a null ``lang`` becomes the predicted one, if any row is labelled."""
+    """Drop null texts and those without a letter; ``lang`` becomes the language of the text, by which the last stage packs.
+
+    A label is what the model learns from, and stays where the prediction is not sure. Without labels ``lang`` stays null.
+    """
     lean(spark)
     model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
     # Numbered names, so that no column can clash with those of the prediction.
@@ -28,8 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # Without labels every prediction is undetermined, so it does not decide what stays.
     kept = named.filter(F.col(text).rlike(r"\p{L}"))
     lang = f"c{docs.columns.index('lang')}"
-    guess = F.when(F.col("lang_pred") != language_id.UNDETERMINED, F.col("lang_pred"))
-    return kept.withColumn(lang, F.coalesce(lang, guess)).select(*numbered.columns).toDF(*docs.columns)
+    told = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col(lang).isNull() | (F.col("score") >= SURE))
+    return kept.withColumn(lang, F.when(told, F.col("lang_pred")).otherwise(F.col(lang))).select(*numbered.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +57,9 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents, each with its place in a sequence of at most 4096 tokens."""
+    """Pieces of tokenised documents, each with its place in a sequence of at most 4096 tokens of one language."""
     lean(spark)
-    return packing.pack(docs, WORD_BPE)
+    return packing.pack(docs, WORD_BPE, by="lang")
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ from test_text_operators import cut_up, component_of, plain_fingerprint, plain_s
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import forest, templates, topk, vectors, warc
+from tidemark.llm import forest, packing, templates, topk, vectors, warc
 from tidemark.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -352,6 +353,40 @@ def test_language_stage_with_few_or_no_labels(spark):
     assert sorted((r.doc_id, r.lang) for r in got) == [(0, "en"), (1, "en"), (2, "de"), (3, "de")]
 
 
+def test_language_decides_what_shares_a_sequence(spark, monkeypatch):
+    """Unlabelled and wrongly labelled texts are packed with their language, null ones by themselves; unsure predictions leave labels."""
+    words = {"de": "der hund und die katze", "en": "the cat and the dog", "fr": "le chat avec la souris"}
+    random_ = random.Random(3)
+    say = lambda lang, n: " ".join(random_.choice(words[lang].split()) for _ in range(n))
+    true = [random_.choice(sorted(words)) for _ in range(90)]
+    given = [None if i % 10 == 3 else "de" if i == 50 else lang for i, lang in enumerate(true)]
+    true[50] = "en"
+    rows = [(i, say(lang, random_.choice([5, 300, 3_000])), given[i], 0) for i, lang in enumerate(true)]
+    rows += [(90, "漢字", "zh", 0), (91, None, "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").repartition(3)
+    found = corpus_pipeline.identify_language(spark, docs, FOLDER).cache()
+    want = {**dict(enumerate(true)), 90: "zh"}
+    assert {r.doc_id: r.lang for r in found.collect()} == want
+    some = found.withColumn("lang", F.when(F.col("doc_id") >= 9, F.col("lang")))
+    want.update(dict.fromkeys(range(9)))
+    packed = corpus_pipeline.pack_sequences(spark, some, FOLDER).collect()
+    held, used, pieces = {}, {}, {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        held.setdefault(r.sequence_id, set()).add(want[r.doc_id])
+        assert r.offset == used.get(r.sequence_id, 0) and r.offset + r.length <= 4_096
+        used[r.sequence_id] = r.offset + r.length
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+        assert r.length > 0
+    assert all(len(v) == 1 for v in held.values()) and sorted(held) == list(range(len(held)))
+    assert set(pieces) == set(want) and all(pieces[r.doc_id] == r.doc_tokens for r in packed)
+    for lang in set(want.values()):
+        alone = packing.shortest_pack_first(Counter(r.length for r in packed if want[r.doc_id] == lang))
+        assert sum(v == {lang} for v in held.values()) == sum(count for count, _ in alone)
+    monkeypatch.setattr(corpus_pipeline, "SURE", 1.1)
+    unsure = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, FOLDER).collect()}
+    assert all(unsure[i] == lang for i, lang in enumerate(given) if lang)
+
+
 def test_run_reads_the_documents(spark):
     if not Path(FOLDER).exists():
         pytest.skip("no test tables")

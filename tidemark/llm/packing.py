@@ -9,6 +9,9 @@ pattern by their rank among the pieces of equal length. Ranks come from
 counters per task and a running sum of the tasks' counts, so neither a frequent
 length nor a large table is sorted in one task.
 
+With ``by``, a column of strings such as a language, a sequence holds rows of one
+value only (null is a value); each value has a histogram and patterns of its own.
+
 Cases: a null or empty text is a document of the end id alone. Texts of any
 length are cut; no piece is dropped. Repeated rows are packed once each. An
 empty table gives an empty result. Only the named columns are read.
@@ -71,14 +74,15 @@ def shortest_pack_first(histogram: Mapping[int, int], size: int = LENGTH) -> lis
     return [pattern for space in sorted(by_space) for pattern in by_space[space]]
 
 
-def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids: bool = False) -> DataFrame:
-    """Tokenise and cut: doc_id, start, length, ids_crc32, doc_tokens, and the place within a task."""
+def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids: bool = False, by: str | None = None) -> DataFrame:
+    """Tokenise and cut: doc_id, start, length, ids_crc32, doc_tokens, and the place within a task (``by``: and value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = worker(path).encoder, Counter(), TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         for batch in slices(batches):
             owner, rows, binaries = [], [], []
+            group = batch.column(2).to_pylist() if by else [None] * batch.num_rows
             for i, text in enumerate(batch.column(1).to_pylist()):
                 binary = encoder.binary(text) + last
                 total = len(binary) // 4
@@ -86,8 +90,8 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids:
                     cut = binary[4 * start : 4 * (start + size)]
                     length = len(cut) // 4
                     owner.append(i)
-                    rows.append((start, length, zlib.crc32(cut), total, part, seen[length]))
-                    seen[length] += 1
+                    rows.append((start, length, zlib.crc32(cut), total, part, seen[group[i], length]))
+                    seen[group[i], length] += 1
                     if ids:
                         binaries.append(np.frombuffer(cut, "<u4").astype(np.int32))
             columns = [batch.column(0).take(pa.array(owner, pa.int64()))]
@@ -96,6 +100,9 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids:
             if ids:
                 columns.append(pa.array(binaries, pa.list_(pa.int32())))
                 names.append("ids")
+            if by:
+                columns.append(batch.column(2).take(pa.array(owner, pa.int64())))
+                names.append("_by")
             yield pa.RecordBatch.from_arrays(columns, names=names)
         release()
         if resident_mb() > KEEP_MB:
@@ -106,7 +113,9 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids:
         schema = schema.add(name, "long")
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    if by:
+        schema = schema.add("_by", T.StringType())
+    return docs.select("doc_id", "text", *([F.col(by).cast("string")] if by else [])).mapInArrow(run, schema)
 
 
 def _slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
@@ -126,34 +135,56 @@ def _slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 _RANKS = 1 << 48
 
 
-def assign(cut: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Add sequence_id and offset to pieces that carry ``length`` and ``_rank``."""
-    slots = _slots(patterns)
-    shared = cut.sparkSession.sparkContext.broadcast((slots["length"] * _RANKS + slots["rank"], slots))
+def assign(cut: DataFrame, patterns: Mapping[str | None, list[Pattern]]) -> DataFrame:
+    """Add sequence_id and offset to pieces that carry ``length``, ``_rank`` and, unless all are of value None, ``_by``."""
+    places, number, base = [], {}, 0
+    for value, of_value in patterns.items():
+        slots = _slots(of_value)
+        number[value] = len(places)
+        places.append((slots["length"] * _RANKS + slots["rank"], slots, base))
+        base += sum(count for count, _ in of_value)
+    shared = cut.sparkSession.sparkContext.broadcast((number, places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, slot = shared.value
+        number, places = shared.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
-            at = np.searchsorted(keys, length * _RANKS + rank, side="right") - 1
-            within = rank - slot["rank"][at]
-            sequence = slot["base"][at] + within // slot["many"][at]
-            offset = slot["offset"][at] + within % slot["many"][at] * length
-            kept = [c for c in batch.schema.names if c != "_rank"]
+            values = batch.column("_by").to_pylist() if "_by" in batch.schema.names else [None] * batch.num_rows
+            group = np.fromiter(map(number.__getitem__, values), dtype=np.int64, count=batch.num_rows)
+            sequence, offset = np.zeros_like(length), np.zeros_like(length)
+            for g in np.unique(group).tolist():
+                mine = np.flatnonzero(group == g)
+                keys, slot, base = places[g]
+                at = np.searchsorted(keys, length[mine] * _RANKS + rank[mine], side="right") - 1
+                within = rank[mine] - slot["rank"][at]
+                sequence[mine] = base + slot["base"][at] + within // slot["many"][at]
+                offset[mine] = slot["offset"][at] + within % slot["many"][at] * length[mine]
+            kept = [c for c in batch.schema.names if c not in ("_rank", "_by")]
             columns = [batch.column(c) for c in kept] + [pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "sequence_id", "offset"])
 
-    schema = cut.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
+    schema = cut.drop("_rank", "_by").schema.add("sequence_id", "long").add("offset", "long")
     return cut.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids: bool = False) -> DataFrame:
-    """One row per piece with its sequence and its offset there; ``ids`` adds the ids themselves."""
-    cut = checkpoint(pieces(docs, path, size, end, ids))
-    counts = checkpoint(cut.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")))
-    histogram = {row[0]: row[1] for row in counts.groupBy("length").agg(F.sum("_n")).collect()}
-    patterns = shortest_pack_first(histogram, size)
-    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_part", "length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    ranked = cut.join(first, ["_part", "length"]).withColumn("_rank", F.col("_first") + F.col("_nth"))
+def pack(docs: DataFrame, path: str, size: int = LENGTH, end: int = END, ids: bool = False, by: str | None = None) -> DataFrame:
+    """One row per piece with its sequence and its offset there; ``ids`` adds the ids themselves.
+
+    ``by`` names a column whose values never share a sequence.
+    """
+    cut = checkpoint(pieces(docs, path, size, end, ids, by))
+    value = ["_by"] if by else []
+    counts = checkpoint(cut.groupBy("_part", *value, "length").agg(F.count(F.lit(1)).alias("_n")))
+    histograms: dict[str | None, dict[int, int]] = {}
+    for row in counts.groupBy(*value, "length").agg(F.sum("_n").alias("_n")).collect():
+        histograms.setdefault(row["_by"] if by else None, {})[row["length"]] = row["_n"]
+    ordered = sorted(histograms, key=lambda v: (v is not None, v or ""))
+    patterns = {v: shortest_pack_first(histograms[v], size) for v in ordered}
+    earlier = Window.partitionBy(*value, "length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")
+    first = counts.select(F.col("_part").alias("_in"), F.col("length").alias("_long"), *[F.col(c).alias("_of") for c in value], first)
+    same = (F.col("_part") == F.col("_in")) & (F.col("length") == F.col("_long"))
+    if by:
+        same &= F.col("_by").eqNullSafe(F.col("_of"))
+    ranked = cut.join(first, same).withColumn("_rank", F.col("_first") + F.col("_nth"))
     return assign(ranked.select(*[c for c in cut.columns if c not in ("_part", "_nth")], "_rank"), patterns)
