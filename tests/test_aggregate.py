@@ -186,3 +186,39 @@ def test_agreement(spark):
         scores.agreement(df, "t", ["y"], predicted_value="X").collect()
     with pytest.raises(PySparkException, match="does not occur"):
         scores.agreement(df, "t", ["y"], true_value="X").collect()
+
+
+def test_agreement_of_a_class_that_was_never_predicted(spark):
+    """With many orders a day no daily mean is below a limit; the counts and the other ratios are still there."""
+    rows = [("D", "S", "S", 1), ("D", "D", "S", 1), (None, "S", "D", 1)]
+    df = spark.createDataFrame(rows, "y string, t string, z string, string int")
+    never, wrong = scores.agreement(df, "t", ["y", "z"], absent="count").collect()
+    assert (never.prediction, never.tp, never.fp, never.fn, never.tn) == ("y", 0, 0, 2, 1)
+    assert never.precision is None and never.recall == 0 and never.f1 == 0 and np.isclose(never.accuracy, 1 / 3)
+    assert (wrong.tp, wrong.fp, wrong.fn, wrong.tn) == (1, 1, 1, 0) and wrong.f1 == 0.5
+    missed = df.filter("z = 'D' OR t = 'D'")
+    assert scores.agreement(missed, "t", ["z"]).first().f1 == 0
+    none = scores.agreement(df, "t", ["z"], true_value="X", absent="count").first()
+    assert (none.tp, none.fn, none.recall) == (0, 0, None)
+    with pytest.raises(ValueError):
+        scores.agreement(df, "t", ["y"], absent="drop")
+
+
+def test_agreement_scores_when_no_day_is_below_the_limit(spark, tmp_path):
+    """The query gives the counts of its SQL although no daily mean price is under the limit."""
+    from check_oracles import connect, same
+
+    from tidemark.plans.catalog import QUERIES, SQL
+
+    lines = "l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string"
+    days = pd.to_datetime(["2020-01-01", "2020-01-02"])
+    items = pd.DataFrame([(d, p, 3.0, 0.1, f) for d, f in zip(days, "RN") for p in (1.0, 9.0)], columns=lines.replace(",", "").split()[::2])
+    orders = pd.DataFrame([(d, 900000.0, "1-URGENT") for d in days], columns=["o_orderdate", "o_totalprice", "o_orderpriority"])
+    spark.createDataFrame(items, lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderdate timestamp_ntz, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["agreement_scores"](spark, str(tmp_path)).toPandas()
+    con = connect("/nonexistent")
+    for name in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert same(got, con.execute(SQL["agreement_scores"]).df()) is None
+    assert got.set_index("prediction").loc["y_u", ["tp", "fp", "fn", "tn"]].tolist() == [0, 0, 1, 1]
