@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_clustering import ABC, frame, greedy
-from tidemark.operators import blocks, hierarchy, spanning
+from tidemark.operators import blocks, hierarchy, ordering, spanning
 
 
 @pytest.mark.parametrize("block,limit", [(2048, 200_000), (5, 2)])
@@ -72,3 +72,22 @@ def test_box_bounds_hold(spark, rng):
     for r in pairs:
         d = np.linalg.norm(held[r._lo][:, None] - held[r._hi][None], axis=2)
         assert r.near <= d.min() + 1e-9 and d.max() <= r.far + 1e-9
+
+
+def test_one_feature_is_a_sort(spark, rng, monkeypatch):
+    """No two blocks meet; edges lead from each value to the next one, and a cut by height leaves gaps and islands."""
+    for name in ("meet_some", "pack"):
+        monkeypatch.setattr(spanning, name, None)
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 16)
+    pdf = pd.DataFrame({"id": rng.permutation(90), "g": np.arange(90) % 2, "a": rng.integers(0, 60, 90) / 4.0})
+    tree = spanning.spanning_tree(spark.createDataFrame(pdf), ["a"], "id", ["g"], block=4, limit=3)
+    edges, islands = [], []
+    for g, part in pdf.sort_values(["a", "id"]).groupby("g"):
+        leaves = part.groupby("a").id.min()
+        names = leaves.to_numpy()
+        ends = np.sort(np.c_[names[:-1], names[1:]], axis=1)
+        edges += [(g, a, b, d) for (a, b), d in zip(ends.tolist(), np.diff(leaves.index).tolist())]
+        names = part.groupby((part.a.diff() > 0.25).cumsum()).id.transform("min")
+        islands += list(zip([g] * len(part), part.id, names))
+    assert sorted(map(tuple, tree.edges.select("g", "a", "b", "d").collect())) == sorted(edges)
+    assert sorted(map(tuple, spanning.cut_height(tree, 0.25).collect())) == sorted(islands)

@@ -12,6 +12,11 @@ are no further apart than the shortest edge known for some component in them, an
 never again once both lie in one component. Edges rank by (distance, smaller
 leaf, larger leaf), so no cycle can close and equal distances have one order.
 
+Points on a line, that is one feature column, need no rounds: the tree is the
+path from each value to the next one, as any other edge is longer than those it
+spans. So it takes a sort, and the parts that are left of it without some edges
+are runs, numbered by running totals.
+
 Cases: equal rows are one leaf. Missing features and empty tables raise, as in
 :func:`tidemark.operators.hierarchy.linkage`. A group of one row has no edge.
 """
@@ -23,13 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.autocorrelation import grouped_schema, key_frame
 from tidemark.operators.blocks import BLOCK_ROWS, along_curve, box_pairs, distances, meet_some, pack, unpack
 from tidemark.operators.hierarchy import leaves_of, to_rows
-from tidemark.operators.ordering import join_skewed
+from tidemark.operators.ordering import join_skewed, lay_out, ordinal, running, with_lag
 from tidemark.session import checkpoint
 
 #: Components that one task may join up; above it pointers are doubled in Spark.
@@ -41,6 +46,8 @@ class SpanningTree:
     """A minimum spanning tree per group: ``edges`` is ``(*keys, a, b, d)`` between leaves, ``a < b``.
 
     ``met`` has, for every round, the pairs of blocks that met and all pairs there are.
+    ``line``, of a tree over one feature column: ``(*keys, leaf, idx, a, b, d)`` in order of
+    the values, each leaf with its edge to the one before.
     """
 
     points: DataFrame
@@ -52,6 +59,7 @@ class SpanningTree:
     copies: bool
     limit: int
     met: list[tuple[int, int]]
+    line: DataFrame | None = None
 
 
 def _shortest(left: pd.Series, right: pd.Series, same: bool) -> dict:
@@ -136,6 +144,26 @@ def _bounds(labels: DataFrame, own: DataFrame, pairs: DataFrame, keys: list[str]
     return inside.join(outside, [*keys, "block"], "left").select(*keys, "block", bound)
 
 
+def _along_line(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, leaf, idx, a, b, d)``: leaves in order of their only component, with the edge to the one before."""
+    line = ordinal(points.select(*keys, "leaf", F.get("_x", F.lit(0)).alias("_v")), ["_v"], keys)
+    line = with_lag(line, {"_leaf": ("leaf", 1), "_u": ("_v", 1)}, keys)
+    gap, there = F.col("_v") - F.col("_u"), F.col("_leaf").isNotNull()
+    a, b = F.when(there, F.least("leaf", "_leaf")), F.when(there, F.greatest("leaf", "_leaf"))
+    return checkpoint(line.select(*keys, "leaf", "idx", a.alias("a"), b.alias("b"), F.sqrt(gap * gap).alias("d")))
+
+
+def _runs(line: DataFrame, keys: list[str], gone: Column) -> DataFrame:
+    """``(*keys, leaf, root)``: the run of every leaf on the line when the edges that are ``gone`` are taken out."""
+    gone = F.coalesce(gone | ~_finite(), F.lit(False)).cast("long")
+    laid = lay_out(line.select(*keys, "leaf", "idx", gone.alias("_gone")), ["idx"], keys)
+    return checkpoint(running(laid, ["idx"], {"root": (F.col("_gone"), "sum")}, keys).select(*keys, "leaf", "root"))
+
+
+def _finite() -> Column:
+    return F.col("d") < F.lit(float("inf"))
+
+
 def spanning_tree(
     df: DataFrame,
     features: Sequence[str] | str,
@@ -147,6 +175,10 @@ def spanning_tree(
     """The minimum spanning tree over ``features`` (columns, or one array column), per group ``by``."""
     points, rows, keys, facts = leaves_of(df, features, row_id, by)
     by = list(by)
+    if not isinstance(features, str) and len(features) == 1:
+        line = _along_line(points, keys)
+        edges = line.filter(_finite()).select(*keys, "a", "b", "d")
+        return SpanningTree(points, edges, rows, keys, by, row_id, facts["w"] > 1, limit, [], line)
     packed = pack(along_curve(points, "_x").select(*keys, "leaf", "_x", "_z"), ["leaf"], "_x", ["_z", "leaf"], keys, block)
     pairs = box_pairs(packed, keys, by)
     labels = checkpoint(packed.select(*keys, "block", F.col("leaf").alias("cids")))
@@ -222,7 +254,11 @@ def cut(tree: SpanningTree, ks: Sequence[int]) -> DataFrame:
     else:
         top = tree.edges.orderBy(*last).limit(ks[-1] - 1)
     top = checkpoint(top)
-    at = _forest(tree, tree.edges.join(top, [*keys, "a", "b"], "left_anti"))
+    if tree.line is None:
+        at = _forest(tree, tree.edges.join(top, [*keys, "a", "b"], "left_anti"))
+    else:
+        taken = top.select(*keys, "a", "b", F.lit(True).alias("_top"))
+        at = _runs(tree.line.join(taken, [*keys, "a", "b"], "left"), keys, F.coalesce("_top", F.lit(False)))
     parts = checkpoint(at.groupBy(*keys, "root").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("_n")))
     end = lambda name: at.select(*keys, F.col("leaf").alias(name), F.col("root").alias(f"_{name}"))
     between = top.join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"])
@@ -253,7 +289,8 @@ def cut(tree: SpanningTree, ks: Sequence[int]) -> DataFrame:
 def cut_height(tree: SpanningTree, height: float) -> DataFrame:
     """Clusters below a height line: ``(*by, row_id, cluster)``, named by smallest row id."""
     keys = tree.keys
-    at = _forest(tree, tree.edges.filter(F.col("d") <= F.lit(float(height))))
+    kept = F.col("d") <= F.lit(float(height))
+    at = _forest(tree, tree.edges.filter(kept)) if tree.line is None else _runs(tree.line, keys, ~kept)
     names = at.groupBy(*keys, "root").agg(F.min("leaf").alias("cluster"), F.count(F.lit(1)).alias("_n"))
     leaves = join_skewed(at, names, [*keys, "root"], "_n").select(*keys, "leaf", "cluster")
     return to_rows(tree, leaves).select(*tree.by, tree.row_id, "cluster")
