@@ -249,3 +249,45 @@ def test_ties_do_not_depend_on_finish(spark, method):
         steps = hierarchy.merge_table(tree).toPandas().sort_values("step")
         found.append((labels.label.tolist(), steps[["left", "right", "size"]].to_numpy().tolist(), steps.height.round(6).tolist()))
     assert found[0] == found[1]
+
+
+def test_blocks_meet_without_copies(spark, rng):
+    """Every pair of blocks meets once, in a product of two small tables; no block is written once for each other."""
+    x = rng.normal(size=(45, 2))
+    points = frame(spark, x).select(F.lit(0).alias("g"), "id", F.array("a", "b").alias("_x"))
+    packed = blocks.pack(points, ["id"], "_x", ["id"], ["g"], 5)
+    schema = blocks.grouped_schema(points, ["g"], ("lo", "long"), ("hi", "long"), ("same", "boolean"))
+    work = lambda a, b, same: {"lo": [int(a["block"])], "hi": [int(b["block"])], "same": [same]}
+    met = blocks.meet(packed, ["g"], [], schema, work)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert sorted((r.lo, r.hi, r.same) for r in met.collect()) == [(i, j, i == j) for i in range(9) for j in range(i, 9)]
+    some = blocks.meet_all(packed, ["g"], schema, work, 2)
+    assert sorted((r.lo, r.hi) for r in some.collect()) == [(i, j) for i in range(2) for j in range(i, 9)]
+
+
+def test_panels_are_few(spark):
+    """What a row sends to the other panels does not grow with the table, until panels reach their size in bytes."""
+    for rows in (10_000, 100_000, 300_000):
+        df = spark.range(rows).select(F.array(F.col("id").cast("double")).alias("_x"), F.lit(0).alias("g"))
+        size = blocks.panel_rows(df, "_x", ["g"], 2048)
+        assert size % 2048 == 0 and -(-rows // size) <= 16
+    wide = spark.range(100).select(F.array_repeat(F.lit(1.0), 1000).alias("_x"), F.lit(0).alias("g"))
+    assert blocks.panel_rows(wide.crossJoin(spark.range(1000)), "_x", ["g"], 2048) * 8000 <= blocks.PANEL_BYTES
+
+
+def test_only_clusters_without_a_neighbour_search_again(spark, monkeypatch):
+    """A chain of growing gaps merges one pair a round: all others keep the neighbour they have."""
+    x = (np.cumsum(1.0 + np.arange(24) / 50))[:, None]
+    met = []
+
+    def meet_all(packed, keys, schema, work, first=None):
+        met.append((first, packed.count()))
+        return blocks.meet_all(packed, keys, schema, work, first)
+
+    monkeypatch.setattr(hierarchy, "meet_all", meet_all)
+    tree = hierarchy.linkage(frame(spark, x), ["a"], "id", "single", finish=20, block=1)
+    assert tree.rounds == 4 and len(met) == 3
+    # Two rows to a panel; the chain and its next row lie in the first ones.
+    assert all(first <= 4 and every == 12 for first, every in met)
+    assert np.allclose(np.sort([r.height for r in tree.merges.collect()]), np.diff(x[:, 0]))
